@@ -15,6 +15,9 @@ from clickweave.functions import scalars as S
 from clickweave.operators.running import CHUNK_MS, Running, running, time_chunk
 from clickweave.sources.tables import evolve_schema
 
+CONTEXT_TEXTS = ("user_agent", "ip_address", "referrer", "device_type", "country", "city")
+CONTEXT_NUMBERS = ("latitude", "longitude")
+
 # Event names with a meaning of their own, and the reject classes.
 START, END, PERFORMANCE = "session_start", "session_end", "performance"
 MISSING_SESSION, INVALID_SESSION, INVALID_EVENTS = (
@@ -91,10 +94,15 @@ def _is_view() -> Column:
     return ~ends & S.present(F.coalesce("page", F.lit("")))
 
 
-def session_gate(raw: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
+def session_gate(
+    raw: DataFrame, chunk_ms: int = CHUNK_MS, known: DataFrame | None = None
+) -> DataFrame:
     """Records with a session id, with ``started`` (position of the session's first
     start, NULL before it) and ``latest_view`` (position of the latest valid page view
-    before the record). Records without a start before them are invalid."""
+    before the record). Records without a start before them are invalid.
+
+    ``known`` holds both positions for sessions seen in earlier data.
+    """
     with_id = raw.filter(S.present(F.coalesce("session_id", F.lit(""))))
     out = running(
         with_id,
@@ -102,9 +110,10 @@ def session_gate(raw: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
         ["ts", "seq"],
         [
             Running("started", "min", F.when(F.col("event") == START, _at())),
-            Running("latest_view", "last", F.when(_is_view(), _at()), inclusive=False),
+            Running("latest_view", "max", F.when(_is_view(), _at()), inclusive=False),
         ],
         time_chunk(F.col("ts"), chunk_ms),
+        known,
     )
     # A page record before the session's start is no view; and if the latest page
     # record is one of those, there is no valid view yet.
@@ -141,42 +150,46 @@ def gate_against(raw: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFr
     return passed, rest.join(known, "session_id", "left_anti")
 
 
-def fold_sessions(raw: DataFrame, zero_is_null: bool = True) -> DataFrame:
-    """One row per started session. The first start wins and supplies the context;
-    the last ``session_end`` after it sets ``end_time``. One aggregation, no window."""
+def session_bounds(raw: DataFrame, zero_is_null: bool = True) -> DataFrame:
+    """Per session: its first start with its context, and its last ``session_end``."""
     r = evolve_schema(raw, schemas.TRACKING).filter(S.present(F.coalesce("session_id", F.lit(""))))
-    texts = ("user_agent", "ip_address", "referrer", "device_type", "country", "city")
     start = F.struct(
         "ts",
         "seq",
-        *[S.text_or_null(F.col(t)).alias(t) for t in texts],
-        *[S.number_or_null(F.col(n), zero_is_null).alias(n) for n in ("latitude", "longitude")],
+        *[S.text_or_null(F.col(t)).alias(t) for t in CONTEXT_TEXTS],
+        *[S.number_or_null(F.col(n), zero_is_null).alias(n) for n in CONTEXT_NUMBERS],
     )
-    agg = r.groupBy("session_id").agg(
+    return r.groupBy("session_id").agg(
         F.min(F.when(F.col("event") == START, start)).alias("s"),
         F.max(F.when(F.col("event") == END, _at())).alias("e"),
     )
+
+
+def bounds_to_sessions(bounds: DataFrame) -> DataFrame:
     begun = F.struct("s.ts", "s.seq")
-    return agg.filter(F.col("s").isNotNull()).select(
+    return bounds.filter(F.col("s").isNotNull()).select(
         "session_id",
         F.col("s.ts").alias("start_time"),
         F.when(F.col("e") > begun, F.col("e.ts")).alias("end_time"),
-        *[f"s.{t}" for t in texts],
-        "s.latitude",
-        "s.longitude",
+        *[f"s.{t}" for t in (*CONTEXT_TEXTS, *CONTEXT_NUMBERS)],
     )
 
 
-def fold_page_views(raw: DataFrame, zero_is_null: bool = True, chunk_ms: int = CHUNK_MS) -> DataFrame:
-    """Page views with everything later records add to them.
+def fold_sessions(raw: DataFrame, zero_is_null: bool = True) -> DataFrame:
+    """One row per started session. The first start wins and supplies the context;
+    the last ``session_end`` after it sets ``end_time``. One aggregation, no window."""
+    return bounds_to_sessions(session_bounds(raw, zero_is_null))
 
-    Every accepted record yields what it says about a view: a page record opens one;
-    a page or ``session_end`` record with a time spent closes the latest earlier view;
-    a ``performance`` record carries vitals for the latest view. Per view and field the
-    latest non-missing statement wins. Views are keyed by (session, ts, seq), so the
-    second shuffle is balanced however long a session is.
+
+def view_statements(
+    valid: DataFrame, zero_is_null: bool = True, at: Column | None = None
+) -> DataFrame:
+    """What every accepted record says about a page view.
+
+    A page record opens one; a page or ``session_end`` record with a time spent closes
+    the latest earlier view; a ``performance`` record carries vitals for the latest
+    view. ``at`` orders the statements.
     """
-    r = accepted(evolve_schema(raw, schemas.TRACKING), chunk_ms)
     c = F.col
     spent = F.nullif(c("time_spent"), F.lit(0).cast("bigint"))
     vitals = {v: S.number_or_null(c(v), zero_is_null) for v in schemas.VITALS}
@@ -204,15 +217,23 @@ def fold_page_views(raw: DataFrame, zero_is_null: bool = True, chunk_ms: int = C
             F.when(c("latest_view").isNotNull() & (closes | measures), said),
         )
     )
-    rows = r.select("session_id", _at().alias("at"), F.explode(statements).alias("v")).select(
+    when = _at() if at is None else at
+    return valid.select("session_id", when.alias("at"), F.explode(statements).alias("v")).select(
         "session_id", "at", "v.*"
     )
 
+
+def merge_statements(statements: DataFrame) -> DataFrame:
+    """Page views from statements: per view and field the latest non-missing one wins.
+    Views are keyed by (session, ts, seq), so however long a session is, the shuffle is
+    balanced."""
+    c = F.col
+
     def latest(name: str) -> Column:
         return F.max(F.when(c(name).isNotNull(), F.struct("at", name)))[name].alias(name)
 
     return (
-        rows.groupBy("session_id", "view")
+        statements.groupBy("session_id", "view")
         .agg(
             F.max("page").alias("page"),
             F.max("scroll_depth").alias("scroll_depth"),
@@ -231,11 +252,16 @@ def fold_page_views(raw: DataFrame, zero_is_null: bool = True, chunk_ms: int = C
     )
 
 
-def fold_events(raw: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
-    """Named records other than session starts and ends."""
-    r = accepted(evolve_schema(raw, schemas.TRACKING), chunk_ms)
+def fold_page_views(raw: DataFrame, zero_is_null: bool = True, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """Page views with everything later records add to them."""
+    valid = accepted(evolve_schema(raw, schemas.TRACKING), chunk_ms)
+    return merge_statements(view_statements(valid, zero_is_null))
+
+
+def named_events(valid: DataFrame) -> DataFrame:
+    """Accepted records with a name, other than session starts and ends."""
     named = S.present(F.coalesce("event", F.lit(""))) & ~F.col("event").isin(START, END)
-    return r.filter(named).select(
+    return valid.filter(named).select(
         F.col("seq").alias("id"),
         "session_id",
         F.col("event").alias("event_name"),
@@ -243,3 +269,7 @@ def fold_events(raw: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
         S.text_or_null(F.col("href")).alias("href"),
         F.col("ts").alias("timestamp"),
     )
+
+
+def fold_events(raw: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    return named_events(accepted(evolve_schema(raw, schemas.TRACKING), chunk_ms))

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_MS = 15 * 60 * 1000
+BEFORE_ALL = -(2**63)  # chunk number of what comes before all data
 
 
 @dataclass(frozen=True)
@@ -46,11 +47,13 @@ def running(
     order: list[str],
     values: list[Running],
     chunk: Column,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
     """Add the running ``values`` to ``df``.
 
     ``keys`` and ``order`` name non-NULL columns, ``order`` is ascending and unique
-    within a key, and ``chunk`` must never decrease along ``order``.
+    within a key, and ``chunk`` must never decrease along ``order``. ``initial`` (keys
+    and one column per value) is what a key brings along from earlier data.
     """
     ch, carried = "__chunk", "__carried"
     inputs = {v.name: f"__in_{v.name}" for v in values}
@@ -73,10 +76,17 @@ def running(
     earlier = (
         Window.partitionBy(*keys).orderBy(ch).rowsBetween(Window.unboundedPreceding, -1)
     )
+    totals = src.groupBy(*keys, ch).agg(*[total(v).alias(inputs[v.name]) for v in values])
+    if initial is not None:
+        totals = totals.unionByName(
+            initial.select(
+                *keys,
+                F.lit(BEFORE_ALL).alias(ch),
+                *[F.col(v.name).alias(inputs[v.name]) for v in values],
+            )
+        )
     inherited = (
-        src.groupBy(*keys, ch)
-        .agg(*[total(v).alias(inputs[v.name]) for v in values])
-        .select(*keys, ch, *[over(v, earlier).alias(inputs[v.name]) for v in values])
+        totals.select(*keys, ch, *[over(v, earlier).alias(inputs[v.name]) for v in values])
         .filter(reduce(or_, [F.col(i).isNotNull() for i in inputs.values()]))
         .withColumn(carried, F.lit(True))
     )

@@ -1,0 +1,69 @@
+"""Keyed streams over event-time windows: sessions, quotas and bursts.
+
+All three are native windowed aggregations, so late data is bounded by the watermark
+and state by the open windows. Results are emitted once a window is closed.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from clickweave.operators.behavior import SESSION_GAP_MS
+from clickweave.operators.quota import RATE_LIMIT_EXCEEDED
+
+
+def _millis(ms: int) -> str:
+    return f"{ms} milliseconds"
+
+
+def sessions(
+    events: DataFrame, user: str, ts: str, delay: str, gap_ms: int = SESSION_GAP_MS
+) -> DataFrame:
+    """Sessions of each user; a pause of exactly the gap does not split."""
+    ms = F.unix_millis(F.col(ts))
+    return (
+        events.withWatermark(ts, delay)
+        .groupBy(user, F.session_window(ts, _millis(gap_ms)).alias("w"))
+        .agg(F.count("*").alias("n_events"), F.min(ms).alias("session_start"), F.max(ms).alias("last_activity"))
+        .drop("w")
+    )
+
+
+def over_quota(
+    events: DataFrame, identifier: str, ts: str, limit: int, interval_ms: int, delay: str
+) -> DataFrame:
+    """Identifiers with more than ``limit`` hits in an interval."""
+    return (
+        events.withWatermark(ts, delay)
+        .groupBy(identifier, F.window(ts, _millis(interval_ms)).alias("w"))
+        .agg(F.count("*").alias("hits"))
+        .filter(F.col("hits") > limit)
+        .select(
+            identifier,
+            F.unix_millis("w.start").alias("window_start"),
+            "hits",
+            F.lit(RATE_LIMIT_EXCEEDED).alias("code"),
+        )
+    )
+
+
+def bursts(entries: DataFrame, key: str, ts: str, seq: str, wait_ms: int, fields: list[str], delay: str) -> DataFrame:
+    """Trailing debounce: rows less than ``wait_ms`` apart merge, the last non-NULL value
+    per field survives. A session window also joins rows exactly its gap apart, hence
+    the gap of one millisecond less."""
+    ms = F.unix_millis(F.col(ts))
+    at = F.struct(ms.alias("ts"), F.col(seq).alias("seq"))
+
+    def latest(f: str) -> Column:
+        return F.max(F.when(F.col(f).isNotNull(), F.struct(at.alias("at"), F.col(f).alias("v")))).alias(f)
+
+    merged = (
+        entries.withWatermark(ts, delay)
+        .groupBy(key, F.session_window(ts, _millis(wait_ms - 1)).alias("w"))
+        .agg(F.min(ms).alias("first_ts"), F.max(at).alias("end"), F.count("*").alias("n_rows"), *[latest(f) for f in fields])
+    )
+    return merged.select(
+        key, "first_ts", F.col("end.ts").alias("ts"), F.col("end.seq").alias("seq"), "n_rows",
+        *[F.col(f"{f}.v").alias(f) for f in fields],
+    )
