@@ -165,7 +165,8 @@ def changes(
 
 
 def deployment_record(deployment: DataFrame, comparison: DataFrame) -> DataFrame:
-    """A deployment (one row) with its comparison (one row), ready to be appended."""
+    """A deployment (one row) with its comparison or rollup (one row), ready to be
+    appended. The two kinds of record fill different columns of the table."""
     packed = comparison.select(F.struct(*comparison.columns).alias("m")).scalar()
     return (
         deployment.withColumn("m", packed)
@@ -238,6 +239,16 @@ def deployment_rollup(views: DataFrame, events: DataFrame, tf: Timeframe) -> Dat
     )
 
 
+def stamped(metrics: DataFrame, tf: Timeframe) -> DataFrame:
+    """Window metrics with the window's bounds as columns."""
+    return metrics.withColumns(
+        {
+            "metrics_start_time": F.lit(tf.lo).cast("bigint"),
+            "metrics_end_time": F.lit(tf.hi).cast("bigint"),
+        }
+    )
+
+
 def deployment_rollup_literal(views: DataFrame, events: DataFrame, tf: Timeframe) -> DataFrame:
     """The same KPIs as written originally, over views joined with the events of their
     session. A session with ``n`` views and ``m`` events contributes ``n * max(m, 1)``

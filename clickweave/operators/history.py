@@ -65,7 +65,7 @@ def history_view(
 
 def history_labels(history: DataFrame) -> DataFrame:
     """The history table as the dashboard labels it."""
-    conversion = F.coalesce("conversionRate", F.lit(0.0))
+    conversion = S.percent_label(F.col("conversionRate"))
     return history.select(
         "role",
         "deploymentId",
@@ -73,7 +73,7 @@ def history_labels(history: DataFrame) -> DataFrame:
         F.col("totalVisitors").cast("string").alias("visitors"),
         S.percent_label(F.col("bounceRate")).alias("bounce"),
         S.seconds_label(F.col("avgTimeSpentSeconds")).alias("avg_time"),
-        F.when(conversion == 0, F.lit("0%")).otherwise(S.percent_label(conversion)).alias("conversion"),
+        F.coalesce(conversion, F.lit("0%")).alias("conversion"),
     )
 
 

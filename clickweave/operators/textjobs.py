@@ -15,7 +15,8 @@ from clickweave.functions import texts as X
 from clickweave.operators.history import KPIS, deployment_deltas, last_deployments
 from clickweave.operators.running import Running, running
 
-# Number of recent commits, defaults of a reply, and the change types.
+# Number of recent commits, defaults of a reply, the change types, and the
+# headings of the page context.
 RECENT_K = 3
 DEFAULT_CONFIDENCE = 0.5
 DEFAULT_REASONING = "No reasoning provided"
@@ -32,6 +33,14 @@ CHANGE_TYPES = (
     "LAYOUT_CHANGE",
     "RESPONSIVE_CHANGE",
 )
+HEADINGS = {
+    "page": "Main File: ",
+    "components": "Component Files: ",
+    "files": "FILE CONTENTS:",
+    "history": "METRICS HISTORY:",
+    "deltas": "METRIC CHANGES AFTER DEPLOYMENTS:",
+    "recent": "RECENT CHANGES TO THIS PAGE:",
+}
 STRICT_JSON = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
 
 
@@ -187,7 +196,7 @@ def rejected_replies(replies: DataFrame) -> DataFrame:
     return _parsed(replies).filter(F.col("changes").isNull()).select("reply_id", "raw", "cleaned")
 
 
-def changes_by_file(replies: DataFrame, chunk: int = 1 << 20) -> DataFrame:
+def changes_by_file(replies: DataFrame, chunk: int = 1 << 16) -> DataFrame:
     """Changes grouped by file with their order kept: each gets its number within the
     file. A file's changes stay rows, however many there are."""
     rows = reply_changes(replies)
@@ -259,6 +268,7 @@ def page_context(
     )
     c = F.col
     block = lambda path, text: F.concat(F.lit("--- "), path, F.lit(" ---\n"), text)
+    title = lambda name: F.lit(f"\n\n{HEADINGS[name]}\n")
     needles = F.concat(F.array("path"), c("components"))
     return (
         pages.withColumn("components", X.relative_imports(c("content")))
@@ -267,9 +277,9 @@ def page_context(
         .select(
             c("path").alias("main_file"),
             F.concat(
-                F.lit("Main File: "), c("path"),
-                F.lit("\nComponent Files: "), F.array_join("components", ", "),
-                F.lit("\n\nFILE CONTENTS:\n"),
+                F.lit(HEADINGS["page"]), c("path"), F.lit("\n"),
+                F.lit(HEADINGS["components"]), F.array_join("components", ", "),
+                title("files"),
                 F.array_join(
                     F.concat(
                         F.array(block(c("path"), c("content"))),
@@ -280,9 +290,9 @@ def page_context(
                     ),
                     "\n",
                 ),
-                F.lit("\n\nMETRICS HISTORY:\n"), c("history"),
-                F.lit("\n\nMETRIC CHANGES AFTER DEPLOYMENTS:\n"), c("deltas"),
-                F.lit("\n\nRECENT CHANGES TO THIS PAGE:\n"),
+                title("history"), c("history"),
+                title("deltas"), c("deltas"),
+                title("recent"),
                 F.to_json(_relevant(c("recent"), needles)),
             ).alias("context"),
         )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -55,6 +56,16 @@ def in_timeframe(df: DataFrame, column: str, tf: Timeframe = ALL_TIME) -> DataFr
     return df
 
 
+def timeframe_from_params(start: str | None, end: str | None) -> Timeframe:
+    """Bounds from query parameters: the leading integer counts, anything else is open."""
+
+    def bound(text: str | None) -> int | None:
+        m = re.match(r"\s*([+-]?[0-9]+)", text or "")
+        return int(m.group(1)) if m else None
+
+    return Timeframe(bound(start), bound(end))
+
+
 def preset_timeframe(name: str, now_ms: int) -> Timeframe:
     days = PRESETS[name]
     return ALL_TIME if days is None else Timeframe(now_ms - days * DAY_MS, now_ms)

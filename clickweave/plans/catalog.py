@@ -12,6 +12,7 @@ from clickweave.functions import scalars as S
 from clickweave.operators import behavior, deploy, experiments, history, ingest, quota, site, textjobs
 from clickweave.operators.timeframe import ALL_TIME, Timeframe, deploy_windows
 from clickweave.session import scratch_dir
+from clickweave.plans import jobs
 from clickweave.sources import tables
 from clickweave.sources.fixtures import view
 from clickweave.streaming import queries as streams
@@ -26,6 +27,8 @@ QUOTA_LIMIT, QUOTA_INTERVAL_MS = 2, 86_400_000
 CONTROL = "A"
 SIZE_LEVELS = [(0.1, 0.95, 0.8), (0.2, 0.9, 0.85), (0.05, 0.99, 0.9), (0.5, 0.7, 0.999)]
 BATCH_SIZE = 50
+# The interaction views compress a week into two minutes, so chunks shrink as well.
+CHUNK = 1_000
 VITAL_FIELDS = ["ttfb", "fcp", "lcp", "cls", "fid"]
 
 
@@ -100,13 +103,15 @@ def _gate_known(raw: DataFrame) -> DataFrame:
     return both.select("session_id", "seq", "passed")
 
 
-def _folded_site(raw: DataFrame) -> DataFrame:
-    """From the raw log to the site report in one plan."""
-    sessions, views, events = ingest.fold_sessions(raw), ingest.fold_page_views(raw), ingest.fold_events(raw)
-    normal = sessions.withColumn(
-        "device_type", S.device_type(F.col("user_agent"), F.lit(None).cast("string"))
+def _raw_to_site_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the raw log over the stored tables to the site report."""
+    root = scratch_dir(spark, "folded")
+    jobs.ingest_log(view(spark, sf_dir, "fx_raw"), root)
+    return site.site_report(
+        jobs.with_device(tables.read_sessions(spark, root)),
+        tables.read_page_views(spark, root),
+        tables.read_events(spark, root),
     )
-    return site.site_report(normal, views, events)
 
 
 def _ingest() -> dict[str, Query]:
@@ -135,7 +140,7 @@ def _ingest() -> dict[str, Query]:
         "fold_events": raw(
             lambda r: ingest.fold_events(r).select("id", "session_id", "event_name", "element", "timestamp")
         ),
-        "raw_to_site_report": raw(_folded_site),
+        "raw_to_site_report": _raw_to_site_report,
     }
 
 
@@ -185,6 +190,11 @@ def _deployment_record(deploys: DataFrame, s: DataFrame, v: DataFrame) -> DataFr
     return deploy.deployment_record(one, deploy.window_comparison(s, v, DEPLOY_TIME))
 
 
+def _deployment_record_rollup(deploys: DataFrame, v: DataFrame, e: DataFrame) -> DataFrame:
+    one = deploys.filter(F.col("deploy_time") == DEPLOY_TIME)
+    return deploy.deployment_record(one, deploy.stamped(deploy.deployment_rollup(v, e, DAY), DAY))
+
+
 def _deploy() -> dict[str, Query]:
     sv, ve, v = _on("fx_sessions", "fx_page_views"), _on("fx_page_views", "fx_events"), _on("fx_page_views")
     return {
@@ -199,6 +209,7 @@ def _deploy() -> dict[str, Query]:
         "window_metrics_literal": sv(lambda s, v: deploy.window_metrics_literal(s, v, DAY)),
         "window_comparison": sv(lambda s, v: deploy.window_comparison(s, v, DEPLOY_TIME)),
         "deployment_record": _on("fx_deploys", "fx_sessions", "fx_page_views")(_deployment_record),
+        "deployment_record_rollup": _on("fx_deploys", "fx_page_views", "fx_events")(_deployment_record_rollup),
         "data_availability": _on(*SPE)(lambda s, v, e: deploy.data_availability(s, v, e, DAY)),
         "deployment_rollup": ve(lambda v, e: deploy.deployment_rollup(v, e, WEEK)),
         "deployment_rollup_empty": ve(lambda v, e: deploy.deployment_rollup(v, e, Timeframe(1, 2))),
@@ -248,7 +259,7 @@ def _behavior() -> dict[str, Query]:
 
     def bursts(wait: int) -> Query:
         return p(
-            lambda e: behavior.compact_bursts(samples(e), "view_id", wait, VITAL_FIELDS).select(
+            lambda e: behavior.compact_bursts(samples(e), "view_id", wait, VITAL_FIELDS, CHUNK).select(
                 "view_id", "first_ts", "ts", "seq", "n_rows", *[S.fixed(F.col(f), 4).alias(f) for f in VITAL_FIELDS]
             )
         )
@@ -256,15 +267,15 @@ def _behavior() -> dict[str, Query]:
     return {
         "sessionize": _sessionize(behavior.SESSION_GAP_MS),
         "sessionize_6h": _sessionize(6 * 3_600_000),
-        "engagement": i(behavior.engagement),
-        "bounce_or_end": i(behavior.bounce_or_end),
+        "engagement": i(lambda x: behavior.engagement(x, CHUNK)),
+        "bounce_or_end": i(lambda x: behavior.bounce_or_end(x, CHUNK)),
         "scroll_bucket": i(behavior.scroll_buckets),
         "scroll_percent": i(_scroll_geometry),
-        "max_scroll": i(behavior.running_max_scroll),
+        "max_scroll": i(lambda x: behavior.running_max_scroll(x, CHUNK)),
         "web_vitals": p(behavior.web_vitals),
         "compact_bursts": bursts(behavior.MERGE_WAIT_MS),
         "compact_bursts_2s": bursts(behavior.SEND_WAIT_MS),
-        "section_dwell": i(behavior.section_dwell),
+        "section_dwell": i(lambda x: behavior.section_dwell(x, CHUNK)),
         "time_on_page": i(behavior.time_on_page),
         "over_quota": _on("fx_base")(
             lambda b: quota.flag_over_quota(

@@ -367,6 +367,13 @@ def _deploy() -> dict[str, str]:
             d.environment, d.commit_sha, d.branch, m.* FROM fx_deploys d, ({_comparison()}) m
             WHERE d.deploy_time = {C.DEPLOY_TIME}""",
         ),
+        "deployment_record_rollup": oracle(
+            ["fx_deploys", *all3[1:]],
+            f"""SELECT d.deploy_time, d.build_time, d.deploy_time - d.build_time AS deployment_duration, d.status,
+            d.environment, d.commit_sha, d.branch, m.*, CAST({C.DAY.lo} AS BIGINT) AS metrics_start_time,
+            CAST({C.DAY.hi} AS BIGINT) AS metrics_end_time FROM fx_deploys d, ({_rollup(C.DAY)}) m
+            WHERE d.deploy_time = {C.DEPLOY_TIME}""",
+        ),
         "data_availability": oracle(
             all3,
             f"""SELECT count(*) AS page_views_in_range,
@@ -427,7 +434,7 @@ def _history() -> dict[str, str]:
             f"""SELECT role, "deploymentId", "deploymentDate", CAST("totalVisitors" AS VARCHAR) AS visitors,
             concat({_label('"bounceRate"')}, '%') AS bounce,
             concat(CAST(CAST(floor("avgTimeSpentSeconds" + 0.5) AS BIGINT) AS VARCHAR), 's') AS avg_time,
-            CASE WHEN coalesce("conversionRate", 0) = 0 THEN '0%' ELSE concat({_label('"conversionRate"')}, '%') END AS conversion
+            CASE WHEN "conversionRate" IS NULL THEN '0%' ELSE concat({_label('"conversionRate"')}, '%') END AS conversion
             FROM ({both}) h"""
         ),
         "change_vs_previous_mean": _hist(

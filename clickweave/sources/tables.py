@@ -62,10 +62,10 @@ def _append_dated(df: DataFrame, root: str, table: str, schema: T.StructType) ->
         evolve_schema(df, schema)
         .select(*schema.fieldNames())
         .withColumn("event_date", day)
-        # One writer per day and session range: few files per folder, and a busy day
-        # is still written by many tasks.
-        .repartitionByRange("event_date", "session_id")
-        .sortWithinPartitions("event_date", "session_id")
+        # Few files per folder; a busy day, and even a busy session within it, is still
+        # written by many tasks, since the time is part of the range.
+        .repartitionByRange("event_date", "session_id", TIME_COLUMN[table])
+        .sortWithinPartitions("event_date", "session_id", TIME_COLUMN[table])
         .write.mode("append")
         .partitionBy("event_date")
         .parquet(f"{root}/{table}")

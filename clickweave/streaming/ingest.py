@@ -49,14 +49,16 @@ def _known(spark: SparkSession, root: str, batch: DataFrame, batch_id: int) -> D
 
 
 def fold_batch(batch: DataFrame, batch_id: int, root: str) -> None:
-    records = evolve_schema(batch, schemas.TRACKING).persist()
+    records = evolve_schema(batch, schemas.TRACKING)
     spark = records.sparkSession
+    known = _known(spark, root, records, batch_id)
+    # Read by every table below; lost blocks are computed again from the batch.
+    gated = ingest.session_gate(records, known=known).persist()
 
     def save(df: DataFrame, table: str) -> None:
         df.write.mode("overwrite").parquet(f"{root}/{table}/batch_id={batch_id}")
 
     try:
-        gated = ingest.session_gate(records, known=_known(spark, root, records, batch_id))
         valid = gated.filter(F.col("started").isNotNull())
         arrival = F.struct(F.lit(batch_id).cast("bigint").alias("batch"), "ts", "seq")
         save(ingest.view_statements(valid, at=arrival), "view_statements")
@@ -80,7 +82,7 @@ def fold_batch(batch: DataFrame, batch_id: int, root: str) -> None:
             "known",
         )
     finally:
-        records.unpersist()
+        gated.unpersist()
 
 
 def start(records: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
