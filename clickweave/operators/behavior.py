@@ -33,13 +33,13 @@ SIGNALS = ("scroll", "signal")
 def _runs(
     df: DataFrame, keys: list[str], order: list[str], starts: Column, name: str, chunk: Column
 ) -> DataFrame:
-    """Add ``name``: position (struct of the order columns) of the first row of the run
-    a row belongs to. ``starts`` is tested with ``previous``, the ts before the row."""
-    lagged = running(
-        df, keys, order, [Running("previous", "last", F.col(order[0]), inclusive=False)], chunk
-    )
-    first = F.when(F.col("previous").isNull() | starts, F.struct(*order))
-    return running(lagged, keys, order, [Running(name, "last", first)], chunk).drop("previous")
+    """Add ``name``: time of the first row of the run a row belongs to. ``starts`` is
+    tested with ``previous``, the time before the row. Times only grow along the order,
+    so both are running maxima of one number, which aggregate by hash."""
+    ts = F.col(order[0])
+    lagged = running(df, keys, order, [Running("previous", "max", ts, inclusive=False)], chunk)
+    first = F.when(F.col("previous").isNull() | starts, ts)
+    return running(lagged, keys, order, [Running(name, "max", first)], chunk).drop("previous")
 
 
 def sessionize(
@@ -48,10 +48,8 @@ def sessionize(
     """Add ``session_start`` and ``session_id``. A session ends when its user is idle for
     strictly more than ``gap_ms``; the id is the user and the start."""
     idle = F.col(ts) - F.col("previous") > gap_ms
-    runs = _runs(df, [user], [ts, tie], idle, "run", time_chunk(F.col(ts), chunk_ms))
-    return runs.withColumn("session_start", F.col(f"run.{ts}")).withColumn(
-        "session_id", F.concat_ws("-", F.col(user), F.col("session_start"))
-    ).drop("run")
+    runs = _runs(df, [user], [ts, tie], idle, "session_start", time_chunk(F.col(ts), chunk_ms))
+    return runs.withColumn("session_id", F.concat_ws("-", F.col(user), F.col("session_start")))
 
 
 def compact_bursts(
@@ -60,17 +58,17 @@ def compact_bursts(
     """Trailing debounce: rows closer than ``wait_ms`` to the one before form a burst.
     One row per burst, at its last row's time, with the last non-NULL value per field."""
     apart = F.col("ts") - F.col("previous") >= wait_ms
-    runs = _runs(df, [key], ["ts", "seq"], apart, "run", time_chunk(F.col("ts"), chunk_ms))
+    runs = _runs(df, [key], ["ts", "seq"], apart, "first_ts", time_chunk(F.col("ts"), chunk_ms))
     at = F.struct("ts", "seq")
 
     def latest(f: str) -> Column:
         return F.max(F.when(F.col(f).isNotNull(), F.struct(at.alias("at"), F.col(f))))[f].alias(f)
 
-    return runs.groupBy(key, "run").agg(
+    return runs.groupBy(key, "first_ts").agg(
         F.max(at).alias("end"), F.count("*").alias("n_rows"), *[latest(f) for f in fields]
     ).select(
         key,
-        F.col("run.ts").alias("first_ts"),
+        "first_ts",
         F.col("end.ts").alias("ts"),
         F.col("end.seq").alias("seq"),
         "n_rows",

@@ -152,7 +152,9 @@ def gate_against(raw: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFr
 
 def session_bounds(raw: DataFrame, zero_is_null: bool = True) -> DataFrame:
     """Per session: its first start with its context, and its last ``session_end``."""
-    r = evolve_schema(raw, schemas.TRACKING).filter(S.present(F.coalesce("session_id", F.lit(""))))
+    r = evolve_schema(raw, schemas.TRACKING).filter(
+        F.col("event").isin(START, END) & S.present(F.coalesce("session_id", F.lit("")))
+    )
     start = F.struct(
         "ts",
         "seq",

@@ -76,6 +76,7 @@ def running(
     earlier = (
         Window.partitionBy(*keys).orderBy(ch).rowsBetween(Window.unboundedPreceding, -1)
     )
+    # Every chunk gets its row, also one that adds nothing: it still inherits.
     totals = src.groupBy(*keys, ch).agg(*[total(v).alias(inputs[v.name]) for v in values])
     if initial is not None:
         totals = totals.unionByName(

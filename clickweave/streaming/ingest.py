@@ -64,7 +64,7 @@ def fold_batch(batch: DataFrame, batch_id: int, root: str) -> None:
         save(ingest.view_statements(valid, at=arrival), "view_statements")
         save(ingest.named_events(valid), "events")
         ends = F.coalesce(F.col("event").isin(ingest.START, ingest.END), F.lit(False))
-        save(ingest.session_bounds(valid.filter(ends)), "session_bounds")
+        save(ingest.session_bounds(valid), "session_bounds")
         no_id = ~S.present(F.coalesce("session_id", F.lit("")))
         early = gated.filter(F.col("started").isNull()).select(
             "session_id", "seq", "ts", F.lit(ingest.INVALID_SESSION).alias("reason")
