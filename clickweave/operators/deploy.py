@@ -106,7 +106,7 @@ def window_comparison(
     the instant they share counts in both."""
     current, previous = deploy_windows(deploy_time_s)
     both = Timeframe(previous.start, current.end)
-    at = lambda col, tf: F.col(col).between(tf.lo, tf.hi)
+    at = lambda col, tf: F.col(col).between(tf.start, tf.end)
 
     sums = (
         in_timeframe(views, "timestamp", both)
@@ -147,8 +147,8 @@ def window_comparison(
             c("cur_bounce"), c("prev_bounce"),
             c("cur_engagement"), c("prev_engagement"),
         ),
-        F.lit(current.lo).cast("bigint").alias("metrics_start_time"),
-        F.lit(current.hi).cast("bigint").alias("metrics_end_time"),
+        F.lit(current.start).cast("bigint").alias("metrics_start_time"),
+        F.lit(current.end).cast("bigint").alias("metrics_end_time"),
     )
 
 
@@ -243,8 +243,8 @@ def stamped(metrics: DataFrame, tf: Timeframe) -> DataFrame:
     """Window metrics with the window's bounds as columns."""
     return metrics.withColumns(
         {
-            "metrics_start_time": F.lit(tf.lo).cast("bigint"),
-            "metrics_end_time": F.lit(tf.hi).cast("bigint"),
+            "metrics_start_time": F.lit(tf.start).cast("bigint"),
+            "metrics_end_time": F.lit(tf.end).cast("bigint"),
         }
     )
 

@@ -30,10 +30,11 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     A cluster names the shared folder in ``spark.checkpoint.dir``. Only a local
     session, where driver and executors are one process, may do without it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="clickweave-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        sc.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
