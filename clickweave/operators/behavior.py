@@ -6,11 +6,13 @@ Interactions are rows ``(view_id, seq, ts, kind, ...)``; ``ts`` is in millisecon
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickweave.functions import scalars as S
-from clickweave.operators.running import CHUNK_MS, Running, running, time_chunk
+from clickweave.operators.running import CHUNK_MS, Running, Scan, running, running_steps, time_chunk
 
 # Idle time that ends a session, bounce timer, engagement minima, the
 # waits of the two debounce stages, and the performance entry names (milliseconds).
@@ -31,15 +33,21 @@ SIGNALS = ("scroll", "signal")
 
 
 def _runs(
-    df: DataFrame, keys: list[str], order: list[str], starts: Column, name: str, chunk: Column
+    df: DataFrame, keys: list[str], order: list[str], starts: Column, name: str, chunk: Column,
+    then: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> DataFrame:
     """Add ``name``: time of the first row of the run a row belongs to. ``starts`` is
     tested with ``previous``, the time before the row. Times only grow along the order,
-    so both are running maxima of one number, which aggregate by hash."""
+    so both are running maxima of one number, which aggregate by hash. ``then`` continues
+    while the rows still lie together by key."""
     ts = F.col(order[0])
-    lagged = running(df, keys, order, [Running("previous", "max", ts, inclusive=False)], chunk)
     first = F.when(F.col("previous").isNull() | starts, ts)
-    return running(lagged, keys, order, [Running(name, "max", first)], chunk).drop("previous")
+
+    def steps(part: DataFrame, scan: Scan) -> DataFrame:
+        lagged = scan(part, [Running("previous", "max", ts, inclusive=False)])
+        return then(scan(lagged, [Running(name, "max", first)]).drop("previous"))
+
+    return running_steps(df, keys, order, chunk, steps)
 
 
 def sessionize(
@@ -58,38 +66,20 @@ def compact_bursts(
     """Trailing debounce: rows closer than ``wait_ms`` to the one before form a burst.
     One row per burst, at its last row's time, with the last non-NULL value per field."""
     apart = F.col("ts") - F.col("previous") >= wait_ms
-    runs = _runs(df, [key], ["ts", "seq"], apart, "first_ts", time_chunk(F.col("ts"), chunk_ms))
     at = F.struct("ts", "seq")
 
     def latest(f: str) -> Column:
         return F.max(F.when(F.col(f).isNotNull(), F.struct(at.alias("at"), F.col(f))))[f].alias(f)
 
-    return runs.groupBy(key, "first_ts").agg(
-        F.max(at).alias("end"), F.count("*").alias("n_rows"), *[latest(f) for f in fields]
-    ).select(
-        key,
-        "first_ts",
-        F.col("end.ts").alias("ts"),
-        F.col("end.seq").alias("seq"),
-        "n_rows",
-        *fields,
-    )
-
+    def merged(rows: DataFrame) -> DataFrame:
+        bursts = rows.groupBy(key, "first_ts").agg(
+            F.max(at).alias("end"), F.count("*").alias("n_rows"), *[latest(f) for f in fields]
+        )
+        ends = [F.col("end.ts").alias("ts"), F.col("end.seq").alias("seq")]
+        return bursts.select(key, "first_ts", *ends, "n_rows", *fields)
 
-def _progress(interactions: DataFrame, chunk_ms: int) -> DataFrame:
-    """Rows with what was known about the view when they happened."""
-    is_signal = F.col("kind").isin(*SIGNALS)
-    return running(
-        interactions.withColumn("is_signal", is_signal),
-        ["view_id"],
-        ["ts", "seq"],
-        [
-            Running("start", "min", F.col("ts")),
-            Running("scroll_so_far", "max", F.col("scroll_pct")),
-            Running("signals_before", "sum", F.col("is_signal").cast("bigint"), inclusive=False),
-        ],
-        time_chunk(F.col("ts"), chunk_ms),
-    )
+    chunk = time_chunk(F.col("ts"), chunk_ms)
+    return _runs(df, [key], ["ts", "seq"], apart, "first_ts", chunk, merged)
 
 
 def engagement(interactions: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
@@ -103,18 +93,29 @@ def engagement(interactions: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
         | (F.coalesce("scroll_so_far", F.lit(0)) >= SIGNIFICANT_SCROLL)
         | (F.coalesce("signals_before", F.lit(0)) > 0)
     )
-    return (
-        _progress(interactions, chunk_ms)
-        .groupBy("view_id")
-        .agg(
-            F.min("ts").alias("start"),
-            F.max("ts").alias("end"),
-            F.count_if("is_signal").alias("interactions"),
-            F.coalesce(F.max("scroll_pct"), F.lit(0)).alias("max_scroll"),
-            F.min(F.when(engages, F.col("ts"))).alias("engaged_at"),
+    so_far = [
+        Running("start", "min", F.col("ts")),
+        Running("scroll_so_far", "max", F.col("scroll_pct")),
+        Running("signals_before", "sum", F.col("is_signal").cast("bigint"), inclusive=False),
+    ]
+
+    def steps(part: DataFrame, scan: Scan) -> DataFrame:
+        return (
+            scan(part, so_far)
+            .groupBy("view_id")
+            .agg(
+                F.min("ts").alias("start"),
+                F.max("ts").alias("end"),
+                F.count_if("is_signal").alias("interactions"),
+                F.coalesce(F.max("scroll_pct"), F.lit(0)).alias("max_scroll"),
+                F.min(F.when(engages, F.col("ts"))).alias("engaged_at"),
+            )
+            .withColumn("engaged", F.col("engaged_at").isNotNull())
         )
-        .withColumn("engaged", F.col("engaged_at").isNotNull())
-    )
+
+    rows = interactions.withColumn("is_signal", F.col("kind").isin(*SIGNALS))
+    chunk = time_chunk(F.col("ts"), chunk_ms)
+    return running_steps(rows, ["view_id"], ["ts", "seq"], chunk, steps)
 
 
 def bounce_or_end(interactions: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:

@@ -7,12 +7,14 @@ latest page view" are found with running values instead of one lookup per record
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickweave import schemas
 from clickweave.functions import scalars as S
-from clickweave.operators.running import CHUNK_MS, Running, running, time_chunk
+from clickweave.operators.running import CHUNK_MS, Running, running_steps, time_chunk
 from clickweave.sources.tables import evolve_schema
 
 CONTEXT_TEXTS = ("user_agent", "ip_address", "referrer", "device_type", "country", "city")
@@ -95,31 +97,34 @@ def _is_view() -> Column:
 
 
 def session_gate(
-    raw: DataFrame, chunk_ms: int = CHUNK_MS, known: DataFrame | None = None
+    raw: DataFrame,
+    chunk_ms: int = CHUNK_MS,
+    known: DataFrame | None = None,
+    then: Callable[[DataFrame], DataFrame] = lambda gated: gated,
 ) -> DataFrame:
     """Records with a session id, with ``started`` (position of the session's first
     start, NULL before it) and ``latest_view`` (position of the latest valid page view
     before the record). Records without a start before them are invalid.
 
-    ``known`` holds both positions for sessions seen in earlier data.
+    ``known`` holds both positions for sessions seen in earlier data. ``then`` continues
+    with the records while they still lie together by session.
     """
     with_id = raw.filter(S.present(F.coalesce("session_id", F.lit(""))))
-    out = running(
+    values = [
+        Running("started", "min", F.when(F.col("event") == START, _at())),
+        Running("latest_view", "max", F.when(_is_view(), _at()), inclusive=False),
+    ]
+    # A page record before the session's start is no view; and if the latest page
+    # record is one of those, there is no valid view yet.
+    valid_view = F.when(F.col("latest_view") > F.col("started"), F.col("latest_view"))
+    return running_steps(
         with_id,
         ["session_id"],
         ["ts", "seq"],
-        [
-            Running("started", "min", F.when(F.col("event") == START, _at())),
-            Running("latest_view", "max", F.when(_is_view(), _at()), inclusive=False),
-        ],
         time_chunk(F.col("ts"), chunk_ms),
+        lambda part, scan: then(scan(part, values).withColumn("latest_view", valid_view)),
         known,
     )
-    # A page record before the session's start is no view; and if the latest page
-    # record is one of those, there is no valid view yet.
-    return out.withColumn(
-        "latest_view", F.when(F.col("latest_view") > F.col("started"), F.col("latest_view"))
-    )
 
 
 def accepted(raw: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
@@ -255,9 +260,13 @@ def merge_statements(statements: DataFrame) -> DataFrame:
 
 
 def fold_page_views(raw: DataFrame, zero_is_null: bool = True, chunk_ms: int = CHUNK_MS) -> DataFrame:
-    """Page views with everything later records add to them."""
-    valid = accepted(evolve_schema(raw, schemas.TRACKING), chunk_ms)
-    return merge_statements(view_statements(valid, zero_is_null))
+    """Page views with everything later records add to them. Ordinary sessions are merged
+    where the gate left them, without another shuffle."""
+
+    def merged(gated: DataFrame) -> DataFrame:
+        return merge_statements(view_statements(gated.filter("started IS NOT NULL"), zero_is_null))
+
+    return session_gate(evolve_schema(raw, schemas.TRACKING), chunk_ms, then=merged)
 
 
 def named_events(valid: DataFrame) -> DataFrame:

@@ -17,6 +17,14 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(params=["ordinary", "hot"])
+def both_ways(request, spark):
+    """Run a test with all keys treated as ordinary, then with all of them as hot."""
+    spark.conf.set("spark.clickweave.hotKeyRows", "1" if request.param == "hot" else "1000000")
+    yield request.param
+    spark.conf.unset("spark.clickweave.hotKeyRows")
+
+
 @pytest.fixture
 def table(spark):
     """Rows with a DDL schema as a DataFrame."""

@@ -11,7 +11,7 @@ def interactions(table, *rows):
 
 
 @pytest.mark.parametrize("chunk", [1, 500, 10**9])
-def test_sessions_split_only_after_more_than_the_gap(table, chunk):
+def test_sessions_split_only_after_more_than_the_gap(table, chunk, both_ways):
     gap = 1_800_000
     df = table("u string, ts long, n long", ("a", 0, 1), ("a", gap, 2), ("a", 2 * gap + 1, 3), ("b", 5, 4), ("a", 2 * gap + 1, 5))
     got = behavior.sessionize(df, "u", "ts", "n", gap, max(chunk, gap // 50))
@@ -21,7 +21,7 @@ def test_sessions_split_only_after_more_than_the_gap(table, chunk):
 
 
 @pytest.mark.parametrize("chunk", [1000, 10**9])
-def test_engagement(table, chunk):
+def test_engagement(table, chunk, both_ways):
     df = interactions(
         table,
         ("one", 0, "start"), ("one", 100, "signal"),
@@ -43,7 +43,7 @@ def test_engagement(table, chunk):
     }
 
 
-def test_section_dwell(table):
+def test_section_dwell(table, both_ways):
     df = interactions(
         table,
         ("v", 0, "leave", "s", None), ("v", 10, "enter", "s", None), ("v", 20, "enter", "s", None),
@@ -55,7 +55,7 @@ def test_section_dwell(table):
 
 
 @pytest.mark.parametrize("chunk", [700, 10**9])
-def test_bursts(table, chunk):
+def test_bursts(table, chunk, both_ways):
     df = table(
         "k string, seq long, ts long, a int, b int",
         ("x", 1, 0, 1, None), ("x", 2, 999, None, 2), ("x", 3, 1999, 5, None), ("x", 4, 2500, 6, None), ("x", 5, 2500, None, 7),
@@ -86,7 +86,7 @@ def test_web_vitals(table):
 
 
 @pytest.mark.parametrize("chunk", [None, 5])
-def test_quota(table, chunk):
+def test_quota(table, chunk, both_ways):
     df = table("u string, ts long, n long", *[("a", t, i) for i, t in enumerate([0, 10, 20, 99, 100, 101])], ("b", 5, 9))
     got = quota.flag_over_quota(df, "u", "ts", "n", 2, 100, chunk)
     flags = {r.n: r.code for r in got.collect()}

@@ -96,7 +96,7 @@ def test_literal_rollup_counts_joined_rows(facts):
 
 @pytest.mark.parametrize("seed", range(4))
 @pytest.mark.parametrize("width", [50, 1000])
-def test_all_deployments_against_single_rollups(table, seed, width):
+def test_all_deployments_against_single_rollups(table, seed, width, both_ways):
     """Dense deployments, ties, and windows narrower and wider than sessions."""
     rng = random.Random(seed)
     view_rows = [(i, f"s{rng.randrange(6)}", rng.randrange(0, 2000), None, None, None, None) for i in range(60)]

@@ -42,7 +42,7 @@ def test_no_previous_mean_means_no_change(table):
     assert history.previous_deployments(d, "preview").count() == 0
 
 
-def test_deltas(table):
+def test_deltas(table, both_ways):
     d = table(D, *rows(
         (1, 100, "production", 10, 50.0, 1.0), (2, 100, "production", 25, 40.0, None),
         (3, 10**8, "production", 5, 0.0, 2.0), (4, 7, "preview", 1, 1.0, 1.0),

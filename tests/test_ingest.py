@@ -24,7 +24,7 @@ def test_session_start_and_end(raw):
     assert kept["a"] == (0.0,)
 
 
-def test_rejects(raw):
+def test_rejects(raw, both_ways):
     log = raw(
         (None, 1, 5, "session_start"), ("", 2, 5, "click"), ("a", 3, 5, "pageview", {"page": "/"}),
         ("a", 4, 6, "session_start"), ("a", 5, 6, "click"), ("b", 6, 1, "click"),
@@ -34,7 +34,7 @@ def test_rejects(raw):
     }
 
 
-def test_time_spent_goes_to_the_view_before(raw):
+def test_time_spent_goes_to_the_view_before(raw, both_ways):
     log = raw(
         ("a", 0, 1, "pageview", {"page": "/early", "time_spent": 9}),
         ("a", 1, 10, "session_start"),
@@ -50,7 +50,7 @@ def test_time_spent_goes_to_the_view_before(raw):
     assert got == {"/1": (7,), "/2": (11,)}
 
 
-def test_performance_updates_the_latest_view(raw):
+def test_performance_updates_the_latest_view(raw, both_ways):
     log = raw(
         ("a", 1, 10, "session_start"),
         ("a", 2, 15, "performance", {"ttfb": 1.0}),
@@ -68,7 +68,7 @@ def test_performance_updates_the_latest_view(raw):
 
 
 @pytest.mark.parametrize("chunk", [1, 7, 10**12])
-def test_every_record_has_one_fate(spark, chunk):
+def test_every_record_has_one_fate(spark, chunk, both_ways):
     from clickweave.sources.fixtures import view
 
     log = view(spark, "/root/testdata/sf0.001", "fx_raw")

@@ -28,7 +28,7 @@ def log(spark):
 
 
 @pytest.mark.parametrize("parts", [1, 5])
-def test_micro_batches_equal_the_batch_fold(spark, log, parts):
+def test_micro_batches_equal_the_batch_fold(spark, log, parts, both_ways):
     """One file per trigger, files in order of arrival; sessions span several batches."""
     root = scratch_dir(spark, "stream")
     low, high = log.agg(F.min("ts"), F.max("ts")).collect()[0]
@@ -55,7 +55,7 @@ def test_repeated_batch_changes_nothing(spark, log):
     assert compact.count() == compact.select("session_id").distinct().count() == batch.fold_sessions(log).count()
 
 
-def test_late_batch_updates_the_latest_view(spark, raw):
+def test_late_batch_updates_the_latest_view(spark, raw, both_ways):
     """A record stamped earlier but arriving later still concerns the newest view."""
     root = scratch_dir(spark, "late")
     ingest.fold_batch(raw(("a", 1, 10, "session_start"), ("a", 2, 100, "pageview", {"page": "/"})), 0, root)
