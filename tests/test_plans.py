@@ -16,17 +16,13 @@ def plan_of(df):
 
 
 @pytest.mark.parametrize("name", BATCH)
-def test_no_python_and_no_products(spark, name):
+def test_plan(spark, name):
+    """No Python and no products. Every window is partitioned, but for the one over the
+    time axis, which sees a few sums per hour; and the ordinary branch never sees a hot
+    key."""
     plan = plan_of(entry.queries()[name](spark, SF_DIR))
     assert "Python" not in plan and "Pandas" not in plan
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
-
-
-@pytest.mark.parametrize("name", BATCH)
-def test_windows_are_partitioned(spark, name):
-    """Every window is partitioned, but for the one over the time axis, which sees a few
-    sums per hour; and the ordinary branch never sees a hot key."""
-    plan = plan_of(entry.queries()[name](spark, SF_DIR))
     windows = re.findall(r"\bWindow \[.*\], \[(.*?)\], \[(.*?)\]\s*$", plan, re.M)
     for keys, order in windows:
         assert keys or "__chunk" in order, order

@@ -21,7 +21,7 @@ def rows(spark):
     return spark.createDataFrame(data, "key string, ts long, seq long, x int").cache()
 
 
-@pytest.mark.parametrize("width", [1, 37, 1000, 10**9])
+@pytest.mark.parametrize("width", [1, 1000])
 @pytest.mark.parametrize("inclusive", [True, False])
 def test_equals_plain_window(rows, width, inclusive, both_ways):
     values = [Running(k, k, F.col("x"), inclusive) for k in KINDS]
