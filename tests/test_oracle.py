@@ -9,6 +9,9 @@ from compare import database, oracle_rows, spark_rows, type_differences
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
+# With the 15 users of the smallest data set no segment has both variants.
+MAY_BE_EMPTY = {"ab_test"}
+
 
 @pytest.fixture(scope="module")
 def con():
@@ -28,7 +31,7 @@ def test_query(spark, con, name):
     assert columns == names
     assert type_differences(df, con, sql) == {}
     assert ours == theirs
-    assert ours
+    assert ours or name in MAY_BE_EMPTY
 
 
 def test_entry(spark):
