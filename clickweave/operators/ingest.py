@@ -91,6 +91,10 @@ def _at() -> Column:
     return F.struct("ts", "seq")
 
 
+def _view() -> Column:
+    return F.struct("ts", "seq", "page")
+
+
 def _is_view() -> Column:
     ends = F.coalesce(F.col("event").isin(START, END), F.lit(False))
     return ~ends & S.present(F.coalesce("page", F.lit("")))
@@ -103,20 +107,23 @@ def session_gate(
     then: Callable[[DataFrame], DataFrame] = lambda gated: gated,
 ) -> DataFrame:
     """Records with a session id, with ``started`` (position of the session's first
-    start, NULL before it) and ``latest_view`` (position of the latest valid page view
-    before the record). Records without a start before them are invalid.
+    start, NULL before it), ``latest_view`` (position and page of the latest valid page
+    view before the record) and ``pos`` (number within the session). Records without a
+    start before them are invalid.
 
-    ``known`` holds both positions for sessions seen in earlier data. ``then`` continues
-    with the records while they still lie together by session.
+    ``known`` holds the three for sessions seen in earlier data. ``then`` continues with
+    the records while they still lie together by session.
     """
     with_id = raw.filter(S.present(F.coalesce("session_id", F.lit(""))))
     values = [
         Running("started", "min", F.when(F.col("event") == START, _at())),
-        Running("latest_view", "max", F.when(_is_view(), _at()), inclusive=False),
+        Running("latest_view", "max", F.when(_is_view(), _view()), inclusive=False),
+        Running("pos", "sum", F.lit(1)),
     ]
     # A page record before the session's start is no view; and if the latest page
     # record is one of those, there is no valid view yet.
-    valid_view = F.when(F.col("latest_view") > F.col("started"), F.col("latest_view"))
+    viewed = F.struct("latest_view.ts", "latest_view.seq")
+    valid_view = F.when(viewed > F.col("started"), F.col("latest_view"))
     return running_steps(
         with_id,
         ["session_id"],
@@ -139,7 +146,7 @@ def rejects(raw: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
     early = (
         session_gate(raw, chunk_ms)
         .filter(F.col("started").isNull())
-        .drop("started", "latest_view")
+        .drop("started", "latest_view", "pos")
         .withColumn("reason", F.lit(INVALID_SESSION))
     )
     status = F.when(F.col("reason") == INVALID_SESSION, 403).otherwise(400)
@@ -188,14 +195,12 @@ def fold_sessions(raw: DataFrame, zero_is_null: bool = True) -> DataFrame:
     return bounds_to_sessions(session_bounds(raw, zero_is_null))
 
 
-def view_statements(
-    valid: DataFrame, zero_is_null: bool = True, at: Column | None = None
-) -> DataFrame:
+def view_statements(valid: DataFrame, zero_is_null: bool = True) -> DataFrame:
     """What every accepted record says about a page view.
 
     A page record opens one; a page or ``session_end`` record with a time spent closes
     the latest earlier view; a ``performance`` record carries vitals for the latest
-    view. ``at`` orders the statements.
+    view. ``pos`` orders the statements of a session.
     """
     c = F.col
     spent = F.nullif(c("time_spent"), F.lit(0).cast("bigint"))
@@ -205,15 +210,13 @@ def view_statements(
     measures = ~_is_view() & (c("event") == PERFORMANCE)
 
     opened = F.struct(
-        _at().alias("view"),
-        c("page"),
+        _view().alias("view"),
         S.parse_int(c("scroll_depth")).cast("int").alias("scroll_depth"),
         spent.alias("time_spent"),
         *[vitals[v].alias(v) for v in schemas.VITALS],
     )
     said = F.struct(
         c("latest_view").alias("view"),
-        F.lit(None).cast("string").alias("page"),
         F.lit(None).cast("int").alias("scroll_depth"),
         F.when(closes, spent).alias("time_spent"),
         *[F.when(measures, vitals[v]).otherwise(none).alias(v) for v in schemas.VITALS],
@@ -224,25 +227,24 @@ def view_statements(
             F.when(c("latest_view").isNotNull() & (closes | measures), said),
         )
     )
-    when = _at() if at is None else at
-    return valid.select("session_id", when.alias("at"), F.explode(statements).alias("v")).select(
-        "session_id", "at", "v.*"
+    return valid.select("session_id", "pos", F.explode(statements).alias("v")).select(
+        "session_id", "pos", "v.*"
     )
 
 
 def merge_statements(statements: DataFrame) -> DataFrame:
     """Page views from statements: per view and field the latest non-missing one wins.
     Views are keyed by (session, ts, seq), so however long a session is, the shuffle is
-    balanced."""
+    balanced. The page is part of the key, and what remains are numbers with a number as
+    their order, which aggregate by hash."""
     c = F.col
 
     def latest(name: str) -> Column:
-        return F.max(F.when(c(name).isNotNull(), F.struct("at", name)))[name].alias(name)
+        return F.max_by(name, F.when(c(name).isNotNull(), c("pos"))).alias(name)
 
     return (
         statements.groupBy("session_id", "view")
         .agg(
-            F.max("page").alias("page"),
             F.max("scroll_depth").alias("scroll_depth"),
             latest("time_spent"),
             *[latest(v) for v in schemas.VITALS],
@@ -250,7 +252,7 @@ def merge_statements(statements: DataFrame) -> DataFrame:
         .select(
             c("view.seq").alias("id"),
             "session_id",
-            "page",
+            "view.page",
             c("view.ts").alias("timestamp"),
             "time_spent",
             "scroll_depth",

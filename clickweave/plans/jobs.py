@@ -23,7 +23,7 @@ def ingest_log(raw: DataFrame, root: str) -> None:
     tables.append_sessions(ingest.fold_sessions(log), root)
     needed = ["session_id", "ts", "seq", "event", "page", "scroll_depth", "time_spent", "element", "href"]
     path = f"{root}/accepted"
-    ingest.accepted(log).select(*needed, *schemas.VITALS, "latest_view").write.parquet(path)
+    ingest.accepted(log).select(*needed, *schemas.VITALS, "latest_view", "pos").write.parquet(path)
     valid = spark.read.parquet(path)
     tables.append_page_views(ingest.merge_statements(ingest.view_statements(valid)), root)
     tables.append_events(ingest.named_events(valid), root)

@@ -1,9 +1,9 @@
 """Incremental fold of the tracking stream into sessions, page views and events.
 
 Each micro-batch is folded by the batch operators. What a session brings along from
-earlier batches is small and mergeable: the position of its first start (minimum) and
-of its latest page view (maximum). Both are kept as append-only deltas and enter the
-fold as initial values, so a batch costs what its own records cost, a busy session is
+earlier batches is small and mergeable: the position of its first start (minimum), its
+latest page view and its number of records (maxima). They are kept as append-only deltas
+and enter the fold as initial values, so a batch costs what its own records cost, a busy session is
 split into chunks like in batch mode, and there is no Python on the data path.
 
 Batches arrive in order, as the records of the original do; inside a batch records are
@@ -14,7 +14,7 @@ its own deltas.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -29,12 +29,18 @@ KNOWN = T.StructType(
     [
         T.StructField("session_id", T.StringType()),
         T.StructField("started", _POSITION),
-        T.StructField("latest_view", _POSITION),
+        T.StructField("latest_view", T.StructType([*_POSITION.fields, T.StructField("page", T.StringType())])),
+        T.StructField("pos", T.LongType()),
         T.StructField("batch_id", T.LongType()),
     ]
 )
 
 
+def _carry() -> list[Column]:
+    names = {"started": F.min, "latest_view": F.max, "pos": F.max}
+    return [pick(name).alias(name) for name, pick in names.items()]
+
+
 def _known(spark: SparkSession, root: str, batch: DataFrame, batch_id: int) -> DataFrame | None:
     """Positions carried over for the sessions of this batch."""
     if batch_id == 0:
@@ -44,7 +50,7 @@ def _known(spark: SparkSession, root: str, batch: DataFrame, batch_id: int) -> D
     return (
         deltas.join(ids, "session_id", "left_semi")
         .groupBy("session_id")
-        .agg(F.min("started").alias("started"), F.max("latest_view").alias("latest_view"))
+        .agg(*_carry())
     )
 
 
@@ -60,8 +66,7 @@ def fold_batch(batch: DataFrame, batch_id: int, root: str) -> None:
 
     try:
         valid = gated.filter(F.col("started").isNotNull())
-        arrival = F.struct(F.lit(batch_id).cast("bigint").alias("batch"), "ts", "seq")
-        save(ingest.view_statements(valid, at=arrival), "view_statements")
+        save(ingest.view_statements(valid), "view_statements")
         save(ingest.named_events(valid), "events")
         ends = F.coalesce(F.col("event").isin(ingest.START, ingest.END), F.lit(False))
         save(ingest.session_bounds(valid), "session_bounds")
@@ -77,7 +82,8 @@ def fold_batch(batch: DataFrame, batch_id: int, root: str) -> None:
         save(
             valid.groupBy("session_id").agg(
                 F.min("started").alias("started"),
-                F.max(F.when(is_view, F.struct("ts", "seq"))).alias("latest_view"),
+                F.max(F.when(is_view, F.struct("ts", "seq", "page"))).alias("latest_view"),
+                F.max("pos").alias("pos"),
             ),
             "known",
         )
@@ -99,7 +105,7 @@ def compact_known(spark: SparkSession, root: str, target: str) -> None:
     """Rewrite the carried positions as one row per session into ``target``."""
     deltas = spark.read.schema(KNOWN).parquet(f"{root}/known")
     deltas.groupBy("session_id").agg(
-        F.min("started").alias("started"), F.max("latest_view").alias("latest_view")
+        *_carry()
     ).write.mode("overwrite").parquet(f"{target}/batch_id=-1")
 
 
