@@ -30,8 +30,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
-    return batch.column(batch.schema.get_field_index(name)).to_pylist()
+def utf8(column: pa.Array) -> list[bytes]:
+    """The texts of a column as UTF-8; null is empty."""
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+#: Lower-cases A-Z and blanks every ASCII character that is no letter or digit.
+_LETTERS_DIGITS = bytes(
+    c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20
+    for c in range(256)
+)
+
+
+def plain_words(text: bytes) -> list[bytes]:
+    """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of a text whose A-Z are lower-cased."""
+    return text.translate(_LETTERS_DIGITS).split()
 
 
 class WordHashes:

@@ -7,12 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickweave.llm import simhash_dedup
+from clickweave.llm import decontamination, language_id, simhash_dedup
 from clickweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = decontamination.benchmark_blocks(table(spark, sf_dir, "benchmark"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = F.col("found")
+    return docs.withColumn("found", decontamination.contamination(F.col("text"), blocks)).select(
+        "doc_id",
+        found["n_words"].alias("n_words"),
+        decontamination.n_hit(found).alias("n_hit"),
+        F.size(found["items"]).cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", found["items"]), 256).alias("items_sha256"),
+        decontamination.is_contaminated(found).alias("contaminated"),
+    )
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = language_id.is_held_out(F.col("doc_id"))
+    model = language_id.fit(docs.filter(~held_out))
+    return docs.withColumn("found", language_id.predict(F.col("text"), model)).select(
+        "doc_id", held_out.alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score")
+    )
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash_dedup.simhash_components(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -20,6 +43,8 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     return {
+        "op2_benchmark_decontamination": op2_benchmark_decontamination,
+        "op8_language_id": op8_language_id,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
     }
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickweave.llm.common import Union, connected_components, materialise, texts_of
+from clickweave.llm.common import Union, connected_components, materialise, utf8
 
 BYTES = 8
 SEED = 42
@@ -41,9 +41,9 @@ HOT_LIST = 4096
 BLOCK = 512
 
 
-def simhash(text: str | None, shingle: int) -> int:
+def simhash(text: bytes, shingle: int) -> int:
     """The 64-bit fingerprint; words are parted by ASCII white space, A-Z lower-cased."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words = text.lower().split()
     if not words:
         return 0
     joined = b" ".join(words)
@@ -65,7 +65,7 @@ def simhash(text: str | None, shingle: int) -> int:
 
 def _fingerprints(batches: Iterable[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([simhash(t, shingle) for t in texts_of(batch)], np.uint64).view(np.int64)
+        prints = np.array([simhash(t, shingle) for t in utf8(batch.column(2))], np.uint64).view(np.int64)
         columns = [batch.column(0), batch.column(1), pa.array(prints)]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "fp"])
 

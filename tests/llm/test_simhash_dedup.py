@@ -111,4 +111,4 @@ def test_components_of_a_long_chain(spark):
 def test_simhash_of_very_long_text():
     rng = np.random.default_rng(1)
     text = " ".join(map(str, rng.integers(0, 1000, 100_000)))
-    assert op.simhash(text, 4) == brute_fingerprint(text)
+    assert op.simhash(text.encode(), 4) == brute_fingerprint(text)
