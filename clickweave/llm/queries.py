@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickweave.llm import decontamination, language_id, simhash_dedup
+from clickweave.llm import decontamination, language_id, packing, simhash_dedup, token_store
 from clickweave.llm.common import table
+from clickweave.session import scratch_dir
+
+#: Tokenizer files stay where they are installed; the operators take any path.
+TOKENIZER = "byte_bpe_50k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +31,22 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_dir(spark, "tokens")
+    manifest = token_store.write_tokens(table(spark, sf_dir, "documents"), folder, tokenizer_path(), end_id=0)
+    return token_store.document_starts(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2, length=1024)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = language_id.is_held_out(F.col("doc_id"))
@@ -44,6 +64,8 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Query]:
     return {
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
+        "op3_token_output": op3_token_output,
+        "op10_best_fit_packing": op10_best_fit_packing,
         "op8_language_id": op8_language_id,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
     }
