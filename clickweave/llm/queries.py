@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickweave.llm import decontamination, language_id, packing, simhash_dedup, token_store
+from clickweave.llm import decontamination, language_id, license_scan, packing, pii, simhash_dedup, token_store, url_filter
 from clickweave.llm.common import table
 from clickweave.session import scratch_dir
 
@@ -17,6 +17,31 @@ TOKENIZER = "byte_bpe_50k.json"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.withColumn("found", license_scan.licenses(F.col("text"))).select(
+        "doc_id",
+        *[F.col(f"found.{c}").alias(c) for c in ("n_words", "n_base", "first_word", "last_word")],
+        *[F.array_join(f"found.{c}", ",").alias(c) for c in ("base_labels", "labels")],
+        F.col("found.score").alias("score"),
+    )
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, url_filter.standard_rules(spark)).drop("url")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[F.size(k).cast("bigint").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.listed(pii.KINDS), 256).alias("base_sha256"),
+        pii.listed([*pii.KINDS, pii.CONTEXTUAL]).alias("spans"),
+    )
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = decontamination.benchmark_blocks(table(spark, sf_dir, "benchmark"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -63,6 +88,9 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     return {
+        "op1_license_scan": op1_license_scan,
+        "op4_url_filter": op4_url_filter,
+        "op5_pii": op5_pii,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op3_token_output": op3_token_output,
         "op10_best_fit_packing": op10_best_fit_packing,
