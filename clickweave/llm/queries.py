@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickweave.llm import decontamination, language_id, license_scan, packing, pii, simhash_dedup, token_store, url_filter
+from clickweave.llm import decontamination, language_id, license_scan, packing, pii, simhash_dedup, substring_dedup, token_store, url_filter, vector_dedup
 from clickweave.llm.common import table
 from clickweave.session import scratch_dir
 
@@ -72,6 +72,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2, length=1024)
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_duplicates(table(spark, sf_dir, "documents"), window=35, digest=True)
+    return rows.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = language_id.is_held_out(F.col("doc_id"))
@@ -94,6 +103,8 @@ def all_queries() -> dict[str, Query]:
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op3_token_output": op3_token_output,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op6_embedding_near_dedup": op6_embedding_near_dedup,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_language_id": op8_language_id,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
     }
