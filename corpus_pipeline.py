@@ -1,15 +1,24 @@
 """From raw documents to packed training sequences, one operator per stage.
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as
-Parquet and read again as the next stage's ``docs``.
+Parquet and read again as the next stage's ``docs``. All but the last keep the columns of
+``documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clickweave.llm import simhash_dedup
+from clickweave.llm import decontamination, language_id, packing, pii, simhash_dedup
 from clickweave.llm.common import materialise, table
+from clickweave.llm.queries import tokenizer_path
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter or a sure language go; the model learns from labelled rows of four folds."""
+    model = language_id.fit(docs.filter(~language_id.is_held_out(F.col("doc_id"))))
+    return language_id.drop_undetermined(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,8 +26,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash_dedup.drop_near_duplicates(docs, shingle=4, max_bits=4)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with at least every 20th word inside a benchmark window go."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; ``n_chars`` follows the text."""
+    clean = pii.redact(docs)
+    return clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("bigint")))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their sequence and place."""
+    return packing.pack(docs, tokenizer_path(), end_id=2, length=1024)
+
+
 STAGES = [
+    ("language_id", identify_language),
     ("simhash_near_dedup", near_duplicates),
+    ("benchmark_decontamination", decontaminate),
+    ("pii", redact_pii),
+    ("best_fit_packing", pack_sequences),
 ]
 
 # Language models, fingerprints and tokens are beyond SQL; tests hold the stages against
