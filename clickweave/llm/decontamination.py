@@ -19,7 +19,6 @@ either side give no hits. Only the named columns of either table are looked at.
 
 from __future__ import annotations
 
-import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -163,21 +162,25 @@ def _chunks(texts: list[bytes], hashes: WordHashes) -> Iterator[tuple[list[int],
 
 
 def _search(blocks: list[Broadcast], texts: list[bytes], hashes: WordHashes) -> list[dict]:
-    out = []
-    for starts, words in _chunks(texts, hashes):
-        spans: dict[int, list[tuple[int, int]]] = {}
-        items: dict[int, set[str]] = {}
-        for held in blocks:
-            # A copy of the handle forgets its block when it goes, so a task holds one block.
-            block = held.value if len(blocks) == 1 else copy.copy(held).value
+    chunks = list(_chunks(texts, hashes))
+    spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    items: dict[tuple[int, int], set[str]] = {}
+    for held in blocks:
+        block = held.value
+        for c, (starts, words) in enumerate(chunks):
             for start, stop, item in _hits(block, words):
                 doc = int(np.searchsorted(starts, start, "right")) - 1
-                spans.setdefault(doc, []).append((start - starts[doc], stop - starts[doc]))
-                items.setdefault(doc, set()).add(block.ids[item])
+                spans.setdefault((c, doc), []).append((start - starts[doc], stop - starts[doc]))
+                items.setdefault((c, doc), set()).add(block.ids[item])
+        if len(blocks) > 1:
+            # A broadcast keeps what it has loaded; a task is to hold one block at a time.
+            vars(held).pop("_value", None)
+    out = []
+    for c, (starts, _) in enumerate(chunks):
         for doc in range(len(starts) - 1):
-            hits = [{"start": a, "stop": b} for a, b in _merged(spans.get(doc, []))]
+            hits = [{"start": a, "stop": b} for a, b in _merged(spans.get((c, doc), []))]
             n = starts[doc + 1] - starts[doc] - 1
-            out.append({"n_words": n, "hits": hits, "items": sorted(items.get(doc, ()))})
+            out.append({"n_words": n, "hits": hits, "items": sorted(items.get((c, doc), ()))})
     return out
 
 

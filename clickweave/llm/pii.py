@@ -167,10 +167,7 @@ def redact(
     rows = docs.select(F.struct(*docs.columns).alias("kept"), F.col(text_col).alias("text"))
     found = _with_contextual(materialise(_scan(rows), "pii-spans"), least_score, least_support)
     kinds = [*KINDS, CONTEXTUAL]
-    named = [
-        F.transform(F.col(k), lambda s, k=k: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(k).alias("kind")))
-        for k in kinds
-    ]
+    named = [_with_kind(k) for k in kinds]
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def add(state: Column, s: Column) -> Column:
@@ -189,10 +186,14 @@ def redact(
     )
 
 
+def _with_kind(kind: str) -> Column:
+    # A second parameter of the function would be the position, so the kind is bound here.
+    return F.transform(
+        F.col(kind), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(kind).alias("kind"))
+    )
+
+
 def listed(kinds: list[str]) -> Column:
     """``kind:start:stop`` of all spans, by kind, then start, joined by commas."""
-    named = [
-        F.transform(F.col(k), lambda s, k=k: F.concat_ws(":", F.lit(k), s["start"].cast("string"), s["stop"].cast("string")))
-        for k in kinds
-    ]
-    return F.concat_ws(",", F.concat(*named))
+    text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))
+    return F.concat_ws(",", F.transform(F.concat(*[_with_kind(k) for k in kinds]), text))

@@ -110,5 +110,34 @@ def all_queries() -> dict[str, Query]:
     }
 
 
+# Hosts, paths, rules and verdicts as plain SQL; the pattern rules are those of url_filter.
+URL_FILTER_SQL = """
+WITH cut AS (
+  SELECT page_id, coalesce(url, '') AS url,
+    translate(regexp_extract(coalesce(url, ''), '^(.*?)://([^/?#]*)', 2, 's'),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '^(.*?)://[^/?#]*([^?#]*)', 2, 's') AS path
+  FROM pages
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/'
+  END AS rule
+  FROM cut
+)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block'
+    WHEN rule IS NOT NULL THEN 'allow'
+    WHEN regexp_matches(url, '://([^/?#]*[.-])?(ads|doubleclick|casino|porn)[.-]')
+      OR regexp_matches(url, '/[^?#]*[.](exe|zip)([?#]|$)') OR regexp_matches(url, '/login([/?#]|$)') THEN 'block'
+    ELSE 'allow'
+  END AS verdict
+FROM ruled
+"""
+
+
 def all_oracles() -> dict[str, str]:
-    return {}
+    return {"op4_url_filter": URL_FILTER_SQL}
