@@ -5,6 +5,8 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from clickweave.plans.catalog import all_queries
+from clickweave.plans.oracle import all_oracles
 from compare import database, oracle_rows, spark_rows, type_differences
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -19,13 +21,14 @@ def con():
 
 
 def test_same_keys():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(all_queries()) == set(all_oracles())
+    assert set(all_queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query(spark, con, name):
-    df = entry.queries()[name](spark, SF_DIR)
-    sql = entry.oracle_sql()[name]
+    df = all_queries()[name](spark, SF_DIR)
+    sql = all_oracles()[name]
     columns, ours = spark_rows(df)
     names, theirs = oracle_rows(con, sql)
     assert columns == names
