@@ -174,10 +174,10 @@ def _read_files(wanted: set[int] | None) -> Callable:
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, number in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, number, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 files, at = _filesystem(path)
                 with files.open_input_file(at) as source:
-                    rows, size, place = [], 0, 0
+                    rows, size, place = [], 0, before
                     for doc_id, ids in Reader(source).documents(wanted):
                         n = len(ids) // 4
                         rows.append(
@@ -194,16 +194,15 @@ def _read_files(wanted: set[int] | None) -> Callable:
 
 
 def read_tokens(manifest: DataFrame, wanted: set[int] | None = None) -> DataFrame:
-    """``doc_id``, ``file_no``, ``place`` (ids before it in what is read of its file), ``n_tokens``,
-    ``ids_crc32``, ``ids`` of all documents, or of the ``wanted`` ids."""
-    paths = manifest.select("path", "file_no")
+    """``doc_id``, ``file_no``, ``place`` (ids read of earlier documents), ``n_tokens``, ``ids_crc32``,
+    ``ids`` of all documents, or of the ``wanted`` ids (then ``place`` counts what is read)."""
+    # One row per file; the window runs over files, not over documents.
+    earlier = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
+    files = manifest.select("path", "file_no", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).alias("before"))
     ddl = "doc_id bigint, file_no int, place bigint, n_tokens bigint, ids_crc32 bigint, ids binary"
-    return paths.repartition(F.col("file_no")).mapInArrow(_read_files(wanted), ddl)
+    return files.repartition(F.col("file_no")).mapInArrow(_read_files(wanted), ddl)
 
 
 def document_starts(manifest: DataFrame) -> DataFrame:
     """Every document with ``start``, the ids of all documents before it."""
-    # One row per file; the window runs over files, not over documents.
-    before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
-    files = manifest.select("file_no", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("before"))
-    return read_tokens(manifest).drop("ids").join(files, "file_no").withColumn("start", F.col("before") + F.col("place"))
+    return read_tokens(manifest).drop("ids", "file_no").withColumnRenamed("place", "start")

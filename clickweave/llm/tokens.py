@@ -18,7 +18,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Remembered parts, and as many pieces, in each of two generations.
-LIMIT = 120_000
+LIMIT = 250_000
 #: Longer parts are not remembered (bytes).
 LONGEST = 64
 #: Text sent to the tokenizer at once (characters).
@@ -76,8 +76,9 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _encode_joined(self, pieces: list[str]) -> None:
-        """Remembers pieces that the pattern cuts before a space or a line, encoded together."""
+    def _encode_joined(self, pieces: list[str], between: str) -> None:
+        """Remembers pieces that the pattern parts when they stand one after the other, with
+        ``between`` (nothing, or a line feed, which then is a token of its own)."""
         groups, size = [[]], 0
         for p in pieces:
             if size > JOINED:
@@ -85,25 +86,28 @@ class Encoder:
                 size = 0
             groups[-1].append(p)
             size += len(p)
-        joined = self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)
+        joined = self.tokenizer.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False)
+        skip = len(between)
         for group, encoded in zip(groups, joined, strict=True):
             ids = np.array(encoded.ids, "<u4")
             ends = np.cumsum(self.sizes[ids])
-            stops = np.cumsum([len(p.encode()) for p in group])
+            stops = np.cumsum([len(p.encode()) + skip for p in group]) - skip
             cuts = np.searchsorted(ends, stops) + 1
             data, start = ids.tobytes(), 0
             for p, stop in zip(group, (4 * cuts).tolist(), strict=True):
                 self.pieces[p] = data[start:stop]
-                start = stop
+                start = stop + 4 * skip
 
     def _learn(self, parts: set[str]) -> None:
         plain = {p: _PIECES.findall(p) for p in parts if len(p) <= LONGEST and _PLAIN.fullmatch(p)}
         unknown = self.pieces.missing({x for found in plain.values() for x in found})
-        # Words after a space can stand one after the other; the others go alone.
-        together = [x for x in unknown if len(x) > 1 and x[0] == " " and x[1] != " "]
-        self._encode_joined(together)
-        for x in unknown.difference(together):
-            self.pieces[x] = self.whole(x)
+        spaced = [x for x in unknown if len(x) > 1 and x[0] == " " and x[1] != " "]
+        dense = [x for x in unknown if not x[0].isspace()]
+        self._encode_joined(spaced, "")
+        self._encode_joined(dense, "\n")
+        for x in unknown:
+            if x not in self.pieces:
+                self.pieces[x] = self.whole(x)
         for p, found in plain.items():
             self.parts[p] = b"".join([self.pieces[x] for x in found])
         for p in parts.difference(plain):
