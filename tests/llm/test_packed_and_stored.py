@@ -21,10 +21,12 @@ from clickweave.llm.tokens import Encoder
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
+TOKENIZER = Tokenizer.from_file(PATH)
+TOKENIZER.encode_special_tokens = True
+
+
 def ids_of(text, end):
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [end]
+    ids = TOKENIZER.encode(text or "", add_special_tokens=False).ids + [end]
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
