@@ -15,14 +15,13 @@ UNKNOWN_PLACE = "Unknown"
 INT_PREFIX = r"^\s*([+-]?[0-9]+)"
 FLOAT_PREFIX = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
 SCROLL_STEPS = (25, 50, 75, 100)
-ISO_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 # --------------------------------------------------------------------------
 
 
 def fixed(x: Column, places: int) -> Column:
     """Round half up through DECIMAL, so that the digits do not depend on how an
-    engine rounds binary doubles."""
-    return F.round(x.cast("decimal(20,8)"), places).cast("double")
+    engine rounds binary doubles. Values beyond that DECIMAL are rounded as doubles."""
+    return F.coalesce(F.round(x.try_cast("decimal(20,8)"), places).cast("double"), F.round(x.cast("double"), places))
 
 
 def ratio(n: Column, d: Column) -> Column:
@@ -100,7 +99,12 @@ def event_time(client_ms: Column, arrival_ms: Column) -> Column:
 
 def iso_time(epoch_seconds: Column) -> Column:
     """ISO-8601 text in UTC with milliseconds."""
-    return F.date_format(F.timestamp_seconds(epoch_seconds), ISO_MILLIS)
+    ms = F.floor(epoch_seconds * 1000)
+    day = F.date_from_unix_date(F.floor(ms / 86_400_000).cast("int")).cast("string")
+    rest = F.pmod(ms, F.lit(86_400_000))
+    parts = (F.floor(rest / 3_600_000), F.floor(rest / 60_000) % 60, F.floor(rest / 1000) % 60)
+    clock = F.concat_ws(":", *[F.lpad(p.cast("string"), 2, "0") for p in parts])
+    return F.concat(day, F.lit("T"), clock, F.lit("."), F.lpad((rest % 1000).cast("string"), 3, "0"), F.lit("Z"))
 
 
 def js_round(x: Column) -> Column:
@@ -110,7 +114,8 @@ def js_round(x: Column) -> Column:
 
 def one_decimal(x: Column) -> Column:
     """Text with one decimal, half up."""
-    return F.round(x.cast("decimal(20,8)"), 1).cast("decimal(20,1)").cast("string")
+    text = F.round(x.try_cast("decimal(20,8)"), 1).cast("decimal(20,1)").cast("string")
+    return F.coalesce(text, F.round(x.cast("double"), 1).cast("string"))
 
 
 def percent_label(x: Column) -> Column:

@@ -38,7 +38,7 @@ def relative_imports(content: Column) -> Column:
 
 
 def resolve_import(path: Column, target: Column) -> Column:
-    """Path of an imported file relative to the importing file."""
+    """Path of an imported file relative to the importing file; NULL where nothing is left of it."""
     parts = F.split(path, "/")
     folder = F.slice(parts, F.lit(1), F.size(parts) - 1)
     stack = F.aggregate(
@@ -51,8 +51,9 @@ def resolve_import(path: Column, target: Column) -> Column:
         .otherwise(F.concat(acc, F.array(part))),
     )
     joined = F.array_join(stack, "/")
-    has_dot = F.element_at(stack, -1).contains(".")
-    return F.when(has_dot, joined).otherwise(F.concat(joined, F.lit(DEFAULT_SUFFIX)))
+    has_dot = F.try_element_at(stack, F.lit(-1)).contains(".")
+    named = F.when(has_dot, joined).otherwise(F.concat(joined, F.lit(DEFAULT_SUFFIX)))
+    return F.when(F.size(stack) > 0, named)
 
 
 def clean_reply(raw: Column) -> Column:

@@ -54,10 +54,10 @@ def sessionize(
     df: DataFrame, user: str, ts: str, tie: str, gap_ms: int = SESSION_GAP_MS, chunk_ms: int = CHUNK_MS
 ) -> DataFrame:
     """Add ``session_start`` and ``session_id``. A session ends when its user is idle for
-    strictly more than ``gap_ms``; the id is the user and the start."""
+    strictly more than ``gap_ms``; the id is the user and the start, NULL for rows without a user."""
     idle = F.col(ts) - F.col("previous") > gap_ms
     runs = _runs(df, [user], [ts, tie], idle, "session_start", time_chunk(F.col(ts), chunk_ms))
-    return runs.withColumn("session_id", F.concat_ws("-", F.col(user), F.col("session_start")))
+    return runs.withColumn("session_id", F.concat(F.col(user), F.lit("-"), F.col("session_start")))
 
 
 def compact_bursts(

@@ -256,7 +256,8 @@ def deployment_rollup_literal(views: DataFrame, events: DataFrame, tf: Timeframe
     s = _session_rollup(views, events, tf)
     known = F.col("session_id").isNotNull()
     per_view = F.greatest("n_events", F.lit(1))
-    rows = F.col("n") * per_view
+    # Products of three counts: beyond BIGINT for a busy session.
+    rows = F.col("n").cast("decimal(38,0)") * per_view
     return s.agg(
         *_kpis(
             F.count_if(known),

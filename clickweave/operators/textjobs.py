@@ -60,7 +60,8 @@ def component_contents(pages: DataFrame, files: DataFrame) -> DataFrame:
     """Content of every imported component that exists, one row per page and path. A path
     imported twice by one page is listed once, at its first position."""
     wanted = relative_imports(pages).groupBy("path", "resolved").agg(F.min("pos").alias("pos"))
-    found = files.select(F.col("path").alias("resolved"), F.col("content").alias("component"))
+    # A path listed twice counts once, with the greater text.
+    found = files.groupBy(F.col("path").alias("resolved")).agg(F.max("content").alias("component"))
     return wanted.join(found, "resolved").select("path", "pos", "resolved", "component")
 
 

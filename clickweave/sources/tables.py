@@ -14,6 +14,8 @@ from clickweave import schemas
 
 TIME_COLUMN = {"sessions": "start_time", "page_views": "timestamp", "events": "timestamp"}
 
+DAY_MS = 86_400_000
+
 
 def evolve_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Add the columns of ``schema`` that ``df`` lacks, as NULL. Others are kept."""
@@ -57,7 +59,8 @@ def read_tracking(spark: SparkSession, path: str, stream: bool = False) -> DataF
 
 
 def _append_dated(df: DataFrame, root: str, table: str, schema: T.StructType) -> None:
-    day = F.to_date(F.timestamp_millis(F.col(TIME_COLUMN[table])))
+    # The UTC day, whatever the time zone of the session.
+    day = F.date_from_unix_date(F.floor(F.col(TIME_COLUMN[table]) / DAY_MS).cast("int"))
     (
         evolve_schema(df, schema)
         .select(*schema.fieldNames())
@@ -86,12 +89,14 @@ def append_events(df: DataFrame, root: str) -> None:
 
 def append_deployments(df: DataFrame, root: str) -> None:
     """Append deployment rows. Rows may have only some of the columns; a missing
-    ``created_at`` becomes the time of writing."""
+    ``created_at`` becomes the time of writing, a missing ``id`` a hash of environment,
+    deploy time and commit, so that a row written again has the same one."""
     now = F.unix_seconds(F.current_timestamp())
     row = evolve_schema(df, schemas.DEPLOYMENTS).select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.DEPLOYMENTS.fields]
     )
-    row.withColumn("created_at", F.coalesce("created_at", now)).write.mode("append").parquet(
+    key = F.abs(F.xxhash64("environment", "deploy_time", "commit_sha") % 2**53)
+    row.withColumns({"created_at": F.coalesce("created_at", now), "id": F.coalesce("id", key)}).write.mode("append").parquet(
         f"{root}/deployment_metrics"
     )
 
