@@ -145,11 +145,14 @@ def remove_duplicates(
 ) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed``, ``kept`` (the words left, joined by spaces, or the
     SHA-256 of that), ``spans`` (removed words) for every row."""
-    # Numbers that depend on the input files alone, so that every scan gives the same ones.
-    numbered = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col(id_col).cast("bigint").alias("doc_id"),
-        F.col(text_col).alias("text"),
+    # Stored once: how a scan is cut into tasks, and so the numbers, changes with the executors at hand.
+    numbered = materialise(
+        docs.select(
+            F.monotonically_increasing_id().alias("row"),
+            F.col(id_col).cast("bigint").alias("doc_id"),
+            F.col(text_col).alias("text"),
+        ),
+        "numbered",
     )
     places = materialise(duplicate_places(numbered.select("row", "text"), window, gram), "places")
     joined = numbered.join(places, "row", "left").select("doc_id", "text", "places")
