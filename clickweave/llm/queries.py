@@ -77,7 +77,9 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = substring_dedup.remove_duplicates(table(spark, sf_dir, "documents"), window=35, digest=True)
+    rows = substring_dedup.remove_duplicates(
+        table(spark, sf_dir, "documents"), window=35, digest=True, row_key=substring_dedup.stored_row_key()
+    )
     return rows.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 

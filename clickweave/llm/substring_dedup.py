@@ -30,7 +30,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickweave.llm.common import BASE, WordHashes, gram_hashes, materialise, utf8, window_minima
@@ -47,7 +47,7 @@ def _anchors(window: int, gram: int) -> Callable:
         hashes = WordHashes()
         for batch in batches:
             rows, firsts, lasts, keys = [], [], [], []
-            for row, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+            for row, text in enumerate(utf8(batch.column(1))):
                 grams = gram_hashes(hashes(text.split()), gram)
                 at = window_minima(grams, window - gram + 1)
                 if len(at):
@@ -59,7 +59,7 @@ def _anchors(window: int, gram: int) -> Callable:
             if rows:
                 columns = [np.concatenate(x) for x in (rows, keys, firsts, lasts)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32)),
+                    [batch.column(0).take(pa.array(columns[0])), pa.array(columns[1]), pa.array(columns[2].astype(np.int32)),
                      pa.array(columns[3].astype(np.int32))],
                     names=["row", "anchor", "first", "last"],
                 )
@@ -75,13 +75,14 @@ def _windows(window: int) -> Callable:
         for batch in batches:
             parts: list[list[np.ndarray]] = []
             runs = batch.column(2).to_pylist()
-            for row, text, own in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), runs, strict=True):
+            for row, (text, own) in enumerate(zip(utf8(batch.column(1)), runs, strict=True)):
                 words = hashes(text.split())
                 places = np.unique(np.concatenate([np.arange(r["first"], r["last"] + 1) for r in own]))
                 a, b = (gram_hashes(words, window, base)[places].view(np.int64) for base in (BASE, SECOND_BASE))
                 parts.append([np.full(len(places), row, np.int64), places.astype(np.int32), a, b])
             if parts:
                 columns = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
+                columns[0] = batch.column(0).take(columns[0])
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "place", "a", "b"])
 
     return run
@@ -126,34 +127,43 @@ def _remove(window: int, digest: bool) -> Callable:
 
 def duplicate_places(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``row``, ``places``: starts of windows that occur elsewhere too. ``rows``: ``row``, ``text``."""
+    key = rows.schema["row"].dataType.simpleString()
     anchors = materialise(
-        rows.mapInArrow(_anchors(window, gram), "row bigint, anchor bigint, first int, last int"), "anchors"
+        rows.mapInArrow(_anchors(window, gram), f"row {key}, anchor bigint, first int, last int"), "anchors"
     )
     # A run of several windows is one place of its anchor.
     repeated = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     runs = anchors.join(repeated, "anchor", "left_semi")
     by_row = runs.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     candidates = rows.join(by_row, "row").select("row", "text", "runs")
-    places = materialise(candidates.mapInArrow(_windows(window), "row bigint, place int, a bigint, b bigint"), "windows")
+    places = materialise(candidates.mapInArrow(_windows(window), f"row {key}, place int, a bigint, b bigint"), "windows")
     index = places.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
     hits = places.join(index, ["a", "b"], "left_semi")
     return hits.groupBy("row").agg(F.collect_list("place").alias("places"))
 
 
+def stored_row_key() -> Column:
+    """File and place in it of a row that is read from Parquet, however the scan is cut."""
+    return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+
+
 def remove_duplicates(
-    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", digest: bool = False
-) -> DataFrame:
+    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", digest: bool = False,
+    row_key: Column | None = None,
+) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed``, ``kept`` (the words left, joined by spaces, or the
-    SHA-256 of that), ``spans`` (removed words) for every row."""
-    # Stored once: how a scan is cut into tasks, and so the numbers, changes with the executors at hand.
-    numbered = materialise(
-        docs.select(
-            F.monotonically_increasing_id().alias("row"),
-            F.col(id_col).cast("bigint").alias("doc_id"),
-            F.col(text_col).alias("text"),
-        ),
-        "numbered",
+    SHA-256 of that), ``spans`` (removed words) for every row.
+
+    ``row_key`` tells rows apart, and every scan must give the same one (``stored_row_key``).
+    Without it rows are numbered, and the numbered texts are stored once: how a scan is cut
+    into tasks, and so the numbers, changes with the executors at hand.
+    """
+    number = F.monotonically_increasing_id() if row_key is None else row_key
+    numbered = docs.select(
+        number.alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")
     )
+    if row_key is None:
+        numbered = materialise(numbered, "numbered")
     places = materialise(duplicate_places(numbered.select("row", "text"), window, gram), "places")
     joined = numbered.join(places, "row", "left").select("doc_id", "text", "places")
     ddl = "doc_id bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<start: bigint, stop: bigint>>"
