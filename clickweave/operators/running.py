@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -139,9 +139,10 @@ def running_steps(
     by_chunk = _by_chunk(keys, order, chunk, initial)
     if not keys:
         return steps(df, by_chunk)
-    hot = F.broadcast(hot_keys(df, keys))
-    ordinary = df.join(hot, keys, "left_anti").select(*df.columns)
-    busy = df.join(hot, keys, "left_semi").select(*df.columns)
+    # NULL is a key like any other here, so it has to match itself.
+    hot = F.broadcast(hot_keys(df, keys).select(*[F.col(k).alias(f"__hot_{k}") for k in keys]))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__hot_{k}")) for k in keys])
+    ordinary, busy = df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
     return steps(ordinary, _by_key(keys, order, initial)).unionByName(steps(busy, by_chunk))
 
 
@@ -155,8 +156,8 @@ def running(
 ) -> DataFrame:
     """Add the running ``values`` to ``df``.
 
-    ``keys`` and ``order`` name non-NULL columns, ``order`` is ascending and unique
-    within a key, and ``chunk`` must never decrease along ``order``. ``initial`` (keys
+    ``keys`` and ``order`` name columns; NULL is one key, ``order`` is non-NULL, ascending
+    and unique within a key, and ``chunk`` must never decrease along ``order``. ``initial`` (keys
     and one column per value) is what a key brings along from earlier data. Without
     ``keys`` the whole table is one series and always goes by chunk.
     """

@@ -75,3 +75,17 @@ def test_hot_key_is_spread_over_tasks(spark, rows):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
         spark.conf.unset("spark.clickweave.hotKeyRows")
     assert tasks == 4
+
+
+def test_null_keys_are_split_too(spark, rows):
+    spark.conf.set("spark.clickweave.hotKeyRows", "500")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        keyed = rows.withColumn("key", F.when(F.col("key") != "hot", F.col("key")))
+        got = running(keyed, ["key"], ["ts", "seq"], [Running("n", "sum", F.lit(1))], time_chunk(F.col("ts"), 100))
+        nulls = got.filter("key is null").select("n", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.unset("spark.clickweave.hotKeyRows")
+    assert sorted(r.n for r in nulls) == list(range(1, rows.filter("key = 'hot'").count() + 1))
+    assert len({r.p for r in nulls}) > 1
