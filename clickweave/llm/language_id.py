@@ -71,18 +71,26 @@ def trigram_vector(text: bytes) -> np.ndarray:
     return np.sqrt(counts / max(1, len(code))).astype(np.float32)
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, cost: float = COST) -> np.ndarray:
-    """Weights of a linear SVM (hinge loss, the last weight is the bias) by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    squares, alpha, w = (x * x).sum(axis=1), np.zeros(len(x)), np.zeros(x.shape[1], np.float32)
+Row = tuple[np.ndarray, np.ndarray]  # places that are not zero, and their values
+
+
+def fit_machine(x: list[Row], y: list[float], epochs: int = EPOCHS, cost: float = COST) -> np.ndarray:
+    """Weights of a linear SVM (hinge loss, the last weight is the bias) by dual coordinate
+    descent. Rows stay sparse, so the driver holds what the texts hold, not rows times dimensions."""
+    squares = [float(value @ value) + 1 for _, value in x]
+    alpha, w, bias = [0.0] * len(x), np.zeros(DIMENSIONS, np.float32), 0.0
     order = np.random.default_rng(0)
     for _ in range(epochs):
-        for i in order.permutation(len(x)):
-            new = min(cost, max(0.0, alpha[i] - (y[i] * float(w @ x[i]) - 1) / float(squares[i])))
+        for i in order.permutation(len(x)).tolist():
+            at, value = x[i]
+            margin = float(w[at] @ value) + bias
+            new = min(cost, max(0.0, alpha[i] - (y[i] * margin - 1) / squares[i]))
             if new != alpha[i]:
-                w += np.float32((new - alpha[i]) * y[i]) * x[i]
+                step = (new - alpha[i]) * y[i]
+                w[at] += np.float32(step) * value
+                bias += step
                 alpha[i] = new
-    return w
+    return np.append(w, np.float32(bias))
 
 
 @dataclass
@@ -94,14 +102,15 @@ class Duels:
     weights: np.ndarray
 
     @staticmethod
-    def fit(x: np.ndarray, labels: np.ndarray) -> Duels:
+    def fit(x: list[Row], labels: np.ndarray) -> Duels:
         classes = sorted(set(labels.tolist()))
         pairs = list(combinations(range(len(classes)), 2))
         weights = []
         for a, b in pairs:
-            rows = (labels == classes[a]) | (labels == classes[b])
-            weights.append(fit_machine(x[rows], np.where(labels[rows] == classes[a], 1.0, -1.0)))
-        return Duels(classes, pairs, np.array(weights, np.float32).reshape(len(pairs), x.shape[1] + 1))
+            rows = np.flatnonzero((labels == classes[a]) | (labels == classes[b]))
+            signs = np.where(labels[rows] == classes[a], 1.0, -1.0).tolist()
+            weights.append(fit_machine([x[i] for i in rows], signs))
+        return Duels(classes, pairs, np.array(weights, np.float32).reshape(len(pairs), DIMENSIONS + 1))
 
     def best(self, x: np.ndarray) -> tuple[str, float]:
         """The class that wins, and how surely it won its closest duel."""
@@ -156,14 +165,13 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     chosen = rows.filter(place < share[F.col("lang")]).dropDuplicates(["lang", "text"])
     vectors = chosen.limit(2 * sample_rows).mapInArrow(_sparse, "lang string, at binary, value binary").collect()
     vectors.sort()
-    x = np.zeros((len(vectors), DIMENSIONS), np.float32)
-    for i, r in enumerate(vectors):
-        x[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["value"], np.float32)
-    if not len(x):
+    if not vectors:
         return LanguageModel(None, {})
+    x = [(np.frombuffer(r["at"], np.uint16).astype(np.int64), np.frombuffer(r["value"], np.float32)) for r in vectors]
     lang = np.array([r.lang for r in vectors], object)
     family = np.array([FAMILY_OF.get(name, name) for name in lang], object)
-    own = {f: Duels.fit(x[family == f], lang[family == f]) for f in sorted(set(family.tolist()))}
+    members = {f: np.flatnonzero(family == f) for f in sorted(set(family.tolist()))}
+    own = {f: Duels.fit([x[i] for i in rows], lang[rows]) for f, rows in members.items()}
     return LanguageModel(Duels.fit(x, family), own)
 
 
