@@ -34,29 +34,24 @@ _ODD_SPACE = re.compile(r"\s\s|^\s|\s\Z|[᠎​﻿]")
 _SURE_CUT = re.compile(r"(?<=[^\s᠎​﻿]) (?=[^\s᠎​﻿])")
 
 
-class Remembered(dict):
+class Remembered:
     """Encoded strings of two generations: what was used lately survives."""
 
     def __init__(self, limit: int) -> None:
-        super().__init__()
-        self.limit, self.old = limit, {}
+        self.limit, self.now, self.old = limit, {}, {}
 
     def missing(self, keys: set[str]) -> set[str]:
         """The unknown ones of ``keys``; the others are at hand afterwards."""
-        unknown, old = set(), self.old
-        for key in keys:
-            if key not in self:
-                if key in old:
-                    self[key] = old[key]
-                else:
-                    unknown.add(key)
+        absent = keys.difference(self.now)
+        unknown = absent.difference(self.old)
+        for key in absent - unknown:
+            self.now[key] = self.old[key]
         return unknown
 
     def rest(self) -> None:
         """To be called between texts, when no string has to be at hand."""
-        if len(self) > self.limit:
-            self.old = dict(self)
-            self.clear()
+        if len(self.now) > self.limit:
+            self.old, self.now = self.now, {}
 
 
 class Encoder:
@@ -76,8 +71,8 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _encode_joined(self, pieces: list[str], between: str) -> None:
-        """Remembers pieces that the pattern parts when they stand one after the other, with
+    def _encode_joined(self, pieces: list[str], between: str, known: dict[str, bytes]) -> None:
+        """Writes to ``known`` pieces that the pattern parts when they stand one after the other, with
         ``between`` (nothing, or a line feed, which then is a token of its own)."""
         groups, size = [[]], 0
         for p in pieces:
@@ -95,35 +90,48 @@ class Encoder:
             cuts = np.searchsorted(ends, stops) + 1
             data, start = ids.tobytes(), 0
             for p, stop in zip(group, (4 * cuts).tolist(), strict=True):
-                self.pieces[p] = data[start:stop]
+                known[p] = data[start:stop]
                 start = stop + 4 * skip
 
     def _learn(self, parts: set[str]) -> None:
-        plain = {p: _PIECES.findall(p) for p in parts if len(p) <= LONGEST and _PLAIN.fullmatch(p)}
-        unknown = self.pieces.missing({x for found in plain.values() for x in found})
+        known, pieces = self.parts.now, self.pieces
+        # A space and plain letters are one piece.
+        words = {p for p in parts if p.isascii() and p[1:].isalpha() and p[0] == " " and len(p) <= LONGEST}
+        rest = parts - words
+        plain = {p: _PIECES.findall(p) for p in rest if len(p) <= LONGEST and _PLAIN.fullmatch(p)}
+        unknown = pieces.missing({x for found in plain.values() for x in found})
         spaced = [x for x in unknown if len(x) > 1 and x[0] == " " and x[1] != " "]
         dense = [x for x in unknown if not x[0].isspace()]
-        self._encode_joined(spaced, "")
-        self._encode_joined(dense, "\n")
-        for x in unknown:
-            if x not in self.pieces:
-                self.pieces[x] = self.whole(x)
+        if words:
+            self._encode_joined(list(words), "", known)
+        if spaced:
+            self._encode_joined(spaced, "", pieces.now)
+        if dense:
+            self._encode_joined(dense, "\n", pieces.now)
+        for x in unknown.difference(pieces.now):
+            pieces.now[x] = self.whole(x)
         for p, found in plain.items():
-            self.parts[p] = b"".join([self.pieces[x] for x in found])
-        for p in parts.difference(plain):
-            self.parts[p] = self.whole(p)
+            known[p] = b"".join([pieces.now[x] for x in found])
+        for p in rest.difference(plain):
+            known[p] = self.whole(p)
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        cut = _SURE_CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-        parts = [cut[0], *[" " + c for c in cut[1:]]]
-        self._learn(self.parts.missing(set(parts)))
-        out = b"".join([self.parts[p] for p in parts])
-        if max(map(len, parts)) > LONGEST:
-            for p in parts:
-                if len(p) > LONGEST:
-                    self.parts.pop(p, None)
+        if _ODD_SPACE.search(text):
+            first, *others = _SURE_CUT.split(text)
+            parts = [first, *[" " + c for c in others]]
+        else:
+            first, *others = text.split(" ")
+            parts = [first, *[" " + c for c in others]]
+        distinct = set(parts)
+        if absent := self.parts.missing(distinct):
+            self._learn(absent)
+        known = self.parts.now
+        out = b"".join([known[p] for p in parts])
+        for p in absent:
+            if len(p) > LONGEST:
+                del known[p]
         self.parts.rest()
         self.pieces.rest()
         return out
