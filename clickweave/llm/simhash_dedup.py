@@ -115,8 +115,8 @@ def _links(fps: np.ndarray, max_bits: int) -> Iterator[tuple[int, int]]:
     else:
         found, pairs = Union(), []
         for i in range(0, n, BLOCK):
-            for j in range(i, n, 8 * BLOCK):
-                a, b = np.nonzero(_close(fps[i : i + BLOCK], fps[j : j + 8 * BLOCK], max_bits))
+            for j in range(i, n, BLOCK):
+                a, b = np.nonzero(_close(fps[i : i + BLOCK], fps[j : j + BLOCK], max_bits))
                 for x, y in zip((a + i).tolist(), (b + j).tolist(), strict=True):
                     if x < y and found.join(x, y):
                         pairs.append((x, y))
@@ -223,6 +223,11 @@ def drop_near_duplicates(
     by_print = prints.groupBy("fp").agg(F.min(order).alias("first"))
     first = by_print.join(_components(prints, max_bits), "fp").groupBy("root").agg(F.min("first").alias("first"))
     keys = ["__first_id", "__first_key"]
-    first = first.select(F.coalesce("first.doc_id", F.lit(0)).alias(keys[0]), F.col("first.text_key").alias(keys[1]))
+    key = [F.coalesce("doc_id", F.lit(0)).alias(keys[0]), F.col("text_key").alias(keys[1])]
+    # Rows of one id and text cannot be told apart by their key; only their texts are shuffled.
+    counts = prints.groupBy(*key).agg((F.count("*") > 1).alias("__repeated"))
+    first = first.select("first.*").select(*key).distinct().join(counts, keys)
     keyed = docs.withColumns({keys[0]: F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)), keys[1]: text_key})
-    return keyed.join(first, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    kept = keyed.join(materialise(first, "firsts"), keys)
+    once = kept.filter(~F.col("__repeated"))
+    return once.unionByName(kept.filter("__repeated").dropDuplicates(keys)).select(*docs.columns)
