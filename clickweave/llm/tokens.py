@@ -17,8 +17,8 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Remembered parts, and as many pieces, in each of two generations.
-LIMIT = 250_000
+#: Remembered parts and pieces in each of two generations.
+LIMIT = 150_000
 #: Longer parts are not remembered (bytes).
 LONGEST = 64
 #: Text sent to the tokenizer at once (characters).
@@ -62,7 +62,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.parts, self.pieces = Remembered(limit), Remembered(limit)
+        # Parts and pieces are strings with their ids alike.
+        self.parts = Remembered(limit)
         sizes = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             sizes[i] = len(token)  # one character of a token stands for one byte
@@ -94,24 +95,24 @@ class Encoder:
                 start = stop + 4 * skip
 
     def _learn(self, parts: set[str]) -> None:
-        known, pieces = self.parts.now, self.pieces
+        known = self.parts.now
         # A space and plain letters are one piece.
         words = {p for p in parts if p.isascii() and p[1:].isalpha() and p[0] == " " and len(p) <= LONGEST}
+        if words:
+            self._encode_joined(list(words), "", known)
         rest = parts - words
         plain = {p: _PIECES.findall(p) for p in rest if len(p) <= LONGEST and _PLAIN.fullmatch(p)}
-        unknown = pieces.missing({x for found in plain.values() for x in found})
+        unknown = self.parts.missing({x for found in plain.values() for x in found})
         spaced = [x for x in unknown if len(x) > 1 and x[0] == " " and x[1] != " "]
         dense = [x for x in unknown if not x[0].isspace()]
-        if words:
-            self._encode_joined(list(words), "", known)
         if spaced:
-            self._encode_joined(spaced, "", pieces.now)
+            self._encode_joined(spaced, "", known)
         if dense:
-            self._encode_joined(dense, "\n", pieces.now)
-        for x in unknown.difference(pieces.now):
-            pieces.now[x] = self.whole(x)
+            self._encode_joined(dense, "\n", known)
+        for x in unknown.difference(known):
+            known[x] = self.whole(x)
         for p, found in plain.items():
-            known[p] = b"".join([pieces.now[x] for x in found])
+            known[p] = b"".join([known[x] for x in found])
         for p in rest.difference(plain):
             known[p] = self.whole(p)
 
@@ -133,7 +134,6 @@ class Encoder:
             if len(p) > LONGEST:
                 del known[p]
         self.parts.rest()
-        self.pieces.rest()
         return out
 
 
