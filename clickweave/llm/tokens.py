@@ -5,8 +5,9 @@ its own, so a text may be encoded in parts wherever the pattern is sure to cut.
 cuts before a single space between two characters that are no white space; and in a part
 of ASCII and Latin-1 letters, digits and punctuation the cuts are those of ``_PIECES``. So
 parts and pieces are encoded once and remembered; unknown pieces are sent to the tokenizer
-many at a time. What doesn't fit is encoded as a whole. Memory is bounded by ``LIMIT``
-remembered parts in two generations.
+many at a time. What doesn't fit is encoded as a whole, as are texts that hold an added token
+(such as ``<|endoftext|>``), which the tokenizer finds before it cuts. Memory is bounded by
+``LIMIT`` remembered parts in two generations.
 """
 
 from __future__ import annotations
@@ -61,7 +62,8 @@ class Encoder:
         # Spark runs a process per core; more threads would only wait for each other.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         # Parts and pieces are strings with their ids alike.
         self.parts = Remembered(limit)
         sizes = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
@@ -119,6 +121,8 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
+        if self.added and self.added.search(text):
+            return self.whole(text)
         if _ODD_SPACE.search(text):
             first, *others = _SURE_CUT.split(text)
             parts = [first, *[" " + c for c in others]]
