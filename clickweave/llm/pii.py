@@ -1,18 +1,21 @@
 """Personal data by fixed patterns and by bootstrapped contextual extraction.
 
 Four kinds are found by fixed expressions (email, ip, card, phone): the base spans, which
-always stay. They seed a bootstrap: an *instance* is a token with a digit, its *pattern*
-the word that stands before it. Instances inside base spans are certain. Patterns and
+always stay. They seed a bootstrap: an *instance* is a whole base span (without the
+separators of its digits) or another token with a digit, its *pattern* the word of any script
+that stands before it, also across a line break. Base spans are certain. Patterns and
 instances form a weighted graph, scored in ``ROUNDS`` rounds: a pattern is as good as the
-instances it introduces (with a discount for rare patterns), an instance as good as the
-patterns that introduce it. Patterns of ``LEAST_SCORE`` with ``LEAST_SUPPORT`` instances then
-mark whatever else they introduce as an ``id`` span, identifiers that no expression knows.
+instances it introduces, against all places of its word in the corpus (with a discount for
+rare patterns), so a word that mostly introduces something else is refused; an instance is as
+good as the patterns that introduce it. Patterns of ``LEAST_SCORE`` with ``LEAST_SUPPORT``
+different instances of that score then mark whatever else with a digit they introduce as an
+``id`` span, identifiers that no expression knows.
 
 Only DataFrame functions: matches come from ``regexp_extract_all`` and their places from
 the lengths of what ``split`` leaves between them. Expressions are possessive, so no text
-makes them backtrack or recurse. The corpus is scanned once; spans and contexts (no texts)
-are written to the shared folder, and only they are grouped and joined. A frequent word is
-one key of pre-aggregated rows.
+makes them backtrack or recurse. The corpus is scanned once for spans and contexts (no texts),
+which are written to the shared folder and joined, and once to count words. A frequent word
+is one key of pre-aggregated rows.
 
 Defined results: a null or empty text has no spans. Rows are told apart by a number of
 their own, so repeated rows, ties and null ids are judged row by row; an empty table gives
@@ -43,7 +46,12 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BYTE = r"^0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"
 
 #: A word, up to four characters between, and a token with a digit.
-_CONTEXT = r"(?<![A-Za-z])[A-Za-z]++[^A-Za-z0-9\n]{1,4}+[A-Za-z._+-]*+[0-9][A-Za-z0-9._+-]*+"
+_LETTER = r"\p{L}\p{M}"
+_BETWEEN = rf"[^{_LETTER}0-9]{{1,4}}+"
+_CONTEXT = rf"(?<![{_LETTER}])[{_LETTER}]++{_BETWEEN}[A-Za-z._+-]*+[0-9][A-Za-z0-9._+-]*+"
+_BEFORE = rf"(?<![{_LETTER}])([{_LETTER}]++){_BETWEEN}$"
+#: Characters before a base span in which its word is looked for.
+_REACH = 80
 _INSTANCE = r"([A-Za-z._+-]*[0-9](?:[A-Za-z0-9._+-]*[A-Za-z0-9])?)([._+-]*)$"
 
 _SPANS = "array<struct<start: bigint, stop: bigint, hit: string>>"
@@ -99,20 +107,36 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _contexts(text: Column, base: Column) -> Column:
-    """pattern, instance, start, stop, seed of every token with a digit that a word introduces."""
+    """pattern, instance, start, stop, seed of base spans and other tokens with a digit that a word introduces."""
+    t = F.coalesce(text, F.lit(""))
 
-    def of(span: Column) -> Column:
-        stop = span["stop"] - F.length(F.regexp_extract(span["hit"], _INSTANCE, 2))
-        instance = F.regexp_extract(span["hit"], _INSTANCE, 1)
-        start = stop - F.length(instance)
-        seed = F.exists(base, lambda b: (b["start"] < stop) & (start < b["stop"]))
+    def context(pattern: Column, instance: Column, start: Column, stop: Column, seed: bool) -> Column:
         return F.struct(
-            F.lower(F.regexp_extract(span["hit"], "^[A-Za-z]+", 0)).alias("pattern"),
-            instance.alias("instance"), start.alias("start"), stop.alias("stop"), seed.alias("seed"),
+            F.lower(pattern).alias("pattern"), instance.alias("instance"),
+            start.alias("start"), stop.alias("stop"), F.lit(seed).alias("seed"),
         )
 
-    t = F.coalesce(text, F.lit(""))
-    return F.transform(matches(t, _CONTEXT), of)
+    def of_base(span: Column) -> Column:
+        first = F.greatest(span["start"] - _REACH, F.lit(0).cast("bigint"))
+        before = F.substr(t, (first + 1).cast("int"), (span["start"] - first).cast("int"))
+        instance = F.lower(F.regexp_replace(span["hit"], r"[\x20()-]", ""))
+        return context(F.regexp_extract(before, _BEFORE, 1), instance, span["start"], span["stop"], True)
+
+    def of_token(span: Column) -> Column:
+        stop = span["stop"] - F.length(F.regexp_extract(span["hit"], _INSTANCE, 2))
+        instance = F.regexp_extract(span["hit"], _INSTANCE, 1)
+        word = F.regexp_extract(span["hit"], f"^[{_LETTER}]+", 0)
+        return context(word, instance, stop - F.length(instance), stop, False)
+
+    free = lambda c: ~F.exists(base, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
+    seeds = F.filter(F.transform(base, of_base), lambda c: c["pattern"] != "")
+    return F.concat(seeds, F.filter(F.transform(matches(t, _CONTEXT), of_token), free))
+
+
+def _places(texts: DataFrame) -> DataFrame:
+    """``pattern``, ``places``: how often each word stands in ``text``."""
+    words = texts.select(F.explode(F.split("text", f"[^{_LETTER}]+")).alias("word"))
+    return words.groupBy(F.lower("word").alias("pattern")).agg(F.count("*").alias("places"))
 
 
 def _scan(rows: DataFrame) -> DataFrame:
@@ -121,16 +145,16 @@ def _scan(rows: DataFrame) -> DataFrame:
     return found.withColumn("contexts", _contexts(F.col("text"), F.concat(*KINDS)))
 
 
-def score_patterns(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``pattern``, ``score``, ``support`` from ``pattern``, ``instance``, ``seed`` rows."""
-    edges = materialise(
-        occurrences.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "pii-graph"
-    )
+def score_patterns(occurrences: DataFrame, places: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``pattern``, ``score``, ``support`` from ``pattern``, ``instance``, ``seed`` rows and places by pattern."""
+    edges = occurrences.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
+    edges = materialise(edges.join(places, "pattern"), "pii-graph")
     score = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("c"))
     for k in range(rounds):
         weighed = edges.join(score, "instance").groupBy("pattern").agg(
-            F.sum(F.col("n") * F.col("c")).alias("good"), F.sum("n").alias("n"), F.count("*").alias("support")
-        )
+            F.sum(F.col("n") * F.col("c")).alias("good"), F.greatest(F.max("places"), F.sum("n")).alias("n"),
+            F.count_if(F.col("c") >= LEAST_SCORE).alias("support"),
+        )
         patterns = weighed.select("pattern", (F.col("good") / (F.col("n") + 2)).alias("score"), "support")
         patterns = materialise(patterns, f"pii-patterns-{k}")
         introduced = edges.join(patterns.select("pattern", "score"), "pattern").groupBy("instance").agg(
@@ -141,9 +165,10 @@ def score_patterns(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return patterns
 
 
-def _with_contextual(scanned: DataFrame, least_score: float, least_support: int) -> DataFrame:
+def _with_contextual(scanned: DataFrame, texts: DataFrame, least_score: float, least_support: int) -> DataFrame:
     occurrences = scanned.select("row", F.inline("contexts"))
-    good = score_patterns(occurrences).filter((F.col("score") >= least_score) & (F.col("support") >= least_support))
+    scored = score_patterns(occurrences, _places(texts))
+    good = scored.filter((F.col("score") >= least_score) & (F.col("support") >= least_support))
     new = occurrences.filter(~F.col("seed")).join(good.select("pattern"), "pattern")
     span = F.struct("start", "stop", F.col("instance").alias("hit"))
     by_row = new.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias(CONTEXTUAL))
@@ -157,7 +182,7 @@ def find(
 ) -> DataFrame:
     """Per row ``doc_id``, the base spans by kind, and ``id`` (contextual spans)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return _with_contextual(materialise(_scan(rows).drop("text"), "pii-spans"), least_score, least_support)
+    return _with_contextual(materialise(_scan(rows).drop("text"), "pii-spans"), rows, least_score, least_support)
 
 
 def redact(
@@ -165,7 +190,8 @@ def redact(
 ) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; overlapping spans by one."""
     rows = docs.select(F.struct(*docs.columns).alias("kept"), F.col(text_col).alias("text"))
-    found = _with_contextual(materialise(_scan(rows), "pii-spans"), least_score, least_support)
+    scanned = materialise(_scan(rows), "pii-spans")
+    found = _with_contextual(scanned, scanned, least_score, least_support)
     kinds = [*KINDS, CONTEXTUAL]
     named = [_with_kind(k) for k in kinds]
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
