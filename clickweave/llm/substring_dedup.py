@@ -1,18 +1,16 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by counted windows.
 
 A *window* is ``WINDOW`` (35) consecutive words of a document; its words go if the same
-sequence also starts anywhere else. Every document is parsed greedily against a reference,
-the windows that occur in more than one place, held in blocks by their hash:
+sequence also starts anywhere else. Windows are counted by hash; this stands in place of a
+relative Lempel-Ziv parse, which would extend longest matches in a reference text:
 
 1. *Anchors*: of every window the word 8-gram with the smallest hash is its anchor (the
    rightmost among equals). Equal windows have equal anchors, so only windows whose anchor
    occurs in two places can be duplicates. Anchors are counted by a shuffle.
-2. *Reference*: the remaining windows, a small part of the corpus, are spread over blocks by a
-   128-bit hash of their words and counted; those with two places or more are the index.
-3. *Parse*: index hits come back to their documents. A factor goes on as long as each next
-   window is in the index; where it ends, at its boundary, the next window was looked up
-   as well, so no window across a boundary is missed. Factors of at least a window are the
-   duplicate spans.
+2. *Windows*: the remaining windows, a small part of the corpus, are counted by a 128-bit
+   hash of their words; those with two places or more are duplicates.
+3. *Spans*: the starts of duplicates come back to their documents, where overlapping and
+   adjoining windows are merged into spans.
 
 A passage that fills a third of the corpus is one key whose rows are pre-aggregated before
 the shuffle, and otherwise the larger side of sort-merge joins, which adaptive execution
