@@ -191,8 +191,7 @@ def is_held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(True))
 
 
-def drop_undetermined(docs: DataFrame, model: LanguageModel, text_col: str = "text", least: float = 0.3) -> DataFrame:
-    """``docs`` whose language is found with a score of ``least`` or more."""
+def drop_undetermined(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """``docs`` whose language is found; a low score (short or mixed texts) drops nothing."""
     marked = docs.withColumn("__lang", predict(F.col(text_col), model))
-    sure = (F.col("__lang.lang") != UNDETERMINED) & (F.col("__lang.score") >= least)
-    return marked.filter(sure).drop("__lang")
+    return marked.filter(F.col("__lang.lang") != UNDETERMINED).drop("__lang")
