@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickweave.llm import decontamination, language_id, license_scan, packing, pii, simhash_dedup, substring_dedup, token_store, url_filter, vector_dedup
+from clickweave.llm import decontamination, language_id, license_scan, packing, pii, sharding, simhash_dedup, substring_dedup, token_store, url_filter, vector_dedup
 from clickweave.llm.common import table
 from clickweave.session import scratch_dir
 
@@ -97,6 +97,16 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", sharding.size_of(text).alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32")
+    )
+    return sharding.shuffle_to_shards(docs, 24).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -109,6 +119,7 @@ def all_queries() -> dict[str, Query]:
         "op7_substring_dedup": op7_substring_dedup,
         "op8_language_id": op8_language_id,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
+        "op13_sharding": op13_sharding,
     }
 
 
