@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickweave.llm import decontamination, language_id, license_scan, packing, pii, sharding, simhash_dedup, substring_dedup, token_store, url_filter, vector_dedup
+from clickweave.llm import alignment, decontamination, language_id, license_scan, packing, pii, sharding, simhash_dedup, substring_dedup, token_store, url_filter, vector_dedup
 from clickweave.llm.common import table
 from clickweave.session import scratch_dir
 
 #: Tokenizer files stay where they are installed; the operators take any path.
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,10 +57,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +98,10 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_statistics(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PIECES))
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     docs = table(spark, sf_dir, "documents").select(
@@ -119,6 +124,7 @@ def all_queries() -> dict[str, Query]:
         "op7_substring_dedup": op7_substring_dedup,
         "op8_language_id": op8_language_id,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
+        "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
         "op13_sharding": op13_sharding,
     }
 

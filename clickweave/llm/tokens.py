@@ -35,6 +35,11 @@ _ODD_SPACE = re.compile(r"\s\s|^\s|\s\Z|[᠎​﻿]")
 _SURE_CUT = re.compile(r"(?<=[^\s᠎​﻿]) (?=[^\s᠎​﻿])")
 
 
+def sure_parts(text: str) -> list[str]:
+    """A text cut at the single spaces where the pattern is sure to cut; the spaces are left out."""
+    return _SURE_CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+
+
 class Remembered:
     """Encoded strings of two generations: what was used lately survives."""
 
@@ -58,11 +63,15 @@ class Remembered:
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers, 4 bytes each."""
 
-    def __init__(self, path: str, limit: int = LIMIT) -> None:
+    def __init__(self, path: str, limit: int = LIMIT, plain: bool = False) -> None:
         # Spark runs a process per core; more threads would only wait for each other.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        # With ``plain``, strings of special tokens are text like any other.
+        self.tokenizer.encode_special_tokens = plain
+        added = [
+            t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content and not (plain and t.special)
+        ]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         # Parts and pieces are strings with their ids alike.
         self.parts = Remembered(limit)
@@ -118,17 +127,21 @@ class Encoder:
         for p in rest.difference(plain):
             known[p] = self.whole(p)
 
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts, each of which the pattern cuts from its neighbours."""
+        if absent := self.parts.missing(set(parts)):
+            self._learn(absent)
+        out = [self.parts.now[p] for p in parts]
+        self.parts.rest()
+        return out
+
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
         if self.added and self.added.search(text):
             return self.whole(text)
-        if _ODD_SPACE.search(text):
-            first, *others = _SURE_CUT.split(text)
-            parts = [first, *[" " + c for c in others]]
-        else:
-            first, *others = text.split(" ")
-            parts = [first, *[" " + c for c in others]]
+        first, *others = sure_parts(text)
+        parts = [first, *[" " + c for c in others]]
         distinct = set(parts)
         if absent := self.parts.missing(distinct):
             self._learn(absent)
