@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickweave.llm import alignment, decontamination, language_id, license_scan, packing, pii, sharding, simhash_dedup, substring_dedup, token_store, url_filter, vector_dedup
+from clickweave.llm import alignment, decontamination, language_id, license_scan, packing, phrases, pii, sharding, simhash_dedup, substring_dedup, token_store, url_filter, vector_dedup
 from clickweave.llm.common import table
 from clickweave.session import scratch_dir
 
@@ -102,6 +102,10 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return alignment.link_statistics(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PIECES))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, first=2_000)
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     docs = table(spark, sf_dir, "documents").select(
@@ -125,6 +129,7 @@ def all_queries() -> dict[str, Query]:
         "op8_language_id": op8_language_id,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+        "op12_phrase_collocations": op12_phrase_collocations,
         "op13_sharding": op13_sharding,
     }
 
@@ -158,5 +163,46 @@ FROM ruled
 """
 
 
+# Phrases by listing every n-gram of every piece.
+COLLOCATIONS_SQL = r"""
+WITH pieces AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+      unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)
+), grams AS (
+  SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS g
+  FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i
+    FROM pieces, (SELECT unnest(range(1, 6)) AS m) WHERE len(ws) >= m)
+), f AS (
+  SELECT lang, m, g, count(*) AS c FROM grams GROUP BY lang, m, g
+), totals AS (
+  SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, m, g, c AS a, string_split(g, ' ') AS ws FROM f WHERE m > 1 AND c >= 100
+), inside AS (
+  SELECT lang, array_to_string(ws[i:i + p - 1], ' ') AS g, max(a) AS longer
+  FROM (SELECT lang, ws, a, p, unnest(range(1, m - p + 2)) AS i
+    FROM candidates, (SELECT unnest(range(2, 5)) AS p) WHERE p < m)
+  GROUP BY ALL
+), cuts AS (
+  SELECT c.lang, c.g, c.a, k, l.c AS l, r.c AS r, n,
+    (CAST(a AS HUGEINT) * n * 1000) // (CAST(l.c AS HUGEINT) * r.c) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates) c
+  JOIN totals USING (lang)
+  JOIN f l ON l.lang = c.lang AND l.m = k AND l.g = array_to_string(ws[1:k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.m = c.m - k AND r.g = array_to_string(ws[k + 1:c.m], ' ')
+  LEFT JOIN inside x ON x.lang = c.lang AND x.g = c.g
+  WHERE x.longer IS NULL OR 100 * x.longer < 100 * c.a
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM lowest
+)
+SELECT lang, rank, g AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
+
 def all_oracles() -> dict[str, str]:
-    return {"op4_url_filter": URL_FILTER_SQL}
+    return {"op4_url_filter": URL_FILTER_SQL, "op12_phrase_collocations": COLLOCATIONS_SQL}

@@ -147,10 +147,7 @@ def communication_matrix(blocks: DataFrame, shards: int, seed: int = 0) -> DataF
     while ARITY**depth <= last:
         depth += 1
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
-    spark = blocks.sparkSession
-    node = spark.range(1).select(
-        F.lit(0).cast("bigint").alias("node"), F.array(*[F.lit(n).cast("bigint") for n in sizes]).alias("left")
-    )
+    node = None
     for level in range(depth - 1, -1, -1):
         width = ARITY**level
         child = F.floor(F.col("block") / width).cast("bigint")
@@ -171,9 +168,10 @@ def communication_matrix(blocks: DataFrame, shards: int, seed: int = 0) -> DataF
             )
 
         done = F.aggregate("children", start, deal)["done"]
-        node = node.join(children, "node").select(F.explode(done).alias("c")).select(
-            F.col("c.child").alias("node"), F.col("c.sent").alias("left")
-        )
+        # The root has all of every shard to give.
+        whole = F.array(*[F.lit(n).cast("bigint") for n in sizes])
+        node = children.withColumn("left", whole) if node is None else node.join(children, "node")
+        node = node.select(F.explode(done).alias("c")).select(F.col("c.child").alias("node"), F.col("c.sent").alias("left"))
         # A level follows from the one above; stored, it is drawn once.
         node = materialise(node, "matrix")
     return node.select(F.col("node").alias("block"), F.col("left").alias("sent"))
