@@ -95,7 +95,7 @@ def _view() -> Column:
     return F.struct("ts", "seq", "page")
 
 
-def _is_view() -> Column:
+def is_view() -> Column:
     ends = F.coalesce(F.col("event").isin(START, END), F.lit(False))
     return ~ends & S.present(F.coalesce("page", F.lit("")))
 
@@ -117,7 +117,7 @@ def session_gate(
     with_id = raw.filter(S.present(F.coalesce("session_id", F.lit(""))))
     values = [
         Running("started", "min", F.when(F.col("event") == START, _at())),
-        Running("latest_view", "max", F.when(_is_view(), _view()), inclusive=False),
+        Running("latest_view", "max", F.when(is_view(), _view()), inclusive=False),
         Running("pos", "sum", F.lit(1)),
     ]
     # A page record before the session's start is no view; and if the latest page
@@ -138,14 +138,14 @@ def accepted(raw: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
     return session_gate(raw, chunk_ms).filter(F.col("started").isNotNull())
 
 
-def rejects(raw: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
-    """Refused records with their reason and status class."""
+def refused(raw: DataFrame, gated: DataFrame) -> DataFrame:
+    """Records of ``raw`` without a session id, and those the gate found no start for, with
+    their reason and status class."""
     no_id = raw.filter(~S.present(F.coalesce("session_id", F.lit("")))).withColumn(
         "reason", F.lit(MISSING_SESSION)
     )
     early = (
-        session_gate(raw, chunk_ms)
-        .filter(F.col("started").isNull())
+        gated.filter(F.col("started").isNull())
         .drop("started", "latest_view", "pos")
         .withColumn("reason", F.lit(INVALID_SESSION))
     )
@@ -153,6 +153,11 @@ def rejects(raw: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
     return no_id.unionByName(early).withColumn("status", status)
 
 
+def rejects(raw: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """Refused records with their reason and status class."""
+    return refused(raw, session_gate(raw, chunk_ms))
+
+
 def gate_against(raw: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split records by an existing sessions table: known sessions and starts pass."""
     known = sessions.select("session_id")
@@ -206,8 +211,8 @@ def view_statements(valid: DataFrame, zero_is_null: bool = True) -> DataFrame:
     spent = F.nullif(c("time_spent"), F.lit(0).cast("bigint"))
     vitals = {v: S.number_or_null(c(v), zero_is_null) for v in schemas.VITALS}
     none = F.lit(None).cast("double")
-    closes = spent.isNotNull() & (_is_view() | (c("event") == END))
-    measures = ~_is_view() & (c("event") == PERFORMANCE)
+    closes = spent.isNotNull() & (is_view() | (c("event") == END))
+    measures = ~is_view() & (c("event") == PERFORMANCE)
 
     opened = F.struct(
         _view().alias("view"),
@@ -223,7 +228,7 @@ def view_statements(valid: DataFrame, zero_is_null: bool = True) -> DataFrame:
     )
     statements = F.array_compact(
         F.array(
-            F.when(_is_view(), opened),
+            F.when(is_view(), opened),
             F.when(c("latest_view").isNotNull() & (closes | measures), said),
         )
     )
@@ -232,8 +237,9 @@ def view_statements(valid: DataFrame, zero_is_null: bool = True) -> DataFrame:
     )
 
 
-def merge_statements(statements: DataFrame) -> DataFrame:
+def merge_statements(statements: DataFrame, keep_pos: bool = False) -> DataFrame:
     """Page views from statements: per view and field the latest non-missing one wins.
+    ``keep_pos`` adds ``pos``, the number of the record that spoke of the view last.
     Views are keyed by (session, ts, seq), so however long a session is, the shuffle is
     balanced. The page is part of the key, and what remains are numbers with a number as
     their order, which aggregate by hash."""
@@ -248,6 +254,7 @@ def merge_statements(statements: DataFrame) -> DataFrame:
             F.max("scroll_depth").alias("scroll_depth"),
             latest("time_spent"),
             *[latest(v) for v in schemas.VITALS],
+            F.max("pos").alias("pos"),
         )
         .select(
             c("view.seq").alias("id"),
@@ -257,6 +264,7 @@ def merge_statements(statements: DataFrame) -> DataFrame:
             "time_spent",
             "scroll_depth",
             *schemas.VITALS,
+            *["pos"] * keep_pos,
         )
     )
 

@@ -2,31 +2,122 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clickweave import schemas
 from clickweave.functions import scalars as S
 from clickweave.operators import deploy, ingest
 from clickweave.operators.timeframe import deploy_windows
+from clickweave.session import scratch_dir
 from clickweave.sources import tables
+from clickweave.sources.store import BUCKET, BUCKETS, DATE, Store, bucket_of, buckets_of, parts_of
+from clickweave.sources.tables import day_of
+
+
+#: What later runs have to know of a session: the position of its first start, its latest
+#: page view, and its number of records. One row per session and run, merged by key.
+POSITION = T.StructType([T.StructField("ts", T.LongType()), T.StructField("seq", T.LongType())])
+SESSION_STATE = T.StructType(
+    [
+        T.StructField("session_id", T.StringType()),
+        T.StructField("started", POSITION),
+        T.StructField("latest_view", T.StructType([*POSITION.fields, T.StructField("page", T.StringType())])),
+        T.StructField("pos", T.LongType()),
+    ]
+)
+STATE, KEY = "session_state", ["session_id"]
+
+
+def merged_state(rows: DataFrame) -> DataFrame:
+    values = [F.min("started").alias("started"), F.max("latest_view").alias("latest_view"), F.max("pos").alias("pos")]
+    return rows.groupBy("session_id", *[c for c in rows.columns if c == BUCKET]).agg(*values)
+
+
+def known_sessions(store: Store, log: DataFrame, buckets: int = BUCKETS) -> DataFrame | None:
+    """State of the sessions that have records in ``log``, from their buckets only."""
+    if not store.has(STATE):
+        return None
+    here = store.read(STATE, BUCKET, SESSION_STATE, parts=buckets_of(log, KEY, buckets))
+    ids = log.select("session_id").distinct()
+    return merged_state(here.join(ids, "session_id", "left_semi").drop(BUCKET))
 
 
-def ingest_log(raw: DataFrame, root: str) -> None:
-    """Fold a log into the three stored tables below ``root``.
+def ingest_log(raw: DataFrame, root: str, run: str | None = None, fan_in: int = 1, buckets: int = BUCKETS) -> None:
+    """Fold a log into the stored sessions, page views, events and rejects below ``root``.
 
-    The accepted records are written once, since page views and events both start from
+    Logs may come one after the other: a session goes on where earlier runs left it, and the
+    result is that of one log with all records, if each log is later than those before it.
+    A session's first start to arrive counts. All tables change at once, when the run
+    commits; a run that stopped may be started again under its name, and one that has been
+    committed changes nothing. With the default ``fan_in`` the days whose views or sessions are
+    corrected are written anew; a greater one (small runs) lets corrections wait in files of
+    their own, see ``sources.store``.
+
+    The gated records are written once to the scratch folder, since all tables start from
     them; a lost executor then costs no second pass over the log.
     """
     spark = raw.sparkSession
-    log = tables.evolve_schema(raw, schemas.TRACKING)
-    tables.append_sessions(ingest.fold_sessions(log), root)
-    needed = ["session_id", "ts", "seq", "event", "page", "scroll_depth", "time_spent", "element", "href"]
-    path = f"{root}/accepted"
-    ingest.accepted(log).select(*needed, *schemas.VITALS, "latest_view", "pos").write.parquet(path)
-    valid = spark.read.parquet(path)
-    tables.append_page_views(ingest.merge_statements(ingest.view_statements(valid)), root)
-    tables.append_events(ingest.named_events(valid), root)
+    store = Store(spark, root)
+    change = store.begin(run or uuid.uuid4().hex)
+    if change is None:
+        return
+    log = tables.evolve_schema(raw, schemas.TRACKING).select(*schemas.TRACKING.fieldNames())
+    known = known_sessions(store, log, buckets)
+    path = scratch_dir(spark, "gated")
+    ingest.session_gate(log, known=known).write.parquet(path)
+    gated = spark.read.parquet(path)
+    valid = gated.filter("started IS NOT NULL")
+
+    sessions, ended_days = _session_rows(valid, known)
+    change.merge(
+        tables.laid_out(sessions, schemas.SESSIONS, "start_time"), "sessions", DATE, tables.merged_sessions, ended_days, fan_in,
+        lambda rows: tables.laid_out(rows, schemas.SESSIONS, "start_time"),
+    )
+    views = ingest.merge_statements(ingest.view_statements(valid), keep_pos=True)
+    stated_days = set()
+    if known is not None:
+        latest = known.select("session_id", F.col("latest_view.ts").alias("timestamp"), F.col("latest_view.seq").alias("id"))
+        stated_days = parts_of(views.join(latest, ["session_id", "timestamp", "id"], "left_semi").select(day_of("timestamp").alias(DATE)), DATE)
+    change.merge(
+        tables.laid_out(views, tables.STORED_VIEWS, "timestamp"), "page_views", DATE, tables.merged_views, stated_days, fan_in,
+        lambda rows: tables.laid_out(rows, tables.STORED_VIEWS, "timestamp"),
+    )
+    change.add(tables.laid_out(ingest.named_events(valid), schemas.EVENTS, "timestamp"), "events")
+    refused = ingest.refused(log, gated)
+    change.add(tables.laid_out(refused, tables.STORED_REJECTS, "ts"), "rejects")
+    change.merge(_state_rows(valid, known).withColumn(BUCKET, bucket_of(KEY, buckets)), STATE, BUCKET, merged_state)
+    change.commit()
+
+
+def _session_rows(valid: DataFrame, known: DataFrame | None) -> tuple[DataFrame, set[str]]:
+    """New sessions, and ends of stored ones beside the start they are stored under, with the days of those."""
+    bounds = ingest.session_bounds(valid)
+    if known is None:
+        return ingest.bounds_to_sessions(bounds), set()
+    told = bounds.join(known.select("session_id", F.col("started").alias("before")), "session_id", "left")
+    fresh = ingest.bounds_to_sessions(told.filter("before IS NULL").drop("before"))
+    ended = told.filter("before IS NOT NULL AND e > before").select(
+        "session_id", F.col("before.ts").alias("start_time"), F.col("e.ts").alias("end_time")
+    )
+    days = parts_of(ended.select(day_of("start_time").alias(DATE)), DATE)
+    return fresh.unionByName(ended, allowMissingColumns=True), days
+
+
+def _state_rows(valid: DataFrame, known: DataFrame | None) -> DataFrame:
+    """State of the sessions of a run. A start counts when it arrives, however early it is stamped."""
+    view = F.when(ingest.is_view(), F.struct("ts", "seq", "page"))
+    rows = valid.groupBy("session_id").agg(
+        F.min("started").alias("started"), F.max(view).alias("latest_view"), F.max("pos").alias("pos")
+    )
+    if known is None:
+        return rows
+    before = known.select("session_id", F.col("started").alias("before"))
+    first = F.coalesce("before", "started")
+    return rows.join(before, "session_id", "left").withColumn("started", first).drop("before")
 
 
 def with_device(sessions: DataFrame) -> DataFrame:

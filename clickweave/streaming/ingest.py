@@ -1,131 +1,35 @@
-"""Incremental fold of the tracking stream into sessions, page views and events.
+"""Incremental fold of the tracking stream into the stored tables.
 
-Each micro-batch is folded by the batch operators. What a session brings along from
-earlier batches is small and mergeable: the position of its first start (minimum), its
-latest page view and its number of records (maxima). They are kept as append-only deltas
-and enter the fold as initial values, so a batch costs what its own records cost, a busy session is
-split into chunks like in batch mode, and there is no Python on the data path.
+Each micro-batch is a run of ``jobs.ingest_log``: it takes what it must know of its own
+sessions (first start, latest view, number of records) from their hash buckets, folds its
+records with the batch operators, and commits all tables at once. There is no Python on the data path.
+Runs are named after the stream and the batch, so a batch repeated after a failure changes
+nothing; state and corrections are merged level by level (``sources.store``), so the work
+of a batch follows its own records, not the age of the stream.
 
+The tables are the stored ones: ``tables.read_sessions`` and the others read them.
 Batches arrive in order, as the records of the original do; inside a batch records are
-ordered by ``(ts, seq)``. All outputs go to ``<root>/<table>/batch_id=<n>`` in overwrite
-mode: a batch repeated after a failure replaces what it wrote before, and it never reads
-its own deltas.
+ordered by ``(ts, seq)``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from clickweave import schemas
-from clickweave.functions import scalars as S
-from clickweave.operators import ingest
-from clickweave.sources.tables import evolve_schema
+from clickweave.plans import jobs
+from clickweave.sources.store import FAN_IN
 
-_POSITION = T.StructType([T.StructField("ts", T.LongType()), T.StructField("seq", T.LongType())])
-KNOWN = T.StructType(
-    [
-        T.StructField("session_id", T.StringType()),
-        T.StructField("started", _POSITION),
-        T.StructField("latest_view", T.StructType([*_POSITION.fields, T.StructField("page", T.StringType())])),
-        T.StructField("pos", T.LongType()),
-        T.StructField("batch_id", T.LongType()),
-    ]
-)
 
+def fold_batch(batch: DataFrame, batch_id: int, root: str, stream: str = "tracking", fan_in: int = FAN_IN) -> None:
+    jobs.ingest_log(batch, root, f"{stream}-{batch_id}", fan_in)
 
-def _carry() -> list[Column]:
-    names = {"started": F.min, "latest_view": F.max, "pos": F.max}
-    return [pick(name).alias(name) for name, pick in names.items()]
 
-
-def _known(spark: SparkSession, root: str, batch: DataFrame, batch_id: int) -> DataFrame | None:
-    """Positions carried over for the sessions of this batch."""
-    if batch_id == 0:
-        return None
-    ids = batch.select("session_id").distinct()
-    deltas = spark.read.schema(KNOWN).parquet(f"{root}/known").filter(F.col("batch_id") < batch_id)
-    return (
-        deltas.join(ids, "session_id", "left_semi")
-        .groupBy("session_id")
-        .agg(*_carry())
-    )
-
-
-def fold_batch(batch: DataFrame, batch_id: int, root: str) -> None:
-    records = evolve_schema(batch, schemas.TRACKING)
-    spark = records.sparkSession
-    known = _known(spark, root, records, batch_id)
-    # Read by every table below; lost blocks are computed again from the batch.
-    gated = ingest.session_gate(records, known=known).persist()
-
-    def save(df: DataFrame, table: str) -> None:
-        df.write.mode("overwrite").parquet(f"{root}/{table}/batch_id={batch_id}")
-
-    try:
-        valid = gated.filter(F.col("started").isNotNull())
-        save(ingest.view_statements(valid), "view_statements")
-        save(ingest.named_events(valid), "events")
-        ends = F.coalesce(F.col("event").isin(ingest.START, ingest.END), F.lit(False))
-        save(ingest.session_bounds(valid), "session_bounds")
-        no_id = ~S.present(F.coalesce("session_id", F.lit("")))
-        early = gated.filter(F.col("started").isNull()).select(
-            "session_id", "seq", "ts", F.lit(ingest.INVALID_SESSION).alias("reason")
-        )
-        missing = records.filter(no_id).select(
-            "session_id", "seq", "ts", F.lit(ingest.MISSING_SESSION).alias("reason")
-        )
-        save(early.unionByName(missing), "rejects")
-        is_view = ~ends & S.present(F.coalesce("page", F.lit("")))
-        save(
-            valid.groupBy("session_id").agg(
-                F.min("started").alias("started"),
-                F.max(F.when(is_view, F.struct("ts", "seq", "page"))).alias("latest_view"),
-                F.max("pos").alias("pos"),
-            ),
-            "known",
-        )
-    finally:
-        gated.unpersist()
-
-
-def start(records: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
+def start(records: DataFrame, root: str, checkpoint: str, stream: str = "tracking", **trigger) -> StreamingQuery:
     """Start the ingest of a stream of tracking records."""
     return (
-        records.writeStream.foreachBatch(lambda df, n: fold_batch(df, n, root))
+        records.writeStream.foreachBatch(lambda df, n: fold_batch(df, n, root, stream))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
-
-
-def compact_known(spark: SparkSession, root: str, target: str) -> None:
-    """Rewrite the carried positions as one row per session into ``target``."""
-    deltas = spark.read.schema(KNOWN).parquet(f"{root}/known")
-    deltas.groupBy("session_id").agg(
-        *_carry()
-    ).write.mode("overwrite").parquet(f"{target}/batch_id=-1")
-
-
-# Tables as of now: the deltas merged on read.
-
-
-def sessions(spark: SparkSession, root: str) -> DataFrame:
-    bounds = spark.read.parquet(f"{root}/session_bounds")
-    return ingest.bounds_to_sessions(
-        bounds.groupBy("session_id").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    )
-
-
-def page_views(spark: SparkSession, root: str) -> DataFrame:
-    return ingest.merge_statements(spark.read.parquet(f"{root}/view_statements"))
-
-
-def events(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/events").drop("batch_id")
-
-
-def rejects(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/rejects").drop("batch_id")

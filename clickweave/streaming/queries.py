@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clickweave.functions import scalars as S
 from clickweave.session import scratch_dir
 from clickweave.sources.fixtures import view
-from clickweave.sources.tables import read_tracking
+from clickweave.sources.tables import read_page_views, read_tracking
 from clickweave.streaming import ingest, windows
 
 DELAY_MS = 3_600_000
@@ -81,6 +81,6 @@ def run_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     view(spark, sf_dir, "fx_raw").drop("forwarded_for").write.json(f"{root}/log")
     records = read_tracking(spark, f"{root}/log", stream=True)
     ingest.start(records, f"{root}/tables", f"{root}/checkpoint").awaitTermination()
-    return ingest.page_views(spark, f"{root}/tables").select(
+    return read_page_views(spark, f"{root}/tables").select(
         "id", "session_id", "page", "timestamp", "time_spent", "scroll_depth", "ttfb", "cls"
     )

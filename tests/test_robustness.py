@@ -71,4 +71,6 @@ def test_deployment_ids_are_kept_on_a_rerun(spark, table):
     tables.append_deployments(rows, root)
     tables.append_deployments(rows, root)
     ids = [r.id for r in tables.read_deployments(spark, root).collect()]
-    assert None not in ids and len(ids) == 4 and len(set(ids)) == 2
+    assert None not in ids and len(ids) == 2 and len(set(ids)) == 2
+    tables.append_deployments(table("deploy_time long, environment string, commit_sha string", (3, "p", "z"), (1, "p", "x")), root)
+    assert tables.read_deployments(spark, root).count() == 3

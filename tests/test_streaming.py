@@ -2,8 +2,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickweave.operators import ingest as batch
+from clickweave.plans import jobs
 from clickweave.session import scratch_dir
 from clickweave.sources.fixtures import view
+from clickweave.sources import tables
+from clickweave.sources.store import Run, Store
 from clickweave.sources.tables import read_tracking
 from clickweave.streaming import ingest, windows
 from clickweave.streaming.queries import run_to_files
@@ -15,11 +18,13 @@ def text(df):
     return sorted(map(str, df.select(*sorted(df.columns)).collect()))
 
 
-def same_as_batch(spark, log, tables):
-    assert text(ingest.page_views(spark, tables)) == text(batch.fold_page_views(log))
-    assert text(ingest.sessions(spark, tables)) == text(batch.fold_sessions(log))
-    assert text(ingest.events(spark, tables)) == text(batch.fold_events(log))
-    assert text(ingest.rejects(spark, tables).select("seq", "reason")) == text(batch.rejects(log).select("seq", "reason"))
+def same_as_batch(spark, log, root):
+    undated = lambda df: df.drop("event_date")
+    assert text(undated(tables.read_page_views(spark, root))) == text(batch.fold_page_views(log))
+    assert text(undated(tables.read_sessions(spark, root))) == text(batch.fold_sessions(log))
+    assert text(undated(tables.read_events(spark, root))) == text(batch.fold_events(log))
+    columns = ["session_id", "seq", "ts", "event", "page", "reason", "status"]
+    assert text(tables.read_rejects(spark, root).select(*columns)) == text(batch.rejects(log).select(*columns))
 
 
 @pytest.fixture(scope="module")
@@ -27,32 +32,90 @@ def log(spark):
     return view(spark, SF, "fx_raw").drop("forwarded_for").cache()
 
 
+def slices(log, parts):
+    low, high = log.agg(F.min("ts"), F.max("ts")).collect()[0]
+    step = (high - low) // parts + 1
+    return [log.filter((F.col("ts") >= low + i * step) & (F.col("ts") < low + (i + 1) * step)) for i in range(parts)]
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_micro_batches_equal_the_batch_fold(spark, log, parts, both_ways):
     """One file per trigger, files in order of arrival; sessions span several batches."""
     root = scratch_dir(spark, "stream")
-    low, high = log.agg(F.min("ts"), F.max("ts")).collect()[0]
-    step = (high - low) // parts + 1
     query_dir = f"{root}/log"
-    for i in range(parts):
-        part = log.filter((F.col("ts") >= low + i * step) & (F.col("ts") < low + (i + 1) * step))
+    for part in slices(log, parts):
         part.coalesce(1).write.mode("append").json(query_dir)
         records = read_tracking(spark, query_dir, stream=True)
         ingest.start(records, f"{root}/tables", f"{root}/cp").awaitTermination()
-    assert spark.read.parquet(f"{root}/tables/known").select("batch_id").distinct().count() == parts
+    assert len(Store(spark, f"{root}/tables").runs) == parts
     same_as_batch(spark, log, f"{root}/tables")
 
 
+def test_a_batch_reads_few_runs(spark, log):
+    """However many micro-batches came before, a bucket and a day are made up of a few runs a level."""
+    root = scratch_dir(spark, "levels")
+    for n, part in enumerate(slices(log, 20)):
+        ingest.fold_batch(part, n, root, fan_in=3)
+        store = Store(spark, root)
+        # Three levels hold up to 27 runs, at most two unmerged on each.
+        for table in (jobs.STATE, "page_views", "sessions"):
+            assert max(len([e for e in runs if e[2]]) for runs in store.parts(table).values()) <= 8
+    same_as_batch(spark, log, root)
+
+
 def test_repeated_batch_changes_nothing(spark, log):
     root = scratch_dir(spark, "repeat")
-    mid = log.agg(F.expr("percentile_approx(ts, 0.5)")).collect()[0][0]
-    first, second = log.filter(F.col("ts") <= mid), log.filter(F.col("ts") > mid)
-    for n, part in ((0, first), (1, second), (1, second)):
+    first, second = slices(log, 2)
+    for n, part in ((0, first), (1, second), (1, second), (0, first)):
         ingest.fold_batch(part, n, root)
     same_as_batch(spark, log, root)
-    ingest.compact_known(spark, root, f"{root}/compact")
-    compact = spark.read.parquet(f"{root}/compact")
-    assert compact.count() == compact.select("session_id").distinct().count() == batch.fold_sessions(log).count()
+
+
+@pytest.mark.parametrize("fan_in", [1, 4])
+def test_a_job_stopped_between_two_writes(spark, log, monkeypatch, fan_in):
+    """Nothing of the stopped run is seen; run again, it gives the tables of the single fold."""
+    root = scratch_dir(spark, "stopped")
+    first, second = slices(log, 2)
+    jobs.ingest_log(first, root, "first", fan_in)
+    before = text(tables.read_page_views(spark, root))
+    whole = Run.add
+
+    def stops(self, df, table, *more):
+        if table == "rejects":
+            raise OSError("lost")
+        whole(self, df, table, *more)
+
+    monkeypatch.setattr(Run, "add", stops)
+    with pytest.raises(OSError):
+        jobs.ingest_log(second, root, "second", fan_in)
+    monkeypatch.undo()
+    assert text(tables.read_page_views(spark, root)) == before
+    jobs.ingest_log(second, root, "second", fan_in)
+    same_as_batch(spark, log, root)
+
+
+def test_two_writers_conflict(spark, log):
+    root = scratch_dir(spark, "conflict")
+    one, other = Store(spark, root).begin("one"), Store(spark, root).begin("other")
+    one.commit()
+    with pytest.raises(RuntimeError):
+        other.commit()
+    assert Store(spark, root).runs == ["one"]
+
+
+def test_copy_on_write_touches_corrected_days_only(spark, raw):
+    root, day = scratch_dir(spark, "days"), 86_400_000
+    jobs.ingest_log(
+        raw(("a", 1, 10, "session_start"), ("a", 2, 20, "pageview", {"page": "/"}), ("b", 3, day + 10, "session_start"),
+            ("b", 4, day + 20, "pageview", {"page": "/b"})), root, "one",
+    )
+    jobs.ingest_log(raw(("b", 5, 2 * day, "session_end", {"time_spent": 9}), ("b", 6, 2 * day + 1, "pageview", {"page": "/c"})), root, "two")
+    parts = Store(spark, root).parts("page_views")
+    runs = {p: [r for r, *_ in e] for p, e in parts.items()}
+    assert runs == {"1970-01-01": ["one"], "1970-01-02": ["two"], "1970-01-03": ["two"]}
+    got = {r.page: r.time_spent for r in tables.read_page_views(spark, root).collect()}
+    assert got == {"/": None, "/b": 9, "/c": None}
+    assert {r.session_id: r.end_time for r in tables.read_sessions(spark, root).collect()} == {"a": None, "b": 2 * day}
 
 
 def test_late_batch_updates_the_latest_view(spark, raw, both_ways):
@@ -60,8 +123,8 @@ def test_late_batch_updates_the_latest_view(spark, raw, both_ways):
     root = scratch_dir(spark, "late")
     ingest.fold_batch(raw(("a", 1, 10, "session_start"), ("a", 2, 100, "pageview", {"page": "/"})), 0, root)
     ingest.fold_batch(raw(("a", 3, 50, "session_end", {"time_spent": 7}), ("b", 4, 1, "click")), 1, root)
-    assert [(r.page, r.time_spent) for r in ingest.page_views(spark, root).collect()] == [("/", 7)]
-    assert [r.seq for r in ingest.rejects(spark, root).collect()] == [4]
+    assert [(r.page, r.time_spent) for r in tables.read_page_views(spark, root).collect()] == [("/", 7)]
+    assert [r.seq for r in tables.read_rejects(spark, root).collect()] == [4]
 
 
 def write_stream(spark, rows, ddl):
