@@ -29,6 +29,7 @@ import pickle
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -165,20 +166,39 @@ class Tokenizers:
             [str(i).encode() + mark for i in range(max(len(self.a_bytes), len(self.b_bytes))) for mark in (b",", b"|", b";")], object
         )
 
-    def encode(self, parts: list[str]) -> tuple[list[np.ndarray], list[list[int]], list[bool]]:
-        """Ids of each part by both, and whether both spell it."""
-        a = [np.frombuffer(x, "<u4") for x in self.encoder.encode_parts([" " + p for p in parts])]
-        b = self.model.encode(parts, num_threads=1)
-        spelt = []
-        for p, x, y in zip(parts, a, b, strict=True):
-            raw = b" " + p.encode()
-            spelt.append(
-                _SPACE_MARK not in p
-                and b"".join(map(self.a_bytes.__getitem__, x.tolist())) == raw
-                and b"".join(map(self.b_bytes.__getitem__, y)) == raw
-            )
+    def encode(self, parts: list[str]) -> tuple[list[bytes], list[list[int]], np.ndarray]:
+        """Ids of each part by both (those of the first 4 bytes each), and whether both spell it."""
+        a, b = self.encoder.encode_parts([" " + p for p in parts]), self.model.encode(parts, num_threads=1)
+        raw = [b" " + p.encode() for p in parts]
+        spelt = self._spell(raw, a, b)
+        if _SPACE_MARK.encode() in b"".join(raw):
+            spelt &= np.array([_SPACE_MARK not in p for p in parts])
         return a, b, spelt
 
+    def _spell(self, raw: list[bytes], a: list[bytes], b: list[list[int]]) -> np.ndarray:
+        """For each part whether both lists of ids spell it: at once if all do, else one by one."""
+        whole, sizes = b"".join(raw), np.fromiter(map(len, raw), np.int64, len(raw))
+        ids_a, n_a, ids_b, n_b = _lists(a, b)
+        for ids, n, of, size in ((ids_a, n_a, self.a_bytes, self.a_sizes), (ids_b, n_b, self.b_bytes, self.b_sizes)):
+            ends = np.concatenate([[0], np.cumsum(size[ids])])
+            stops = np.cumsum(n)
+            same = (ends[stops] - ends[stops - n] == sizes).all()
+            if not same or b"".join(map(of.__getitem__, ids.tolist())) != whole:
+                break
+        else:
+            return np.ones(len(raw), bool)
+        spell = lambda of, ids: b"".join(map(of.__getitem__, ids))
+        return np.array(
+            [spell(self.a_bytes, np.frombuffer(x, "<u4").tolist()) == r == spell(self.b_bytes, y) for r, x, y in zip(raw, a, b, strict=True)]
+        )
+
+
+def _lists(a: list[bytes], b: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all parts by both tokenizers, each with how many a part has."""
+    n_a, n_b = np.fromiter(map(len, a), np.int64, len(a)) // 4, np.fromiter(map(len, b), np.int64, len(b))
+    ids_a = np.frombuffer(b"".join(a), "<u4").astype(np.int64)
+    return ids_a, n_a, np.fromiter(chain.from_iterable(b), np.int64, int(n_b.sum())), n_b
+
 
 _TOKENIZERS: dict[tuple[str, str], tuple[Tokenizers, Remembered]] = {}
 
@@ -194,14 +214,10 @@ def _tokenizers(byte_level: str, pieces: str) -> tuple[Tokenizers, Remembered]:
 # --- parts --------------------------------------------------------------------------
 
 
-@dataclass(frozen=True, slots=True)
-class Part:
-    """An aligned part: its printed groups, its counts, and its distinct linked pairs."""
-
-    groups: bytes
-    counts: tuple[int, int, int, int]  # tokens of both, groups, links
-    pairs: bytes  # first id << 32 | second id
-    times: bytes
+#: An aligned part: its printed groups; tokens of both, groups and links (8 bytes each); its distinct
+#: linked pairs (first id << 32 | second id); and the links of each pair.
+Part = tuple[bytes, bytes, bytes, bytes]
+_NONE: Part = (b"", bytes(32), b"", b"")
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -274,27 +290,29 @@ def aligned_parts(tok: Tokenizers, parts: list[str]) -> list[Part | None]:
     if not parts:
         return []
     ids_a, ids_b, spelt = tok.encode(parts)
-    good = [k for k, ok in enumerate(spelt) if ok]
+    good = np.flatnonzero(spelt).tolist()
     out: list[Part | None] = [None] * len(parts)
     if not good:
         return out
-    a = np.concatenate([ids_a[k] for k in good]).astype(np.int64)
-    b = np.array([i for k in good for i in ids_b[k]], np.int64)
-    n_a, n_b = np.array([len(ids_a[k]) for k in good]), np.array([len(ids_b[k]) for k in good])
+    a, n_a, b, n_b = _lists([ids_a[k] for k in good], [ids_b[k] for k in good])
     found = align(np.cumsum(tok.a_sizes[a]), np.cumsum(tok.b_sizes[b]))
     # Parts end with a group; the group's first token tells its part.
     owner = np.searchsorted(np.cumsum(n_a), found.a[:-1], side="right")
     n_groups = np.bincount(owner, minlength=len(good))
     links = np.add.reduceat(np.diff(found.a) * np.diff(found.b), np.cumsum(n_groups) - n_groups)
     of, pair, times = _linked(a, b, found, owner)
-    cuts = np.searchsorted(of, np.arange(len(good) + 1))
+    cuts = np.searchsorted(of, np.arange(len(good) + 1)) * 8
     printed = _printed_groups(tok.printed, a, b, found)
-    ends = np.cumsum(n_a + n_b)
+    lengths = np.cumsum(np.fromiter(map(len, printed), np.int64, len(printed)))
+    ends = lengths[np.cumsum(n_a + n_b) - 1]
+    # Everything once as bytes, of which the parts are slices.
+    text, pairs, linked = b"".join(printed), pair.tobytes(), times.tobytes()
+    counts = np.stack([n_a, n_b, n_groups, links], axis=1).tobytes()
+    starts = np.concatenate([[0], ends[:-1]]).tolist()
+    stops, cuts = (ends - 1).tolist(), cuts.tolist()
     for j, k in enumerate(good):
         x, y = cuts[j], cuts[j + 1]
-        text = b"".join(printed[ends[j] - n_a[j] - n_b[j] : ends[j]])[:-1]
-        counts = (int(n_a[j]), int(n_b[j]), int(n_groups[j]), int(links[j]))
-        out[k] = Part(text, counts, pair[x:y].tobytes(), times[x:y].tobytes())
+        out[k] = (text[starts[j] : stops[j]], counts[32 * j : 32 * j + 32], pairs[x:y], linked[x:y])
     return out
 
 
@@ -331,9 +349,14 @@ def _held(doc: np.ndarray, part: np.ndarray, n_pairs: np.ndarray, at: np.ndarray
         while stop < len(doc) and doc[stop] == doc[stop - 1]:
             stop += 1
         p = part[start:stop]
-        all_pairs = pair[_ranges(at[p], n_pairs[p])]
-        both = np.unique(np.repeat(doc[start:stop] - doc[start], n_pairs[p]) * size + all_pairs)
-        held += np.bincount(both % size, minlength=size)
+        both = np.repeat(doc[start:stop] - doc[start], n_pairs[p]) * size + pair[_ranges(at[p], n_pairs[p])]
+        docs = int(doc[stop - 1] - doc[start]) + 1
+        if docs * size <= 16 * len(both):
+            marks = np.zeros(docs * size, bool)
+            marks[both] = True
+            held += marks.reshape(docs, size).sum(axis=0)
+        else:
+            held += np.bincount(np.unique(both) % size, minlength=size)
         start = stop
     return held
 
@@ -347,13 +370,14 @@ def _chunk_row(chunk: int, ids: list, texts: list[str | None], tok: Tokenizers,
         some = fresh[start : start + 50_000]
         known.now.update(zip(some, aligned_parts(tok, some), strict=True))
     records = [known.now[p] for p in local]
+    broken = np.array([r is None for r in records], bool)
+    records = [r or _NONE for r in records]
     known.rest()
 
     at = np.fromiter(map(local.__getitem__, parts), np.int64, len(parts))
     stops = np.cumsum([len(c) for c in cut])
-    counts = np.array([r.counts if r else (0, 0, 0, 0) for r in records], np.int64).reshape(-1, 4)
-    broken = np.array([r is None for r in records], bool)
-    printed = [r.groups if r else b"" for r in records]
+    counts = np.frombuffer(b"".join([r[1] for r in records]), np.int64).reshape(-1, 4)
+    printed = [r[0] for r in records]
     docs, doc_keys = [], []
     for k, (doc_id, c, stop) in enumerate(zip(ids, cut, stops.tolist(), strict=True)):
         here = at[stop - len(c) : stop]
@@ -367,9 +391,9 @@ def _chunk_row(chunk: int, ids: list, texts: list[str | None], tok: Tokenizers,
     # Distinct parts of each document with how often it has them.
     keys, times = np.unique(np.concatenate(doc_keys), return_counts=True) if doc_keys else (np.empty(0, np.int64),) * 2
     doc, part = np.divmod(keys, max(1, len(local)))
-    codes = np.frombuffer(b"".join(r.pairs if r else b"" for r in records), np.int64)
-    linked = np.frombuffer(b"".join(r.times if r else b"" for r in records), np.int64)
-    n_pairs = np.array([len(r.pairs) // 8 if r else 0 for r in records], np.int64)
+    codes = np.frombuffer(b"".join([r[2] for r in records]), np.int64)
+    linked = np.frombuffer(b"".join([r[3] for r in records]), np.int64)
+    n_pairs = np.fromiter((len(r[2]) for r in records), np.int64, len(records)) // 8
     pairs, pair = np.unique(codes, return_inverse=True)
     starts = np.cumsum(n_pairs) - n_pairs
     held = _held(doc, part, n_pairs, starts, pair, len(pairs))
@@ -457,9 +481,9 @@ def _slices(tok: Tokenizers, text: str | None) -> dict:
     if not text or _SPACE_MARK in text:
         return none
     ids_a, ids_b, spelt = tok.encode(sure_parts(text))
-    if not all(spelt):
+    if not spelt.all():
         return none
-    a, b = np.concatenate(ids_a).astype(np.int64), np.concatenate([np.array(x, np.int64) for x in ids_b])
+    a, _, b, _ = _lists(ids_a, ids_b)
     found = align(np.cumsum(tok.a_sizes[a]), np.cumsum(tok.b_sizes[b]))
     edges = [found.a[:-1], found.a[1:], found.b[:-1], found.b[1:]]
     return {
