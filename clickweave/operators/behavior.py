@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from clickweave.functions import scalars as S
 from clickweave.operators.running import CHUNK_MS, Running, Scan, running, running_steps, time_chunk
+from clickweave.schemas import VITALS
 
 # Idle time that ends a session, bounce timer, engagement minima, the
 # waits of the two debounce stages, and the performance entry names (milliseconds).
@@ -118,10 +119,10 @@ def engagement(interactions: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
     return running_steps(rows, ["view_id"], ["ts", "seq"], chunk, steps)
 
 
-def bounce_or_end(interactions: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
-    """Per view: whether the 30 s timer reported a bounce, and the event at unload."""
+def outcome(engaged: DataFrame) -> DataFrame:
+    """Per view of ``engagement``: whether the 30 s timer reported a bounce, and the event at unload."""
     late = F.col("engaged_at").isNull() | (F.col("engaged_at") > F.col("start") + BOUNCE_MS)
-    return engagement(interactions, chunk_ms).select(
+    return engaged.select(
         "view_id",
         # The timer only fires in views that last that long.
         (late & (F.col("end") - F.col("start") >= BOUNCE_MS)).alias("timer_bounce"),
@@ -130,6 +131,10 @@ def bounce_or_end(interactions: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFram
     )
 
 
+def bounce_or_end(interactions: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    return outcome(engagement(interactions, chunk_ms))
+
+
 def scroll_buckets(interactions: DataFrame) -> DataFrame:
     """Views reaching each scroll step, one row per view and step."""
     scrolls = interactions.filter(F.col("kind") == SCROLL)
@@ -153,22 +158,48 @@ def running_max_scroll(interactions: DataFrame, chunk_ms: int = CHUNK_MS) -> Dat
     ).select("view_id", "seq", "ts", "scroll_pct", "max_scroll")
 
 
-def web_vitals(entries: DataFrame) -> DataFrame:
-    """The five vitals of a view from its performance entries, in one aggregation."""
+def vital_samples(entries: DataFrame) -> DataFrame:
+    """Performance entries as the vitals they report, one row each."""
+    c, kind = F.col, F.col("entry_type")
+    return entries.select(
+        "view_id",
+        "seq",
+        "ts",
+        F.when(kind == NAVIGATION, c("response_start") - c("request_start")).alias("ttfb"),
+        F.when(c("name") == FCP_NAME, c("start_time")).alias("fcp"),
+        F.when(kind == LCP_ENTRY, c("start_time")).alias("lcp"),
+        F.when(kind == SHIFT, c("shift_value")).alias("cls"),
+        F.when(kind == FIRST_INPUT, c("processing_start") - c("start_time")).alias("fid"),
+    )
+
+
+def vital_aggregates() -> list[Column]:
+    """Aggregates over performance entries: of four vitals the deciding entry's position and value, and
+    the sum of unexpected shifts."""
     at = F.struct("ts", "seq")
     c = F.col
 
     def entry(pick, is_it: Column, value: Column) -> Column:
-        return pick(F.when(is_it, F.struct(at.alias("at"), value.alias("v"))))["v"]
+        return pick(F.when(is_it, F.struct(at.alias("at"), value.alias("v"))))
 
     kind = c("entry_type")
-    return entries.groupBy("view_id").agg(
-        S.fixed(entry(F.min, kind == NAVIGATION, c("response_start") - c("request_start")), 4).alias("ttfb"),
-        S.fixed(entry(F.min, c("name") == FCP_NAME, c("start_time")), 4).alias("fcp"),
-        S.fixed(entry(F.max, kind == LCP_ENTRY, c("start_time")), 4).alias("lcp"),
-        S.fixed(F.sum(F.when((kind == SHIFT) & ~c("had_recent_input"), c("shift_value"))), 4).alias("cls"),
-        S.fixed(entry(F.min, kind == FIRST_INPUT, c("processing_start") - c("start_time")), 4).alias("fid"),
-    )
+    return [
+        entry(F.min, kind == NAVIGATION, c("response_start") - c("request_start")).alias("ttfb"),
+        entry(F.min, c("name") == FCP_NAME, c("start_time")).alias("fcp"),
+        entry(F.max, kind == LCP_ENTRY, c("start_time")).alias("lcp"),
+        F.sum(F.when((kind == SHIFT) & ~c("had_recent_input"), c("shift_value"))).alias("cls"),
+        entry(F.min, kind == FIRST_INPUT, c("processing_start") - c("start_time")).alias("fid"),
+    ]
+
+
+def vital_values(deciding: DataFrame) -> DataFrame:
+    value = lambda v: F.col(v) if v == "cls" else F.col(v)["v"]
+    return deciding.select("view_id", *[S.fixed(value(v), 4).alias(v) for v in VITALS])
+
+
+def web_vitals(entries: DataFrame) -> DataFrame:
+    """The five vitals of a view from its performance entries, in one aggregation."""
+    return vital_values(entries.groupBy("view_id").agg(*vital_aggregates()))
 
 
 def section_dwell(interactions: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:

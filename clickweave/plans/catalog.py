@@ -27,6 +27,7 @@ QUOTA_LIMIT, QUOTA_INTERVAL_MS = 2, 86_400_000
 CONTROL = "A"
 SIZE_LEVELS = [(0.1, 0.95, 0.8), (0.2, 0.9, 0.85), (0.05, 0.99, 0.9), (0.5, 0.7, 0.999)]
 BATCH_SIZE = 50
+MIDWAY = 1_705_276_800_000 + 3_600_000  # where the log is cut in two, within a session's week
 # The interaction views compress a week into two minutes, so chunks shrink as well.
 CHUNK = 1_000
 VITAL_FIELDS = ["ttfb", "fcp", "lcp", "cls", "fid"]
@@ -106,7 +107,7 @@ def _gate_known(raw: DataFrame) -> DataFrame:
 def _raw_to_site_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the raw log over the stored tables to the site report."""
     root = scratch_dir(spark, "folded")
-    jobs.ingest_log(view(spark, sf_dir, "fx_raw"), root)
+    jobs.ingest_log(view(spark, sf_dir, "fx_raw"), root, buckets=streams.BUCKETS)
     return site.site_report(
         jobs.with_device(tables.read_sessions(spark, root)),
         tables.read_page_views(spark, root),
@@ -114,6 +115,20 @@ def _raw_to_site_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _two_logs(read: Callable[[SparkSession, str], DataFrame], *columns: str) -> Query:
+    """One of the tables after two logs, the second one later than the first, and a run repeated."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = scratch_dir(spark, "two-logs")
+        raw = view(spark, sf_dir, "fx_raw")
+        for name, part in (("first", F.col("ts") < MIDWAY), ("second", F.col("ts") >= MIDWAY)):
+            jobs.ingest_log(raw.filter(part), root, name, buckets=streams.BUCKETS)
+        jobs.ingest_log(raw.filter(F.col("ts") < MIDWAY), root, "first", buckets=streams.BUCKETS)
+        return read(spark, root).select(*columns)
+
+    return run
+
+
 def _ingest() -> dict[str, Query]:
     raw = _on("fx_raw")
     return {
@@ -141,6 +156,12 @@ def _ingest() -> dict[str, Query]:
             lambda r: ingest.fold_events(r).select("id", "session_id", "event_name", "element", "timestamp")
         ),
         "raw_to_site_report": _raw_to_site_report,
+        "ingest_two_logs_sessions": _two_logs(tables.read_sessions, "session_id", "start_time", "end_time", "user_agent"),
+        "ingest_two_logs_page_views": _two_logs(
+            tables.read_page_views, "id", "session_id", "page", "timestamp", "time_spent", "scroll_depth", "ttfb", "cls"
+        ),
+        "ingest_two_logs_events": _two_logs(tables.read_events, "id", "session_id", "event_name", "element", "timestamp"),
+        "ingest_two_logs_rejects": _two_logs(tables.read_rejects, "session_id", "seq", "ts", "event", "reason", "status"),
     }
 
 
@@ -248,18 +269,9 @@ def _scroll_geometry(i: DataFrame) -> DataFrame:
 
 def _behavior() -> dict[str, Query]:
     i, p = _on("fx_interactions"), _on("fx_perf_entries")
-    samples = lambda e: e.select(
-        "view_id", "seq", "ts",
-        F.when(F.col("entry_type") == behavior.NAVIGATION, F.col("response_start") - F.col("request_start")).alias("ttfb"),
-        F.when(F.col("name") == behavior.FCP_NAME, F.col("start_time")).alias("fcp"),
-        F.when(F.col("entry_type") == behavior.LCP_ENTRY, F.col("start_time")).alias("lcp"),
-        F.when(F.col("entry_type") == behavior.SHIFT, F.col("shift_value")).alias("cls"),
-        F.when(F.col("entry_type") == behavior.FIRST_INPUT, F.col("processing_start") - F.col("start_time")).alias("fid"),
-    )
-
     def bursts(wait: int) -> Query:
         return p(
-            lambda e: behavior.compact_bursts(samples(e), "view_id", wait, VITAL_FIELDS, CHUNK).select(
+            lambda e: behavior.compact_bursts(behavior.vital_samples(e), "view_id", wait, VITAL_FIELDS, CHUNK).select(
                 "view_id", "first_ts", "ts", "seq", "n_rows", *[S.fixed(F.col(f), 4).alias(f) for f in VITAL_FIELDS]
             )
         )
@@ -329,6 +341,11 @@ def _streams() -> dict[str, Query]:
         "sessionize_stream": streams.run_sessions,
         "over_quota_stream": streams.run_over_quota,
         "compact_bursts_stream": streams.run_bursts,
+        "engagement_stream": streams.run_engagement,
+        "bounce_or_end_stream": streams.run_bounce_or_end,
+        "time_on_page_stream": streams.run_time_on_page,
+        "section_dwell_stream": streams.run_section_dwell,
+        "web_vitals_stream": streams.run_web_vitals,
         "ingest_stream": streams.run_ingest,
     }
 

@@ -210,6 +210,21 @@ def _ingest() -> dict[str, str]:
             f"""SELECT session_id, seq, (event = 'session_start' OR session_id IN (SELECT session_id FROM starts)) AS passed
             FROM fx_raw WHERE NOT {no_id}"""
         ),
+        "ingest_two_logs_sessions": _fold(
+            """SELECT s.session_id, s.ts AS start_time, e.end_time, nullif(s.user_agent, '') AS user_agent
+            FROM starts s LEFT JOIN ends e ON s.session_id = e.session_id"""
+        ),
+        "ingest_two_logs_page_views": _fold(
+            "SELECT id, session_id, page, timestamp, time_spent, scroll_depth, ttfb, cls FROM views"
+        ),
+        "ingest_two_logs_events": _fold(
+            """SELECT seq AS id, session_id, event AS event_name, nullif(element, '') AS element, ts AS timestamp
+            FROM a WHERE event NOT IN ('session_start', 'session_end')"""
+        ),
+        "ingest_two_logs_rejects": _fold(
+            f"""SELECT session_id, seq, ts, event, '{ingest_ops.MISSING_SESSION}' AS reason, 400 AS status FROM fx_raw WHERE {no_id}
+            UNION ALL SELECT session_id, seq, ts, event, '{ingest_ops.INVALID_SESSION}', 403 FROM g WHERE ok = 0"""
+        ),
         "fold_sessions": _fold("SELECT session_id, ts AS start_time, nullif(user_agent, '') AS user_agent FROM starts"),
         "fold_session_end": _fold(
             "SELECT s.session_id, s.ts AS start_time, e.end_time FROM starts s LEFT JOIN ends e ON s.session_id = e.session_id"
@@ -758,35 +773,28 @@ def _text() -> dict[str, str]:
 
 
 def _streams() -> dict[str, str]:
-    d, q = streams.DELAY_MS, streams.QUOTA_INTERVAL_MS
-    return {
-        # What a stream has emitted: the windows that ended before the watermark.
+    """Streams give what one batch over all rows gives."""
+    behavior, q = _behavior(), streams.QUOTA_INTERVAL_MS
+    same = ("engagement", "bounce_or_end", "section_dwell", "web_vitals", "compact_bursts")
+    return {f"{name}_stream": behavior[name] for name in same} | {
         "sessionize_stream": oracle(
             ["fx_base"],
-            f"""f AS (SELECT user_id, ms, event_id, CASE WHEN ms - lag(ms) OVER w <= 1800000 THEN 0 ELSE 1 END AS fresh
+            """f AS (SELECT user_id, ms, event_id, CASE WHEN ms - lag(ms) OVER w <= 1800000 THEN 0 ELSE 1 END AS fresh
               FROM fx_base WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id)),
-            n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS no FROM f),
-            s AS (SELECT user_id, count(*) AS n_events, min(ms) AS session_start, max(ms) AS last_activity FROM n GROUP BY user_id, no)
-            SELECT * FROM s WHERE last_activity + 1800000 <= (SELECT max(ms) FROM fx_base) - {d}""",
+            n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS no FROM f)
+            SELECT user_id, min(ms) AS session_start, max(ms) AS last_activity, count(*) AS n_events,
+              max(ms) + 1800000 >= (SELECT max(ms) FROM fx_base) AS is_open FROM n GROUP BY user_id, no""",
         ),
         "over_quota_stream": oracle(
             ["fx_base"],
             f"""SELECT user_id, window_start, hits, 'RATE_LIMIT_EXCEEDED' AS code FROM (
             SELECT user_id, ms - ms % {q} AS window_start, count(*) AS hits FROM fx_base GROUP BY user_id, ms - ms % {q}) w
-            WHERE hits > {streams.QUOTA_LIMIT} AND window_start + {q} <= (SELECT max(ms) FROM fx_base) - {d}""",
-        ),
-        "compact_bursts_stream": oracle(
-            ["fx_perf_entries"],
-            f"""s AS (SELECT view_id, seq, ts, CASE WHEN entry_type = 'navigation' THEN response_start - request_start END AS ttfb,
-              CASE WHEN entry_type = 'largest-contentful-paint' THEN start_time END AS lcp,
-              CASE WHEN entry_type = 'layout-shift' THEN shift_value END AS cls,
-              CASE WHEN ts - lag(ts) OVER w < 1000 THEN 0 ELSE 1 END AS fresh
-              FROM fx_perf_entries WINDOW w AS (PARTITION BY view_id ORDER BY ts, seq)),
-            n AS (SELECT *, sum(fresh) OVER (PARTITION BY view_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS no FROM s),
-            b AS (SELECT view_id, min(ts) AS first_ts, max(ts) AS ts, last(seq ORDER BY ts, seq) AS seq, count(*) AS n_rows,
-              {", ".join(f"{fixed(f'last({f} ORDER BY ts, seq) FILTER (WHERE {f} IS NOT NULL)', 4)} AS {f}" for f in ("ttfb", "lcp", "cls"))}
-              FROM n GROUP BY view_id, no)
-            SELECT * FROM b WHERE ts + 999 <= (SELECT max(ts) FROM fx_perf_entries) - {streams.BURST_DELAY_MS}""",
+            WHERE hits > {streams.QUOTA_LIMIT}""",
+        ),
+        "time_on_page_stream": oracle(
+            ["fx_interactions"],
+            """SELECT view_id, min(ts) AS start, max(ts) - min(ts) AS time_on_page, coalesce(max(scroll_pct), 0) AS max_scroll
+            FROM fx_interactions GROUP BY view_id""",
         ),
     }
 

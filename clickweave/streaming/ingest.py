@@ -18,17 +18,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from clickweave.plans import jobs
-from clickweave.sources.store import FAN_IN
+from clickweave.sources.store import BUCKETS, FAN_IN
 
 
-def fold_batch(batch: DataFrame, batch_id: int, root: str, stream: str = "tracking", fan_in: int = FAN_IN) -> None:
-    jobs.ingest_log(batch, root, f"{stream}-{batch_id}", fan_in)
+def fold_batch(
+    batch: DataFrame, batch_id: int, root: str, stream: str = "tracking", fan_in: int = FAN_IN, buckets: int = BUCKETS
+) -> None:
+    jobs.ingest_log(batch, root, f"{stream}-{batch_id}", fan_in, buckets)
 
 
-def start(records: DataFrame, root: str, checkpoint: str, stream: str = "tracking", **trigger) -> StreamingQuery:
+def start(
+    records: DataFrame, root: str, checkpoint: str, stream: str = "tracking", buckets: int = BUCKETS, **trigger
+) -> StreamingQuery:
     """Start the ingest of a stream of tracking records."""
     return (
-        records.writeStream.foreachBatch(lambda df, n: fold_batch(df, n, root, stream))
+        records.writeStream.foreachBatch(lambda df, n: fold_batch(df, n, root, stream, buckets=buckets))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

@@ -6,81 +6,85 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickweave.functions import scalars as S
+from clickweave.operators import behavior
 from clickweave.session import scratch_dir
 from clickweave.sources.fixtures import view
 from clickweave.sources.tables import read_page_views, read_tracking
-from clickweave.streaming import ingest, windows
+from clickweave.streaming import ingest, partials
 
-DELAY_MS = 3_600_000
-BURST_DELAY_MS = 1_000
 QUOTA_LIMIT, QUOTA_INTERVAL_MS = 2, 86_400_000
+#: Files a table is dealt to, a micro-batch each; rows of any time are in each of them.
+FILES = 3
+#: Few buckets for small tables.
+BUCKETS = 4
+# The interaction views compress a week into two minutes, so chunks shrink as well.
+CHUNK = 1_000
+
+
+def replayed(rows: DataFrame, kind: partials.Partials, key: str, files: int = FILES) -> DataFrame:
+    """Results of a stream of ``rows`` in ``files`` micro-batches, dealt by ``key`` and thus in no order."""
+    spark = rows.sparkSession
+    root = scratch_dir(spark, kind.name)
+    dealt = rows.withColumn("file", F.pmod(F.xxhash64(key), F.lit(files)))
+    dealt.repartition(files, "file").write.partitionBy("file").parquet(f"{root}/rows")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/rows")
+    query = partials.start(stream.select(*rows.columns), f"{root}/partials", f"{root}/checkpoint", kind, BUCKETS)
+    query.awaitTermination()
+    return partials.results(spark, f"{root}/partials", kind, partials.partial_schema(rows, kind))
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream, with millisecond event time."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return rows.withColumn("ts", F.timestamp_millis(F.unix_millis(F.col("ts").cast("timestamp"))))
-
-
-def run_to_files(df: DataFrame, label: str) -> DataFrame:
-    """Run an append-mode query over all available data and read what it wrote. The file
-    sink commits each micro-batch once, also after a restart."""
-    spark = df.sparkSession
-    # Merge a key's rows on the map side before they are shuffled.
-    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-    out = scratch_dir(spark, label)
-    query = (
-        df.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", f"{out}/data")
-        .option("checkpointLocation", f"{out}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{out}/data")
+def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "fx_base").select("event_id", "user_id", "ms")
+
+
+def _interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "fx_interactions").select("view_id", "seq", "ts", "kind", "section", "scroll_pct")
 
 
 def run_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = windows.sessions(_events(spark, sf_dir), "user_id", "ts", f"{DELAY_MS} milliseconds")
-    return run_to_files(stream, "sessions")
+    return replayed(_base(spark, sf_dir), partials.sessions("user_id", "ms"), "event_id")
 
 
 def run_over_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = windows.over_quota(
-        _events(spark, sf_dir), "user_id", "ts", QUOTA_LIMIT, QUOTA_INTERVAL_MS, f"{DELAY_MS} milliseconds"
-    )
-    return run_to_files(stream, "quota")
+    kind = partials.over_quota("user_id", "ms", QUOTA_LIMIT, QUOTA_INTERVAL_MS)
+    return replayed(_base(spark, sf_dir), kind, "event_id")
 
 
 def run_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merged vitals per user-week view, with the week compressed as in the batch form."""
-    ms = F.unix_millis("ts")
-    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    week = 604_800_000
-    entries = _events(spark, sf_dir).select(
-        F.concat(F.col("user_id").cast("string"), F.lit("-w"), F.floor(ms / week).cast("string")).alias("view_id"),
-        F.col("event_id").alias("seq"),
-        F.timestamp_millis(F.floor(ms % week / 5000)).alias("ts"),
-        F.when(k % 5 == 0, F.col("value") * 1.5 - F.col("value")).alias("ttfb"),
-        F.when(k % 5 == 2, F.col("value") * 10).alias("lcp"),
-        F.when(k % 5 == 3, F.col("value") / 1000).alias("cls"),
-    )
-    fields = ["ttfb", "lcp", "cls"]
-    merged = windows.bursts(entries, "view_id", "ts", "seq", 1000, fields, f"{BURST_DELAY_MS} milliseconds")
-    return run_to_files(merged, "bursts").select(
-        "view_id", "first_ts", "ts", "seq", "n_rows", *[S.fixed(F.col(f), 4).alias(f) for f in fields]
+    """Merged vitals of runs of performance entries."""
+    samples = behavior.vital_samples(view(spark, sf_dir, "fx_perf_entries"))
+    kind = partials.bursts("view_id", behavior.MERGE_WAIT_MS, list(behavior.VITALS), CHUNK)
+    return replayed(samples, kind, "seq").select(
+        "view_id", "first_ts", "ts", "seq", "n_rows", *[S.fixed(F.col(f), 4).alias(f) for f in behavior.VITALS]
     )
 
 
+def run_engagement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replayed(_interactions(spark, sf_dir), partials.engagement(), "seq")
+
+
+def run_bounce_or_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replayed(_interactions(spark, sf_dir), partials.bounce_or_end(), "seq")
+
+
+def run_time_on_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replayed(_interactions(spark, sf_dir), partials.time_on_page(), "seq")
+
+
+def run_section_dwell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replayed(_interactions(spark, sf_dir), partials.section_dwell(CHUNK), "seq")
+
+
+def run_web_vitals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replayed(view(spark, sf_dir, "fx_perf_entries"), partials.web_vitals(), "seq")
+
+
 def run_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the raw log as JSON lines, stream it through the fold, return page views."""
     root = scratch_dir(spark, "ingest")
     view(spark, sf_dir, "fx_raw").drop("forwarded_for").write.json(f"{root}/log")
     records = read_tracking(spark, f"{root}/log", stream=True)
-    ingest.start(records, f"{root}/tables", f"{root}/checkpoint").awaitTermination()
+    ingest.start(records, f"{root}/tables", f"{root}/checkpoint", buckets=BUCKETS).awaitTermination()
     return read_page_views(spark, f"{root}/tables").select(
         "id", "session_id", "page", "timestamp", "time_spent", "scroll_depth", "ttfb", "cls"
     )

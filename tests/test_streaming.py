@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from clickweave.operators import behavior
 from clickweave.operators import ingest as batch
 from clickweave.plans import jobs
 from clickweave.session import scratch_dir
@@ -8,8 +11,7 @@ from clickweave.sources.fixtures import view
 from clickweave.sources import tables
 from clickweave.sources.store import Run, Store
 from clickweave.sources.tables import read_tracking
-from clickweave.streaming import ingest, windows
-from clickweave.streaming.queries import run_to_files
+from clickweave.streaming import ingest, partials
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,7 +40,7 @@ def slices(log, parts):
     return [log.filter((F.col("ts") >= low + i * step) & (F.col("ts") < low + (i + 1) * step)) for i in range(parts)]
 
 
-@pytest.mark.parametrize("parts", [1, 5])
+@pytest.mark.parametrize("parts", [1, 3])
 def test_micro_batches_equal_the_batch_fold(spark, log, parts, both_ways):
     """One file per trigger, files in order of arrival; sessions span several batches."""
     root = scratch_dir(spark, "stream")
@@ -46,7 +48,7 @@ def test_micro_batches_equal_the_batch_fold(spark, log, parts, both_ways):
     for part in slices(log, parts):
         part.coalesce(1).write.mode("append").json(query_dir)
         records = read_tracking(spark, query_dir, stream=True)
-        ingest.start(records, f"{root}/tables", f"{root}/cp").awaitTermination()
+        ingest.start(records, f"{root}/tables", f"{root}/cp", buckets=2).awaitTermination()
     assert len(Store(spark, f"{root}/tables").runs) == parts
     same_as_batch(spark, log, f"{root}/tables")
 
@@ -54,12 +56,12 @@ def test_micro_batches_equal_the_batch_fold(spark, log, parts, both_ways):
 def test_a_batch_reads_few_runs(spark, log):
     """However many micro-batches came before, a bucket and a day are made up of a few runs a level."""
     root = scratch_dir(spark, "levels")
-    for n, part in enumerate(slices(log, 20)):
-        ingest.fold_batch(part, n, root, fan_in=3)
+    for n, part in enumerate(slices(log, 10)):
+        ingest.fold_batch(part, n, root, fan_in=3, buckets=2)
         store = Store(spark, root)
-        # Three levels hold up to 27 runs, at most two unmerged on each.
+        # Two runs at most wait on each level.
         for table in (jobs.STATE, "page_views", "sessions"):
-            assert max(len([e for e in runs if e[2]]) for runs in store.parts(table).values()) <= 8
+            assert max(len([e for e in runs if e[2]]) for runs in store.parts(table).values()) <= 6
     same_as_batch(spark, log, root)
 
 
@@ -67,7 +69,7 @@ def test_repeated_batch_changes_nothing(spark, log):
     root = scratch_dir(spark, "repeat")
     first, second = slices(log, 2)
     for n, part in ((0, first), (1, second), (1, second), (0, first)):
-        ingest.fold_batch(part, n, root)
+        ingest.fold_batch(part, n, root, buckets=2)
     same_as_batch(spark, log, root)
 
 
@@ -76,7 +78,7 @@ def test_a_job_stopped_between_two_writes(spark, log, monkeypatch, fan_in):
     """Nothing of the stopped run is seen; run again, it gives the tables of the single fold."""
     root = scratch_dir(spark, "stopped")
     first, second = slices(log, 2)
-    jobs.ingest_log(first, root, "first", fan_in)
+    jobs.ingest_log(first, root, "first", fan_in, 2)
     before = text(tables.read_page_views(spark, root))
     whole = Run.add
 
@@ -87,10 +89,10 @@ def test_a_job_stopped_between_two_writes(spark, log, monkeypatch, fan_in):
 
     monkeypatch.setattr(Run, "add", stops)
     with pytest.raises(OSError):
-        jobs.ingest_log(second, root, "second", fan_in)
+        jobs.ingest_log(second, root, "second", fan_in, 2)
     monkeypatch.undo()
     assert text(tables.read_page_views(spark, root)) == before
-    jobs.ingest_log(second, root, "second", fan_in)
+    jobs.ingest_log(second, root, "second", fan_in, 2)
     same_as_batch(spark, log, root)
 
 
@@ -127,29 +129,77 @@ def test_late_batch_updates_the_latest_view(spark, raw, both_ways):
     assert [r.seq for r in tables.read_rejects(spark, root).collect()] == [4]
 
 
-def write_stream(spark, rows, ddl):
-    root = scratch_dir(spark, "in")
-    df = spark.createDataFrame(rows, ddl)
-    df.withColumn("ts", F.timestamp_millis("ms")).write.parquet(root)
-    return spark.readStream.schema(spark.read.parquet(root).schema).parquet(root)
+# --- partial results ----------------------------------------------------------
+
+
+def fed(spark, kind, schema, batches, fan_in=2):
+    """Results after each batch was added, then after the last one was added again."""
+    root = scratch_dir(spark, "fed")
+    frames = [spark.createDataFrame(list(rows), schema) for rows in batches]
+    for n, df in enumerate([*frames, frames[-1]]):
+        partials.add_batch(df, min(n, len(frames) - 1), root, kind, buckets=2, fan_in=fan_in)
+    return partials.results(spark, root, kind, partials.partial_schema(frames[0], kind))
 
 
-def test_session_stream(spark):
+def test_a_late_row_bridges_two_sessions(spark, both_ways):
     gap = 1_800_000
-    rows = [("a", 0), ("a", gap), ("a", 2 * gap + 1), ("b", 5), ("z", 10 * gap)]
-    stream = write_stream(spark, rows, "u string, ms long")
-    got = run_to_files(windows.sessions(stream, "u", "ts", "1 minute"), "s").collect()
-    assert sorted((r.u, r.session_start, r.last_activity, r.n_events) for r in got) == [
-        ("a", 0, gap, 2), ("a", 2 * gap + 1, 2 * gap + 1, 1), ("b", 5, 5, 1),
-    ]
-
-
-def test_quota_and_burst_streams(spark):
-    rows = [("a", t) for t in (0, 10, 20)] + [("b", 0), ("z", 100_000)]
-    stream = write_stream(spark, rows, "u string, ms long")
-    got = run_to_files(windows.over_quota(stream, "u", "ts", 2, 1000, "1 second"), "q").collect()
-    assert [(r.u, r.window_start, r.hits) for r in got] == [("a", 0, 3)]
-    rows = [("a", 0, 1, 5), ("a", 999, 2, None), ("a", 1999, 3, 6), ("z", 100_000, 4, 1)]
-    stream = write_stream(spark, rows, "k string, ms long, seq long, x int")
-    got = run_to_files(windows.bursts(stream, "k", "ts", "seq", 1000, ["x"], "1 second"), "b").collect()
-    assert sorted((r.first_ts, r.ts, r.seq, r.n_rows, r.x) for r in got) == [(0, 999, 2, 2, 5), (1999, 1999, 3, 1, 6)]
+    kind = partials.sessions("u", "ms")
+    got = fed(spark, kind, "u string, ms long", [[("a", 2 * gap)], [("a", 0), (None, 1), ("b", 9 * gap)], [("a", gap)], [("a", 4 * gap)]])
+    assert sorted((r.u or "", r.session_start, r.last_activity, r.n_events, r.is_open) for r in got.collect()) == [
+        ("", 1, 1, 1, False), ("a", 0, 2 * gap, 3, False), ("a", 4 * gap, 4 * gap, 1, False), ("b", 9 * gap, 9 * gap, 1, True),
+    ]
+
+
+def rows_of_views(seed, n):
+    rng = random.Random(seed)
+    rows = []
+    for seq in range(n):
+        kind = rng.choice(["scroll", "signal", "enter", "leave", "start"])
+        at = rng.choice([rng.randint(0, 60_000), 10_000, 0])
+        section = rng.choice(["s", "t", None]) if kind in ("enter", "leave") else None
+        rows.append((f"v{rng.randint(0, 5)}", seq, at, kind, section, rng.randint(0, 100) if kind == "scroll" else None))
+    return rows
+
+
+INTERACTIONS = "view_id string, seq long, ts long, kind string, section string, scroll_pct int"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_views_in_any_order_equal_the_batch_form(spark, seed):
+    rows = rows_of_views(seed, 90)
+    whole = spark.createDataFrame(rows, INTERACTIONS)
+    random.Random(seed).shuffle(rows)
+    batches = [rows[i::4] for i in range(4)]
+    for kind, form in (
+        (partials.engagement(), behavior.engagement), (partials.bounce_or_end(), behavior.bounce_or_end),
+        (partials.section_dwell(), behavior.section_dwell),
+    ):
+        assert text(fed(spark, kind, INTERACTIONS, batches)) == text(form(whole))
+
+
+def test_an_enter_and_its_leave_in_different_batches(spark):
+    moves = [[("v", 2, 50, "leave", "s", None)], [("v", 1, 10, "enter", "s", None)], [("v", 3, 20, "enter", "s", None)]]
+    got = fed(spark, partials.section_dwell(), INTERACTIONS, moves).collect()
+    assert [(r.entered_at, r.left_at, r.dwell_ms) for r in got] == [(20, 50, 30)]
+
+
+def test_quota_and_bursts_of_several_batches(spark):
+    kind = partials.over_quota("u", "ms", 2, 1000)
+    got = fed(spark, kind, "u string, ms long", [[("a", 0), ("b", 0)], [("a", 999), ("a", 1000)], [("a", 20)]])
+    assert [(r.u, r.window_start, r.hits) for r in got.collect()] == [("a", 0, 3)]
+    rows = [[("a", 999, 2, None)], [("a", 1999, 3, 6), ("z", 5, 4, 1)], [("a", 0, 1, 5)]]
+    got = fed(spark, partials.bursts("k", 1000, ["x"]), "k string, ts long, seq long, x int", rows).collect()
+    assert sorted((r.k, r.first_ts, r.ts, r.seq, r.n_rows, r.x) for r in got) == [
+        ("a", 0, 999, 2, 2, 5), ("a", 1999, 1999, 3, 1, 6), ("z", 5, 5, 4, 1, 1),
+    ]
+
+
+def test_partials_of_many_batches_stay_in_few_files(spark):
+    root, kind = scratch_dir(spark, "many"), partials.over_quota("u", "ms", 0, 1000)
+    for n in range(12):
+        partials.add_batch(spark.createDataFrame([("a", n), ("b", n)], "u string, ms long"), n, root, kind, buckets=1, fan_in=3)
+    runs = Store(spark, root).parts("quota")["0"]
+    assert len(runs) <= 4 and {e[1] for e in runs} <= {0, 1, 2}
+    df = spark.createDataFrame([], "u string, ms long")
+    got = partials.results(spark, root, kind, partials.partial_schema(df, kind)).collect()
+    assert sorted((r.u, r.hits) for r in got) == [("a", 12), ("b", 12)]
