@@ -41,11 +41,11 @@ from pyspark.sql import functions as F
 from clickweave.llm.common import materialise, mixed
 
 #: Bytes of text of a chunk (a language's part of it is one row); a longer text is a chunk of its own.
-CHUNK = 8_000_000
+CHUNK = 16_000_000
 #: Occurrences that a range of quotients is expected to hold.
 RANGE_WORDS = 2_000_000
 #: Rows of chunks that a task works on, about.
-ROWS_PER_TASK = 8
+ROWS_PER_TASK = 4
 #: Parts of a language that are ranked side by side.
 SALTS = 64
 #: Buckets in which words are numbered.
@@ -295,21 +295,33 @@ def _sorted_grams(stream: np.ndarray, at: np.ndarray, m: int) -> tuple[np.ndarra
 
 
 def _places(stream: np.ndarray, m: int) -> np.ndarray:
-    """Where n-grams of two words, without a gap, begin."""
-    live = stream != 0
-    return np.flatnonzero(live[:-1] & live[1:]) if m == 2 and len(live) else np.empty(0, np.int64)
+    """Where ``m`` words without a gap begin."""
+    words = np.concatenate([[0], np.cumsum(stream != 0)])
+    return np.flatnonzero(words[m:] - words[:-m] == m) if len(stream) >= m else np.empty(0, np.int64)
+
+
+def _segments(stream: np.ndarray, places: np.ndarray, m: int) -> np.ndarray:
+    """The words of n-grams of ``m`` words at ``places``, and no other n-gram: each run of consecutive
+    places with its words, and a gap after it."""
+    first = np.concatenate([[True], np.diff(places) > 1])
+    starts = places[first]
+    lengths = np.diff(np.append(np.flatnonzero(first), len(places))) + m
+    begins = np.cumsum(lengths) - lengths
+    at = np.arange(int(lengths.sum())) + np.repeat(starts - begins, lengths)
+    out = stream[np.minimum(at, len(stream) - 1)]
+    out[begins + lengths - 1] = 0
+    return out
 
 
 def _filters(m: int, ranges: int, bits: int) -> Callable:
-    """Filters of the n-grams of ``m`` words that begin at the places kept in ``at``."""
+    """Filters of the n-grams of ``m`` words of each stream, one per range of quotients."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                chunk, lang, stream, at = [batch.column(k)[row].as_py() for k in range(4)]
+                chunk, lang, stream = [batch.column(k)[row].as_py() for k in range(3)]
                 ids = _unzipped(stream)
-                places = _places(ids, 2) if at is None else _unzipped(at).astype(np.int64)
-                keys, counts, _ = _sorted_grams(ids, places, m)
+                keys, counts, _ = _sorted_grams(ids, _places(ids, m), m)
                 cuts = np.searchsorted(_range_of(keys, ranges), np.arange(ranges + 1))
                 full = np.flatnonzero(np.diff(cuts))
                 data = [filter_of(keys[cuts[r] : cuts[r + 1]], counts[cuts[r] : cuts[r + 1]], bits) for r in full]
@@ -354,15 +366,15 @@ def _merge(least: int) -> Callable:
     return run
 
 
-def _next_places(m: int, ranges: int) -> Callable:
-    """Where n-grams of ``m + 1`` words may be frequent: both of ``m`` words in them are."""
+def _pruned(m: int, ranges: int) -> Callable:
+    """Streams of what n-grams of ``m + 1`` words may be frequent: both of ``m`` words in them are."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                chunk, lang, stream, at, marks = [batch.column(k)[row].as_py() for k in range(5)]
+                chunk, lang, stream, marks = [batch.column(k)[row].as_py() for k in range(4)]
                 ids = _unzipped(stream)
-                places = _places(ids, 2) if at is None else _unzipped(at).astype(np.int64)
+                places = _places(ids, m)
                 keys, _, entry = _sorted_grams(ids, places, m)
                 cuts = np.searchsorted(_range_of(keys, ranges), np.arange(ranges + 1))
                 often = np.zeros(len(keys), bool)
@@ -370,13 +382,13 @@ def _next_places(m: int, ranges: int) -> Callable:
                     start, stop = cuts[mark["range"]], cuts[mark["range"] + 1]
                     often[start:stop] = np.unpackbits(np.frombuffer(mark["frequent"], np.uint8), count=stop - start)
                 good = places[often[entry]]
-                both = good[:-1][np.diff(good) == 1].astype(np.uint32)
+                both = good[:-1][np.diff(good) == 1]
                 if len(both):
-                    kept = zstandard.ZstdCompressor(level=1).compress(both.tobytes())
+                    left = zstandard.ZstdCompressor(level=1).compress(_segments(ids, both, m + 1).tobytes())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([chunk], pa.int64()), pa.array([lang], pa.string()), pa.array([stream], pa.binary()),
-                         pa.array([kept], pa.binary())], names=["chunk", "lang", "stream", "at"],
-                    )
+                        [pa.array([chunk], pa.int64()), pa.array([lang], pa.string()), pa.array([left], pa.binary())],
+                        names=["chunk", "lang", "stream"],
+                    )
 
     return run
 
@@ -386,7 +398,7 @@ def frequent_grams(streams: DataFrame, words: int, least: int, longest: int) ->
     with at least ``least`` occurrences; ``words`` is the number of occurrences of ids."""
     ranges = max(8, -(-words // RANGE_WORDS))
     bits = max(1, min(31, (max(words, 2) // ranges).bit_length() + ranges.bit_length()))
-    here, rows = streams.withColumn("at", F.lit(None).cast("binary")), streams.count()
+    here, rows = streams, streams.count()
     found = None
     for m in range(2, longest + 1):
         filters = here.mapInArrow(_filters(m, ranges, bits), FILTERS).repartition(2 * ranges, "lang", "range")
@@ -395,8 +407,8 @@ def frequent_grams(streams: DataFrame, words: int, least: int, longest: int) ->
         found = grams if found is None else found.unionByName(grams)
         if m < longest:
             marks = level.filter("chunk IS NOT NULL").groupBy("chunk", "lang").agg(F.collect_list(F.struct("range", "frequent")).alias("marks"))
-            both = _together(here, marks, rows).select("chunk", "lang", "stream", "at", "marks")
-            here = materialise(both.mapInArrow(_next_places(m, ranges), "chunk bigint, lang string, stream binary, at binary"), f"places-{m}")
+            both = _together(here, marks, rows).select("chunk", "lang", "stream", "marks")
+            here = materialise(both.mapInArrow(_pruned(m, ranges), "chunk bigint, lang string, stream binary"), f"left-{m}")
     return found
 
 

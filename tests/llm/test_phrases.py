@@ -32,6 +32,14 @@ def test_filter_gives_back_what_it_got(m, bits, n):
     assert (back == keys).all() and their.tolist() == counts.tolist()
 
 
+def test_segments_hold_the_chosen_grams_only():
+    stream = np.array([1, 2, 3, 4, 5, 0, 6, 7, 8, 9], np.uint32)
+    assert phrases._places(stream, 3).tolist() == [0, 1, 2, 6, 7]
+    left = phrases._segments(stream, np.array([0, 2, 6, 7]), 3)
+    assert left.tolist() == [1, 2, 3, 0, 3, 4, 5, 0, 6, 7, 8, 9, 0]
+    assert [left[p : p + 3].tolist() for p in phrases._places(left, 3)] == [[1, 2, 3], [3, 4, 5], [6, 7, 8], [7, 8, 9]]
+
+
 def test_merged_filters_add_up():
     rng = np.random.default_rng(1)
     grams = [rng.integers(1, 6, (300, 3)).astype(np.uint32) for _ in range(4)]
