@@ -42,15 +42,17 @@ from clickweave.llm.common import materialise
 from clickweave.llm.tokens import Encoder, Remembered, sure_parts
 
 #: Characters of a chunk; a longer document is a chunk of its own.
-CHUNK = 8_000_000
+CHUNK = 4_000_000
 #: Parts remembered with their alignment, in each of two generations.
-LIMIT = 120_000
+LIMIT = 100_000
+#: Unknown parts that are aligned together.
+AT_A_TIME = 20_000
 #: Elements of the shorter list that gallop one after the other; blocks do so side by side.
 STRIDE = 64
 #: Larger groups are multiplied out by distinct ids.
 LARGE = 4_096
 #: Links, or pairs of documents, worked on at once.
-AT_ONCE = 4_000_000
+AT_ONCE = 1_000_000
 
 _SPACE_MARK = "▁"
 
@@ -366,8 +368,8 @@ def _chunk_row(chunk: int, ids: list, texts: list[str | None], tok: Tokenizers,
     parts = [p for c in cut for p in c]
     local = {p: i for i, p in enumerate(dict.fromkeys(parts))}
     fresh = list(known.missing(set(local)))
-    for start in range(0, len(fresh), 50_000):
-        some = fresh[start : start + 50_000]
+    for start in range(0, len(fresh), AT_A_TIME):
+        some = fresh[start : start + AT_A_TIME]
         known.now.update(zip(some, aligned_parts(tok, some), strict=True))
     records = [known.now[p] for p in local]
     broken = np.array([r is None for r in records], bool)
