@@ -53,38 +53,86 @@ def normalize(requests: DataFrame) -> DataFrame:
     )
 
 
+#: Names of a batch record's values where they differ from a request's.
+_RECORD_NAMES = {"session_id": "sessionId", "scroll_depth": "scrollDepth", "time_spent": "timeSpent"}
+_OF_RECORD = ("event", "page", "scroll_depth", "element", "href", "section", "time_spent", *schemas.VITALS)
+
+
+def _batch_records(body: Column) -> Column:
+    """A body's records, NULL unless its ``events`` are an array; one that is no object has no values."""
+    texts = F.from_json(body, schemas.BATCH_BODY)["events"]
+    return F.transform(texts, lambda t: F.from_json(t, schemas.BATCH_RECORD))
+
+
+def _batch_reason(body: Column) -> Column:
+    missing = F.when(~S.present(F.coalesce("session_id", F.lit(""))), F.lit(MISSING_SESSION))
+    return missing.when(F.from_json(body, schemas.BATCH_BODY)["events"].isNull(), F.lit(INVALID_EVENTS))
+
+
+def _record_session(record: Column) -> Column:
+    """A record's own session id, even an empty one, overrides the header's."""
+    return F.coalesce(record["sessionId"], F.col("session_id")).alias("session_id")
+
+
+def _record_value(record: Column, name: str) -> Column:
+    return record[_RECORD_NAMES.get(name, name)].alias(name)
+
+
 def explode_batch(envelopes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Batch requests into tracking records, and the requests that are refused.
 
     An envelope has ``body`` (JSON text), ``arrival``, the header's ``session_id`` and
-    the shared header values. A record keeps its position in the batch as ``pos``;
-    only a session id of its own overrides the header's.
+    the shared header values. A record keeps its position in the batch as ``pos``; numbers may be
+    written as such or as text.
     """
-    parsed = envelopes.withColumn(
-        "records", F.from_json("body", schemas.BATCH_BODY)["events"]
-    ).withColumn(
-        "reason",
-        F.when(~S.present(F.coalesce("session_id", F.lit(""))), F.lit(MISSING_SESSION)).when(
-            F.col("records").isNull(), F.lit(INVALID_EVENTS)
-        ),
-    )
-    refused = parsed.filter(F.col("reason").isNotNull()).drop("records")
+    reasoned = envelopes.withColumn("reason", _batch_reason(F.col("body")))
     header = [c for c in envelopes.columns if c not in ("body", "session_id", "arrival")]
+    r = F.col("r")
+    numbers = {"time_spent": S.parse_int, **dict.fromkeys(schemas.VITALS, S.parse_float)}
+    parsed = lambda n: numbers.get(n, lambda c: c)(_record_value(r, n)).alias(n)
     records = (
-        parsed.filter(F.col("reason").isNull())
-        .select("session_id", "arrival", *header, F.posexplode("records").alias("pos", "r"))
+        reasoned.filter(F.col("reason").isNull())
+        .select("session_id", "arrival", *header, F.posexplode(_batch_records(F.col("body"))).alias("pos", "r"))
+        .select(_record_session(r), F.col("arrival").alias("ts"), "pos", *header, *[parsed(n) for n in _OF_RECORD])
+    )
+    return records, reasoned.filter(F.col("reason").isNotNull())
+
+
+#: Places for the records of a request between its number and the next one.
+RECORDS = 1 << 20
+UNREADABLE = "Unreadable request"
+
+
+def split_requests(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines of JSON (``value``), single and batch requests mixed, into tracking records and dead letters.
+
+    A line with a ``body`` is a batch; its records share the header values and the arrival time. A record's
+    number is that of the request times ``RECORDS`` plus its position. Dead letters
+    keep the line as it came: those that are no JSON object with a number and an arrival time, batches
+    without a session id, and those whose ``events`` are no array. Records without a session are left to the gate.
+    """
+    read = F.from_json("value", schemas.REQUEST_LINE)
+    rows = lines.select("value", read.alias("r")).select("value", "r.*")
+    rows = rows.withColumns({"seq": F.col("seq").try_cast("bigint"), "arrival": F.col("arrival").try_cast("bigint")})
+    unreadable = F.col("seq").isNull() | F.col("arrival").isNull()
+    batch = F.when(F.col("body").isNotNull(), _batch_reason(F.col("body")))
+    rows = rows.withColumn("reason", F.when(unreadable, F.lit(UNREADABLE)).otherwise(batch))
+    status = F.when(F.col("reason") == UNREADABLE, 500).otherwise(400)
+    dead = rows.filter("reason IS NOT NULL").select("value", "arrival", "reason", status.alias("status"))
+
+    own = F.struct(*[F.col(n).alias(_RECORD_NAMES.get(n, n)) for n in ("session_id", *_OF_RECORD)])
+    records = F.when(F.col("body").isNull(), F.array(own)).otherwise(_batch_records(F.col("body")))
+    header = [f.name for f in schemas.REQUEST.fields if f.name not in ("session_id", "seq", *_OF_RECORD)]
+    r = F.col("r")
+    requests = (
+        rows.filter("reason IS NULL")
+        .select("session_id", "seq", *header, F.posexplode(records).alias("pos", "r"))
         .select(
-            F.coalesce(S.text_or_null(F.col("r.sessionId")), "session_id").alias("session_id"),
-            F.col("arrival").alias("ts"),
-            "pos",
-            *header,
-            *[F.col(f"r.{n}").alias(n) for n in ("event", "page", "element", "href", "section")],
-            F.col("r.scrollDepth").alias("scroll_depth"),
-            F.col("r.timeSpent").alias("time_spent"),
-            *[F.col(f"r.{v}").alias(v) for v in schemas.VITALS],
+            _record_session(r), (F.col("seq") * RECORDS + F.col("pos")).alias("seq"), *header,
+            *[_record_value(r, n) for n in _OF_RECORD],
         )
-    )
-    return records, refused
+    )
+    return normalize(requests), dead
 
 
 def _at() -> Column:

@@ -15,6 +15,7 @@ from clickweave.session import scratch_dir
 from clickweave.plans import jobs
 from clickweave.sources import tables
 from clickweave.sources.fixtures import view
+from clickweave.streaming import ingest as stream_ingest
 from clickweave.streaming import queries as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,6 +130,44 @@ def _two_logs(read: Callable[[SparkSession, str], DataFrame], *columns: str) ->
     return run
 
 
+_SENT_CONTEXT = ("user_agent", "forwarded_for", "remote_ip", "country", "city", "latitude", "longitude", "referrer", "device_hint")
+
+
+def _request_lines(sent: DataFrame) -> DataFrame:
+    """Requests as a server logs them, one line of JSON each: single ones, batches with one header, and
+    every 40th request cut off in the middle."""
+    own = ("event", "page", "scroll_depth", "element", "ttfb", "fcp", "cls")
+    single = F.struct("seq", "arrival", "session_id", *own, F.col("time_sent").alias("time_spent"), *_SENT_CONTEXT)
+    singles = sent.filter("in_batch = 0").select(F.to_json(single).alias("value"))
+    record = F.to_json(F.struct(*own[:2], F.col("scroll_depth").alias("scrollDepth"), *own[3:], F.col("time_sent").alias("timeSpent")))
+    # Some clients write numbers, others text.
+    bare = F.regexp_replace(record, '"timeSpent":"([0-9.]+)"', '"timeSpent":$1')
+    record = F.when(F.col("seq") % 4 < 2, bare).otherwise(record)
+    header = [F.min_by(c, "seq").alias(c) for c in _SENT_CONTEXT]
+    batches = (
+        sent.filter("in_batch = 1").groupBy("session_id", "batch_no")
+        .agg(F.min("seq").alias("seq"), F.max("arrival").alias("arrival"), *header, F.sort_array(F.collect_list(F.struct("seq", record.alias("r")))).alias("e"))
+        .withColumn("body", F.concat(F.lit('{"events":['), F.array_join("e.r", ","), F.lit("]}")))
+        .select(F.to_json(F.struct("seq", "arrival", "session_id", *_SENT_CONTEXT, "body")).alias("value"))
+    )
+    broken = sent.filter("seq % 40 = 0").select(F.substring(F.to_json(single), 1, 30).alias("value"))
+    return singles.unionByName(batches).unionByName(broken)
+
+
+def _requests_to(read: Callable[[SparkSession, str], DataFrame], *columns: str) -> Query:
+    """One of the tables after mixed requests were streamed as text."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = scratch_dir(spark, "requests")
+        _request_lines(view(spark, sf_dir, "fx_sent")).write.text(f"{root}/lines")
+        lines = tables.read_request_lines(spark, f"{root}/lines", stream=True)
+        query = stream_ingest.start_requests(lines, f"{root}/tables", f"{root}/checkpoint", buckets=streams.BUCKETS)
+        query.awaitTermination()
+        return read(spark, f"{root}/tables").select(*columns)
+
+    return run
+
+
 def _ingest() -> dict[str, Query]:
     raw = _on("fx_raw")
     return {
@@ -156,6 +195,15 @@ def _ingest() -> dict[str, Query]:
             lambda r: ingest.fold_events(r).select("id", "session_id", "event_name", "element", "timestamp")
         ),
         "raw_to_site_report": _raw_to_site_report,
+        "requests_to_sessions": _requests_to(
+            tables.read_sessions, "session_id", "start_time", "end_time", "user_agent", "ip_address", "referrer", "device_type",
+            "country", "city", "latitude", "longitude",
+        ),
+        "requests_to_page_views": _requests_to(
+            tables.read_page_views, "id", "session_id", "page", "timestamp", "time_spent", "scroll_depth", *schemas.VITALS
+        ),
+        "requests_to_events": _requests_to(tables.read_events, "id", "session_id", "event_name", "element", "timestamp"),
+        "requests_to_dead_letters": _requests_to(tables.read_dead_letters, "arrival", "reason", "status"),
         "ingest_two_logs_sessions": _two_logs(tables.read_sessions, "session_id", "start_time", "end_time", "user_agent"),
         "ingest_two_logs_page_views": _two_logs(
             tables.read_page_views, "id", "session_id", "page", "timestamp", "time_spent", "scroll_depth", "ttfb", "cls"

@@ -46,7 +46,15 @@ def known_sessions(store: Store, log: DataFrame, buckets: int = BUCKETS) -> Data
     return merged_state(here.join(ids, "session_id", "left_semi").drop(BUCKET))
 
 
-def ingest_log(raw: DataFrame, root: str, run: str | None = None, fan_in: int = 1, buckets: int = BUCKETS) -> None:
+def ingest_requests(lines: DataFrame, root: str, run: str | None = None, fan_in: int = 1, buckets: int = BUCKETS) -> None:
+    """Fold lines of JSON, single and batch requests mixed, into the stored tables and dead letters."""
+    records, dead = ingest.split_requests(lines)
+    ingest_log(records, root, run, fan_in, buckets, dead)
+
+
+def ingest_log(
+    raw: DataFrame, root: str, run: str | None = None, fan_in: int = 1, buckets: int = BUCKETS, dead: DataFrame | None = None
+) -> None:
     """Fold a log into the stored sessions, page views, events and rejects below ``root``.
 
     Logs may come one after the other: a session goes on where earlier runs left it, and the
@@ -58,7 +66,8 @@ def ingest_log(raw: DataFrame, root: str, run: str | None = None, fan_in: int =
     their own, see ``sources.store``.
 
     The gated records are written once to the scratch folder, since all tables start from
-    them; a lost executor then costs no second pass over the log.
+    them; a lost executor then costs no second pass over the log. ``dead`` are letters that
+    could not be read as records; they are stored in the same run.
     """
     spark = raw.sparkSession
     store = Store(spark, root)
@@ -89,6 +98,8 @@ def ingest_log(raw: DataFrame, root: str, run: str | None = None, fan_in: int =
     change.add(tables.laid_out(ingest.named_events(valid), schemas.EVENTS, "timestamp"), "events")
     refused = ingest.refused(log, gated)
     change.add(tables.laid_out(refused, tables.STORED_REJECTS, "ts"), "rejects")
+    if dead is not None:
+        change.add(dead.withColumn(DATE, day_of("arrival")), "dead_letters")
     change.merge(_state_rows(valid, known).withColumn(BUCKET, bucket_of(KEY, buckets)), STATE, BUCKET, merged_state)
     change.commit()
 

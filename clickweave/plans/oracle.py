@@ -125,10 +125,19 @@ def _site() -> dict[str, str]:
 
 # Accepted records, page views numbered per session, and per record the number of the
 # latest view before it.
-FOLD = """
+def _fold_ctes(source: str, vitals: tuple[str, ...]) -> str:
+    """Accepted records, views numbered per session, and what later records say about them."""
+    last = "last({v} ORDER BY ts, seq) FILTER (WHERE {v} IS NOT NULL{more}) AS {name}"
+    perf = [last.format(v=v, more=f" AND {v} <> 0", name=v) for v in vitals]
+    perf += [last.format(v=v, more="", name=f"{v}_keep") for v in vitals]
+    values = [f"coalesce(perf.{v}, nullif(v.{v}, 0)) AS {v}, coalesce(perf.{v}_keep, v.{v}) AS {v}_keep" for v in vitals]
+    return FOLD_TEXT.replace("{source}", source).replace("{perf}", ", ".join(perf)).replace("{vitals}", ", ".join(values))
+
+
+FOLD_TEXT = """
 g AS (SELECT *, max(CASE WHEN event = 'session_start' THEN 1 ELSE 0 END)
     OVER (PARTITION BY session_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS ok
-  FROM fx_raw WHERE session_id IS NOT NULL AND session_id <> ''),
+  FROM {source} WHERE session_id IS NOT NULL AND session_id <> ''),
 a AS (SELECT *, (page IS NOT NULL AND page <> '' AND event NOT IN ('session_start', 'session_end')) AS is_view
   FROM g WHERE ok = 1),
 u AS (SELECT *, coalesce(sum(CASE WHEN is_view THEN 1 ELSE 0 END)
@@ -138,21 +147,18 @@ v AS (SELECT *, views_before + 1 AS vn FROM u WHERE is_view),
 spent AS (SELECT session_id, views_before AS vn, last(time_spent ORDER BY ts, seq) AS time_spent FROM u
   WHERE time_spent <> 0 AND views_before > 0 AND (is_view OR event = 'session_end') GROUP BY session_id, views_before),
 perf AS (SELECT session_id, views_before AS vn,
-    last(ttfb ORDER BY ts, seq) FILTER (WHERE ttfb IS NOT NULL AND ttfb <> 0) AS ttfb,
-    last(cls ORDER BY ts, seq) FILTER (WHERE cls IS NOT NULL AND cls <> 0) AS cls,
-    last(cls ORDER BY ts, seq) FILTER (WHERE cls IS NOT NULL) AS cls_keep,
-    last(ttfb ORDER BY ts, seq) FILTER (WHERE ttfb IS NOT NULL) AS ttfb_keep
+    {perf}
   FROM u WHERE event = 'performance' AND NOT is_view AND views_before > 0 GROUP BY session_id, views_before),
 views AS (SELECT v.seq AS id, v.session_id, v.page, v.ts AS timestamp,
     coalesce(spent.time_spent, nullif(v.time_spent, 0)) AS time_spent,
     TRY_CAST(nullif(regexp_extract(v.scroll_depth, '^\\s*([+-]?[0-9]+)', 1), '') AS INTEGER) AS scroll_depth,
-    coalesce(perf.ttfb, nullif(v.ttfb, 0)) AS ttfb, coalesce(perf.cls, nullif(v.cls, 0)) AS cls,
-    coalesce(perf.ttfb_keep, v.ttfb) AS ttfb_keep, coalesce(perf.cls_keep, v.cls) AS cls_keep
+    {vitals}
   FROM v LEFT JOIN spent USING (session_id, vn) LEFT JOIN perf USING (session_id, vn)),
 starts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, seq) AS rn
   FROM a WHERE event = 'session_start') q WHERE rn = 1),
 ends AS (SELECT session_id, last(ts ORDER BY ts, seq) AS end_time FROM a WHERE event = 'session_end' GROUP BY session_id)
 """
+FOLD = _fold_ctes("fx_raw", ("ttfb", "cls"))
 
 
 def _fold(select: str) -> str:
@@ -169,6 +175,33 @@ def _float(x: str) -> str:
     return f"TRY_CAST(nullif(regexp_extract({x}, '{scalars.FLOAT_PREFIX}', 1), '') AS DOUBLE)"
 
 
+def _mixed(select: str) -> str:
+    """The fold over the records of single and batch requests."""
+    whole = 1 << 20
+    of_batch = "PARTITION BY session_id, batch_no"
+
+    def shared(column: str) -> str:
+        return f"CASE WHEN in_batch = 1 THEN first_value({column}) OVER ({of_batch}, in_batch ORDER BY seq) ELSE {column} END AS {column}"
+
+    context = ("user_agent", "forwarded_for", "remote_ip", "country", "city", "latitude", "longitude", "referrer", "device_hint")
+    vitals = ("ttfb", "fcp", "cls")
+    text = f"""sent AS (SELECT session_id, batch_no, in_batch, event, page, scroll_depth, element, time_sent, {", ".join(vitals)},
+          CASE WHEN in_batch = 1 THEN min(seq) OVER ({of_batch}, in_batch) * {whole} + row_number() OVER ({of_batch}, in_batch ORDER BY seq) - 1
+            ELSE seq * {whole} END AS seq,
+          CASE WHEN in_batch = 1 THEN max(arrival) OVER ({of_batch}, in_batch) ELSE arrival END AS ts,
+          {", ".join(shared(c) for c in context)} FROM fx_sent),
+        mixed AS (SELECT session_id, seq, ts, event, page, scroll_depth, element,
+          TRY_CAST(nullif(regexp_extract(time_sent, '^\\s*([+-]?[0-9]+)', 1), '') AS BIGINT) AS time_spent,
+          {", ".join(f"{_float(v)} AS {v}" for v in vitals)}, user_agent,
+          coalesce(nullif(trim(split_part(forwarded_for, ',', 1)), ''), nullif(remote_ip, ''), 'unknown') AS ip_address,
+          coalesce(nullif(country, ''), 'Unknown') AS country, coalesce(nullif(city, ''), 'Unknown') AS city,
+          {_float("latitude")} AS latitude, {_float("longitude")} AS longitude, referrer,
+          {_device("user_agent", "device_hint")} AS device_type FROM sent),
+        {_fold_ctes("mixed", vitals).strip()}
+        {select}"""
+    return oracle(["fx_sent"], text)
+
+
 def _ingest() -> dict[str, str]:
     no_id = "(session_id IS NULL OR session_id = '')"
     folded = _site_sql(ALL_TIME)
@@ -210,6 +243,25 @@ def _ingest() -> dict[str, str]:
             f"""SELECT session_id, seq, (event = 'session_start' OR session_id IN (SELECT session_id FROM starts)) AS passed
             FROM fx_raw WHERE NOT {no_id}"""
         ),
+        "requests_to_sessions": _mixed(
+            """SELECT s.session_id, s.ts AS start_time, e.end_time, nullif(s.user_agent, '') AS user_agent, ip_address, referrer,
+            device_type, country, city, nullif(latitude, 0) AS latitude, nullif(longitude, 0) AS longitude
+            FROM starts s LEFT JOIN ends e ON s.session_id = e.session_id"""
+        ),
+        "requests_to_page_views": _mixed(
+            """SELECT id, session_id, page, timestamp, time_spent, scroll_depth, ttfb, fcp, CAST(NULL AS DOUBLE) AS lcp, cls,
+            CAST(NULL AS DOUBLE) AS fid FROM views"""
+        ),
+        "requests_to_events": _mixed(
+            """SELECT seq AS id, session_id, event AS event_name, nullif(element, '') AS element, ts AS timestamp
+            FROM a WHERE event NOT IN ('session_start', 'session_end')"""
+        ),
+        "requests_to_dead_letters": oracle(
+            ["fx_sent"],
+            """SELECT max(arrival) AS arrival, 'Missing required session ID' AS reason, 400 AS status FROM fx_sent
+            WHERE in_batch = 1 AND session_id IS NULL GROUP BY batch_no
+            UNION ALL SELECT NULL, 'Unreadable request', 500 FROM fx_sent WHERE seq % 40 = 0""",
+        ),
         "ingest_two_logs_sessions": _fold(
             """SELECT s.session_id, s.ts AS start_time, e.end_time, nullif(s.user_agent, '') AS user_agent
             FROM starts s LEFT JOIN ends e ON s.session_id = e.session_id"""

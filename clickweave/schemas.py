@@ -76,18 +76,15 @@ REQUEST = _struct(
     "device_hint STRING, ttfb STRING, fcp STRING, lcp STRING, cls STRING, fid STRING"
 )
 
-# Body of a batch request; the shared header values sit beside it in columns.
-BATCH_BODY = T.StructType(
-    [
-        T.StructField(
-            "events",
-            _array(
-                "sessionId STRING, event STRING, page STRING, scrollDepth STRING, "
-                "element STRING, href STRING, section STRING, timeSpent BIGINT, "
-                "ttfb DOUBLE, fcp DOUBLE, lcp DOUBLE, cls DOUBLE, fid DOUBLE"
-            ),
-        )
-    ]
+# A request as one line of JSON: header values and, for a batch, the body's text. All values are
+# read as text, so that none is lost to its type.
+REQUEST_LINE = T.StructType([*[T.StructField(f.name, T.StringType()) for f in REQUEST.fields], T.StructField("body", T.StringType())])
+
+# Body of a batch request: its records as text, and the values of a record as text.
+BATCH_BODY = T.StructType([T.StructField("events", T.ArrayType(T.StringType()))])
+BATCH_RECORD = _struct(
+    "sessionId STRING, event STRING, page STRING, scrollDepth STRING, element STRING, href STRING, section STRING, "
+    "timeSpent STRING, ttfb STRING, fcp STRING, lcp STRING, cls STRING, fid STRING"
 )
 
 # Reply of the suggestion model. Numbers are read as text and converted later so

@@ -155,6 +155,16 @@ SELECT session_id, seq, ts AS arrival, event, page, scroll_depth, element,
 FROM fx_raw
 """
 
+# Which requests are sent in batches, and the time spent as a client may write it.
+VIEWS["fx_sent"] = """
+SELECT r.*, CAST(floor(seq / 25) AS BIGINT) AS batch_no, CASE WHEN floor(seq / 25) % 2 = 1 THEN 1 ELSE 0 END AS in_batch,
+  CASE WHEN time_spent IS NULL THEN NULL WHEN seq % 2 = 0 THEN concat(time_spent, '.5') ELSE time_spent END AS time_sent,
+  CASE WHEN seq % 6 = 0 THEN 'https://a.example/' ELSE NULL END AS referrer,
+  CASE WHEN seq % 3 = 1 THEN 'Bonn' ELSE NULL END AS city, CASE WHEN seq % 4 = 1 THEN '-7.25' ELSE NULL END AS longitude,
+  CASE WHEN seq % 7 = 0 THEN ttfb ELSE NULL END AS fcp
+FROM fx_requests r
+"""
+
 # A model's answer with a whole source file: prose, fence, code.
 VIEWS["fx_code_replies"] = """
 SELECT path, CASE WHEN length(path) % 7 = 0 THEN concat('```', chr(10), '```')

@@ -81,6 +81,26 @@ def read_rejects(spark: SparkSession, root: str) -> DataFrame:
     return _read_dated(spark, root, "rejects", STORED_REJECTS, STORED_REJECTS, None)
 
 
+DEAD_LETTERS = T.StructType(
+    [
+        T.StructField("value", T.StringType()),
+        T.StructField("arrival", T.LongType()),
+        T.StructField("reason", T.StringType()),
+        T.StructField("status", T.IntegerType()),
+    ]
+)
+
+
+def read_dead_letters(spark: SparkSession, root: str) -> DataFrame:
+    """Requests that could not be read, as they came."""
+    return _read_dated(spark, root, "dead_letters", DEAD_LETTERS, DEAD_LETTERS, None)
+
+
+def read_request_lines(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Requests, single and batch mixed, as lines of text."""
+    return (spark.readStream if stream else spark.read).text(path)
+
+
 def read_deployments(spark: SparkSession, root: str) -> DataFrame:
     """Deployment history in its widest form; columns an old file lacks read as NULL."""
     return spark.read.schema(schemas.DEPLOYMENTS).parquet(f"{root}/deployment_metrics")

@@ -37,3 +37,19 @@ def start(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def start_requests(
+    lines: DataFrame, root: str, checkpoint: str, stream: str = "requests", buckets: int = BUCKETS, **trigger
+) -> StreamingQuery:
+    """Start the ingest of a stream of request lines, single and batch mixed."""
+
+    def fold(df: DataFrame, n: int) -> None:
+        jobs.ingest_requests(df, root, f"{stream}-{n}", FAN_IN, buckets)
+
+    return (
+        lines.writeStream.foreachBatch(fold)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )

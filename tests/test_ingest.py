@@ -124,3 +124,35 @@ def test_parameters_of_metrics_survive_folding(raw):
     log = raw(("a", 1, 10, "session_start"), ("a", 2, 10, "pageview", {"page": "/"}))
     assert ingest.fold_page_views(log).count() == 1
     assert ingest.fold_events(log).select(F.first("event_name")).collect()[0][0] == "pageview"
+
+
+def test_request_lines_of_every_kind(table):
+    """Fractions and quoted numbers, a record's own session, bodies and lines that cannot be read."""
+    import json
+
+    line = lambda **r: (json.dumps(r),)
+    events = [{"page": "/", "timeSpent": 12.5}, {"page": "/a", "timeSpent": "13", "cls": "0.5x", "sessionId": "own"}, 7, {"sessionId": ""}]
+    lines = table(
+        "value string",
+        line(seq=1, arrival=5, session_id="a", event="pageview", page="/", time_spent="8s", latitude=3, remote_ip="1.1.1.1"),
+        line(seq=2, arrival="6", session_id="b", user_agent="iPad", country="", body=json.dumps({"events": events})),
+        line(seq=3, arrival=7, session_id="c", body='{"events": {"page": "/"}}'),
+        line(seq=4, arrival=7, body='{"events": []}'),
+        line(seq=5, arrival=7, session_id="c", body="{"),
+        line(arrival=7, session_id="c"),
+        ('{"seq": 6, "arr',), ("",), (None,), ("[1]",),
+        line(seq=8, arrival=9, session_id="d", body='{"events": []}'),
+    )
+    records, dead = ingest.split_requests(lines)
+    got = {r.seq: r for r in records.collect()}
+    whole = ingest.RECORDS
+    assert sorted(got) == [whole, *range(2 * whole, 2 * whole + 4)]
+    one = got[whole]
+    assert (one.time_spent, one.ts, one.latitude, one.ip_address, one.country) == (8, 5, 3.0, "1.1.1.1", "Unknown")
+    first, second, third, fourth = (got[2 * whole + k] for k in range(4))
+    assert (first.session_id, first.time_spent, first.device_type, first.country) == ("b", 12, "tablet", "Unknown")
+    assert (second.session_id, second.time_spent, second.cls, second.ts) == ("own", 13, 0.5, 6)
+    assert (third.session_id, third.page, third.event) == ("b", None, None) and fourth.session_id == ""
+    reasons = sorted((r.reason, r.status, r.value) for r in dead.collect() if r.value)
+    assert [r[:2] for r in reasons] == [("Invalid events array", 400)] * 2 + [("Missing required session ID", 400)] + [("Unreadable request", 500)] * 3
+    assert dead.count() == 8
