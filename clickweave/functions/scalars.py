@@ -19,9 +19,9 @@ SCROLL_STEPS = (25, 50, 75, 100)
 
 
 def fixed(x: Column, places: int) -> Column:
-    """Round half up through DECIMAL, so that the digits do not depend on how an
-    engine rounds binary doubles. Values beyond that DECIMAL are rounded as doubles."""
-    return F.coalesce(F.round(x.try_cast("decimal(20,8)"), places).cast("double"), F.round(x.cast("double"), places))
+    """Round half up as if written with eight decimals first, so that the digits do not depend on
+    how an engine rounds binary doubles."""
+    return F.round(F.round(x.cast("double"), 8), places)
 
 
 def ratio(n: Column, d: Column) -> Column:

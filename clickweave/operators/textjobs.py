@@ -60,8 +60,9 @@ def component_contents(pages: DataFrame, files: DataFrame) -> DataFrame:
     """Content of every imported component that exists, one row per page and path. A path
     imported twice by one page is listed once, at its first position."""
     wanted = relative_imports(pages).groupBy("path", "resolved").agg(F.min("pos").alias("pos"))
-    # A path listed twice counts once, with the greater text.
-    found = files.groupBy(F.col("path").alias("resolved")).agg(F.max("content").alias("component"))
+    # A path listed twice counts once, with the greater text; sets of texts aggregate by hash.
+    listed = files.select(F.col("path").alias("resolved"), "content").join(wanted.select("resolved"), "resolved", "left_semi")
+    found = listed.groupBy("resolved").agg(F.array_max(F.collect_set("content")).alias("component"))
     return wanted.join(found, "resolved").select("path", "pos", "resolved", "component")
 
 
@@ -124,6 +125,56 @@ def relevant_changes(pages: DataFrame, commits: DataFrame, k: int = RECENT_K) ->
     )
 
 
+# Words inside a text, with other characters on both sides; grams of texts without any.
+_INNER_WORD = "(?<=[^A-Za-z0-9])([A-Za-z0-9]+)(?=[^A-Za-z0-9])"
+_WORD, _GRAM = "[A-Za-z0-9]+", 3
+
+
+def _grams(text: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
+
+
+def _keys_of_needle(needle: Column) -> Column:
+    """What a text that contains ``needle`` must hold: every word inside it as a word of its own; where there
+    is none, every run of three characters, or the needle itself if it is shorter."""
+    words = F.regexp_extract_all(needle, F.lit(_INNER_WORD), F.lit(1))
+    return (
+        F.when(F.size(words) > 0, F.transform(words, lambda w: F.concat(F.lit("w"), w)))
+        .when(F.length(needle) >= _GRAM, F.transform(_grams(needle, _GRAM), lambda g: F.concat(F.lit("g"), g)))
+        .otherwise(F.array(F.concat(F.lit("g"), needle)))
+    )
+
+
+def _keys_of_text(text: Column) -> Column:
+    words = F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), lambda w: F.concat(F.lit("w"), w))
+    grams = [F.when(F.length(text) >= n, _grams(text, n)).otherwise(F.array().cast("array<string>")) for n in range(1, _GRAM + 1)]
+    return F.array_distinct(F.concat(words, F.transform(F.concat(*grams), lambda g: F.concat(F.lit("g"), g))))
+
+
+def relevant_changes_all(pages: DataFrame, commits: DataFrame) -> DataFrame:
+    """``relevant_changes`` over the whole history: ``main_file``, ``sha``, ``ts`` of every commit a line of
+    which mentions a page or one of its import targets as written.
+
+    Every needle is indexed by the rarest of its keys; a commit's keys fetch candidates by an equi-join, and
+    only those are searched. Texts are not shuffled with their keys.
+    """
+    wanted = pages.select(F.col("path").alias("main_file"), F.explode(F.concat(F.array("path"), X.relative_imports(F.col("content")))).alias("needle"))
+    # A line never holds a line feed.
+    wanted = wanted.filter(S.present(F.col("needle")) & ~F.col("needle").contains("\n")).distinct()
+    needles = wanted.select("needle").distinct().select("needle", F.explode(F.array_distinct(_keys_of_needle(F.col("needle")))).alias("key"))
+    numbered = commits.select("sha", "ts", "message")
+    keys = numbered.select("sha", "ts", F.explode(_keys_of_text(F.col("message"))).alias("key"))
+    keys = keys.join(needles.select("key").distinct(), "key", "left_semi")
+    counts = keys.groupBy("key").agg(F.count("*").alias("n"))
+    # A needle with a key that no commit has is mentioned nowhere.
+    known = needles.join(counts, "key", "left")
+    rarest = known.groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("k"))
+    index = rarest.filter("k.n > 0").select("needle", F.col("k.key").alias("key"))
+    candidates = keys.join(index, "key").select("needle", "sha", "ts").distinct()
+    hits = candidates.join(numbered.select("sha", "ts", "message"), ["sha", "ts"]).filter(F.col("message").contains(F.col("needle")))
+    return hits.join(wanted, "needle").select("main_file", "sha", "ts").distinct()
+
+
 def clean_replies(replies: DataFrame) -> DataFrame:
     return replies.withColumn("cleaned", X.clean_reply(F.col("raw")))
 

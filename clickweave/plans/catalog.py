@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clickweave import schemas
 from clickweave.functions import scalars as S
-from clickweave.operators import behavior, deploy, experiments, history, ingest, quota, site, textjobs
+from clickweave.operators import asof, behavior, deploy, experiments, history, ingest, quota, site, textjobs
 from clickweave.operators.timeframe import ALL_TIME, Timeframe, deploy_windows
 from clickweave.session import scratch_dir
 from clickweave.plans import jobs
@@ -31,6 +31,7 @@ BATCH_SIZE = 50
 MIDWAY = 1_705_276_800_000 + 3_600_000  # where the log is cut in two, within a session's week
 # The interaction views compress a week into two minutes, so chunks shrink as well.
 CHUNK = 1_000
+HOUR_MS = 3_600_000
 VITAL_FIELDS = ["ttfb", "fcp", "lcp", "cls", "fid"]
 
 
@@ -337,6 +338,11 @@ def _behavior() -> dict[str, Query]:
         "compact_bursts_2s": bursts(behavior.SEND_WAIT_MS),
         "section_dwell": i(lambda x: behavior.section_dwell(x, CHUNK)),
         "time_on_page": i(behavior.time_on_page),
+        "events_with_latest_view": _on("fx_events", "fx_page_views")(
+            lambda e, v: asof.asof_join(
+                e, v.select("id", "session_id", "page", "timestamp"), ["session_id"], "timestamp", "timestamp", "id", "view", HOUR_MS
+            ).select("id", "session_id", "event_name", "view.page", F.col("view.id").alias("view_id"))
+        ),
         "over_quota": _on("fx_base")(
             lambda b: quota.flag_over_quota(
                 b.select("event_id", "user_id", "ms"), "user_id", "ms", "event_id", QUOTA_LIMIT, QUOTA_INTERVAL_MS
@@ -372,6 +378,9 @@ def _text() -> dict[str, Query]:
         "relevant_changes": _on("fx_repo_files", "fx_commits")(
             lambda f, c: textjobs.relevant_changes(textjobs.page_files(f), c)
         ),
+        "relevant_changes_all": _on("fx_repo_files", "fx_commits")(
+            lambda f, c: textjobs.relevant_changes_all(textjobs.page_files(f), c)
+        ),
         "clean_reply": replies(lambda r: textjobs.clean_replies(r).select("reply_id", "cleaned")),
         "parse_reply": replies(textjobs.parse_reply),
         "rejected_replies": replies(lambda r: textjobs.rejected_replies(r).select("reply_id", "raw")),

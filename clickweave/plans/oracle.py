@@ -663,6 +663,14 @@ def _behavior() -> dict[str, str]:
             WHERE kind IN ('enter', 'leave') AND section IS NOT NULL
             WINDOW w AS (PARTITION BY view_id, section ORDER BY ts, seq)) q WHERE kind = 'leave' AND before_kind = 'enter'""",
         ),
+        "events_with_latest_view": oracle(
+            ["fx_events", "fx_page_views"],
+            f"""SELECT id, session_id, event_name, page, view_id FROM (
+            SELECT e.id, e.session_id, e.event_name, v.page, v.id AS view_id,
+              row_number() OVER (PARTITION BY e.id ORDER BY v.timestamp DESC NULLS LAST, v.id DESC) AS rn
+            FROM fx_events e LEFT JOIN fx_page_views v ON v.session_id = e.session_id
+              AND v.timestamp <= e.timestamp AND e.timestamp - v.timestamp <= {C.HOUR_MS}) q WHERE rn = 1""",
+        ),
         "time_on_page": oracle(
             i, "SELECT view_id, min(ts) AS start, max(ts) - min(ts) AS time_on_page FROM fx_interactions GROUP BY view_id"
         ),
@@ -791,6 +799,13 @@ def _text() -> dict[str, str]:
             SELECT path AS main_file, CAST(row_number() OVER (PARTITION BY path ORDER BY ts DESC, seq DESC) - 1 AS INTEGER) AS rank,
             sha, message FROM hits""",
         ),
+        "relevant_changes_all": oracle(
+            [*files, "fx_commits"],
+            f"""{TARGETS.strip()},
+            pages AS (SELECT path FROM fx_repo_files WHERE {PAGE}),
+            needles AS (SELECT path, path AS needle FROM pages UNION ALL SELECT i.path, i.target FROM imports i JOIN pages p ON p.path = i.path)
+            SELECT DISTINCT n.path AS main_file, c.sha, c.ts FROM needles n JOIN fx_commits c ON contains(c.message, n.needle)""",
+        ),
         "clean_reply": oracle(replies, f"{REPLIES.strip()} SELECT reply_id, cleaned FROM c"),
         "parse_reply": oracle(
             replies,

@@ -55,3 +55,19 @@ def test_pages(table):
     assert [r.file for r in textjobs.recent_changes(commits).collect()] == ["n2", "n1", "n3"]
     hits = textjobs.relevant_changes(pages, commits).orderBy("rank").collect()
     assert [(r.sha, r.message) for r in hits] == [("n1", "mentions ./a\nmore"), ("n3", "src/app/x/page.tsx")]
+
+
+def test_relevant_changes_of_all_history(table):
+    """Needles inside words, short ones, ones without a word inside, and ones no commit can hold."""
+    pages = table(
+        "path string, content string",
+        ("src/page.tsx", "import a from './view'; import b from '..'; import c from './zzz/q.ts'"), ("p", "import x from '.'"), ("é/a", ""),
+    )
+    messages = ["touch src/page.tsx", "xsrc/page.tsxx", "src/page .tsx", "uses ./viewer", "no", "up..", "é/a\nb", "", None, "q.ts zzz"]
+    commits = table("sha string, ts long, message string", *[(f"c{i}", i, m) for i, m in enumerate(messages)])
+    got = sorted((r.main_file, r.sha) for r in textjobs.relevant_changes_all(pages, commits).collect())
+    needles = {"src/page.tsx": ["src/page.tsx", "./view", "..", "./zzz/q.ts"], "p": ["p", "."], "é/a": ["é/a"]}
+    expected = {(p, f"c{i}") for p, ns in needles.items() for i, m in enumerate(messages) if m and any(n in m for n in ns)}
+    assert got == sorted(expected)
+    plan = textjobs.relevant_changes_all(pages, commits)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
