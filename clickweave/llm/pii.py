@@ -49,28 +49,81 @@ _BYTE = r"^0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"
 _LETTER = r"\p{L}\p{M}"
 _BETWEEN = rf"[^{_LETTER}0-9]{{1,4}}+"
 _CONTEXT = rf"(?<![{_LETTER}])[{_LETTER}]++{_BETWEEN}[A-Za-z._+-]*+[0-9][A-Za-z0-9._+-]*+"
-_BEFORE = rf"(?<![{_LETTER}])([{_LETTER}]++){_BETWEEN}$"
-#: Characters before a base span in which its word is looked for.
+_BEFORE = rf"[^{_LETTER}]([{_LETTER}]++){_BETWEEN}$"
+#: Characters before a base span in which its word is looked for; longer words are no patterns.
 _REACH = 80
 _INSTANCE = r"([A-Za-z._+-]*[0-9](?:[A-Za-z0-9._+-]*[A-Za-z0-9])?)([._+-]*)$"
 
 _SPANS = "array<struct<start: bigint, stop: bigint, hit: string>>"
 
 
+#: Elements that a fold puts into one array before it begins another: appending copies an array.
+_BLOCK = 64
+#: Characters of the pieces a text is cut into, so that a place in it is found without counting from its start.
+_PIECE = 512
+
+
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _folded(items: Column, carry: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """What ``step`` gives for each of ``items`` (arrays of ``kind``, one after the other), and the last carry, as
+    ``out`` and ``carry``. ``step`` takes the carry and an item and gives the next carry and the array.
+    Arrays grow in blocks, so the work is in proportion to the items."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def add(state: Column, item: Column) -> Column:
+        following, more = step(state["carry"], item)
+        return F.struct(following.alias("carry"), F.concat(state["out"], more).alias("out"))
+
+    def over(all_items: Column) -> Column:
+        block = lambda i: F.slice(all_items, i * _BLOCK + 1, F.lit(_BLOCK))
+        last = F.floor((F.size(all_items) - 1) / _BLOCK).cast("int")
+        blocks = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        # First what each block begins with, then the blocks by themselves.
+        carries = F.aggregate(
+            blocks, F.array(carry),
+            lambda s, i: F.array_append(s, F.aggregate(block(i), F.element_at(s, -1), lambda c, item: step(c, item)[0])),
+        )
+
+        def outputs(begins: Column) -> Column:
+            start = lambda i: F.struct(F.element_at(begins, i + 1).alias("carry"), none.alias("out"))
+            out = F.transform(blocks, lambda i: F.aggregate(block(i), start(i), add)["out"])
+            return F.struct(F.element_at(begins, -1).alias("carry"), F.flatten(out).alias("out"))
+
+        return _bound(carries, outputs)
+
+    return _bound(items, over)
+
+
+def _pieces(text: Column) -> Column:
+    """The text cut into pieces of ``_PIECE`` characters."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_PIECE}}}"), F.lit(0))
+
+
+def _part(pieces: Column, start: Column, stop: Column) -> Column:
+    """The characters from ``start`` to before ``stop`` of a text in pieces."""
+    first = F.floor(start / _PIECE).cast("int")
+    n = F.floor(stop / _PIECE).cast("int") - first + 1
+    near = F.array_join(F.slice(pieces, first + 1, n), "")
+    return F.substr(near, (start - first * _PIECE + 1).cast("int"), (stop - start).cast("int"))
+
+
 def matches(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
     """Leftmost non-overlapping matches with their places, those that ``keep`` accepts."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPANS).alias("out"))
+    # The text after the last match has none.
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("between"), hits.alias("hit"))
 
-    def add(state: Column, pair: Column) -> Column:
-        first = state["at"] + F.length(pair["between"])
-        stop = first + F.length(pair["hit"])
+    def step(at: Column, pair: Column) -> tuple[Column, Column]:
+        first = at + F.length(pair["between"])
+        stop = first + F.coalesce(F.length(pair["hit"]), F.lit(0))
         span = F.struct(first.alias("start"), stop.alias("stop"), pair["hit"].alias("hit"))
-        return F.struct(stop.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+        return stop, F.when(pair["hit"].isNotNull(), F.array(span)).otherwise(F.array().cast(_SPANS))
 
-    pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(hits)).alias("between"), hits.alias("hit"))
-    found = F.aggregate(pairs, start, add, lambda s: s["out"])
+    found = _folded(pairs, F.lit(0).cast("bigint"), "struct<start: bigint, stop: bigint, hit: string>", step)["out"]
     return F.filter(found, lambda s: keep(s["hit"])) if keep else found
 
 
@@ -116,11 +169,16 @@ def _contexts(text: Column, base: Column) -> Column:
             start.alias("start"), stop.alias("stop"), F.lit(seed).alias("seed"),
         )
 
-    def of_base(span: Column) -> Column:
-        first = F.greatest(span["start"] - _REACH, F.lit(0).cast("bigint"))
-        before = F.substr(t, (first + 1).cast("int"), (span["start"] - first).cast("int"))
-        instance = F.lower(F.regexp_replace(span["hit"], r"[\x20()-]", ""))
-        return context(F.regexp_extract(before, _BEFORE, 1), instance, span["start"], span["stop"], True)
+    def of_base(pieces: Column) -> Callable[[Column], Column]:
+        def one(span: Column) -> Column:
+            first = F.greatest(span["start"] - _REACH, F.lit(0).cast("bigint"))
+            before = _part(pieces, first, span["start"])
+            # A word that reaches the first of many characters may have begun before it.
+            before = F.when(first > 0, before).otherwise(F.concat(F.lit(" "), before))
+            instance = F.lower(F.regexp_replace(span["hit"], r"[\x20()-]", ""))
+            return context(F.regexp_extract(before, _BEFORE, 1), instance, span["start"], span["stop"], True)
+
+        return one
 
     def of_token(span: Column) -> Column:
         stop = span["stop"] - F.length(F.regexp_extract(span["hit"], _INSTANCE, 2))
@@ -128,9 +186,35 @@ def _contexts(text: Column, base: Column) -> Column:
         word = F.regexp_extract(span["hit"], f"^[{_LETTER}]+", 0)
         return context(word, instance, stop - F.length(instance), stop, False)
 
-    free = lambda c: ~F.exists(base, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
-    seeds = F.filter(F.transform(base, of_base), lambda c: c["pattern"] != "")
-    return F.concat(seeds, F.filter(F.transform(matches(t, _CONTEXT), of_token), free))
+    def split(spans: Column) -> Column:
+        seeds = _bound(_pieces(t), lambda pieces: F.transform(spans, of_base(pieces)))
+        seeds = F.filter(seeds, lambda c: c["pattern"] != "")
+        tokens = F.transform(matches(t, _CONTEXT), of_token)
+        return F.when(F.size(spans) == 0, tokens).otherwise(F.concat(seeds, _apart(tokens, spans)))
+
+    return _bound(base, split)
+
+
+def _apart(tokens: Column, spans: Column) -> Column:
+    """The tokens that overlap none of ``spans``. Both are gone through by start, once forwards with the end of
+    the spans so far, once backwards with the start of the next one."""
+    kind = "struct<start: bigint, side: int, token: struct<pattern: string, instance: string, start: bigint, stop: bigint, seed: boolean>, stop: bigint>"
+    row = lambda c, side, token: F.struct(c["start"].alias("start"), F.lit(side).alias("side"), token.alias("token"), c["stop"].alias("stop"))
+    none = F.lit(None).cast("struct<pattern: string, instance: string, start: bigint, stop: bigint, seed: boolean>")
+    mixed = F.concat(F.transform(spans, lambda s: row(s, 0, none)), F.transform(tokens, lambda c: row(c, 1, c)))
+    empty = F.array().cast(f"array<{kind}>")
+
+    def forwards(reach: Column, e: Column) -> tuple[Column, Column]:
+        kept = (e["side"] == 0) | (reach <= e["start"])
+        return F.when(e["side"] == 0, F.greatest(reach, e["stop"])).otherwise(reach), F.when(kept, F.array(e)).otherwise(empty)
+
+    def backwards(following: Column, e: Column) -> tuple[Column, Column]:
+        kept = (e["side"] == 1) & (e["stop"] <= following)
+        return F.when(e["side"] == 0, e["start"]).otherwise(following), F.when(kept, F.array(e)).otherwise(empty)
+
+    first = _folded(F.array_sort(mixed), F.lit(0).cast("bigint"), kind, forwards)["out"]
+    left = _folded(F.reverse(first), F.lit(2**62).cast("bigint"), kind, backwards)["out"]
+    return F.transform(F.reverse(left), lambda e: e["token"])
 
 
 def _places(texts: DataFrame) -> DataFrame:
@@ -194,19 +278,20 @@ def redact(
     found = _with_contextual(scanned, scanned, least_score, least_support)
     kinds = [*KINDS, CONTEXTUAL]
     named = [_with_kind(k) for k in kinds]
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
+    none = F.array().cast("array<string>")
 
-    def add(state: Column, s: Column) -> Column:
-        gap = F.substr(F.col("text"), (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
-        mark = F.concat(F.lit("<"), s["kind"], F.lit(">"))
-        more = F.when(s["start"] >= state["at"], F.array(gap, mark)).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.concat(state["out"], more).alias("out"))
+    def cleaned(pieces: Column) -> Column:
+        def step(at: Column, s: Column) -> tuple[Column, Column]:
+            mark = F.concat(F.lit("<"), s["kind"], F.lit(">"))
+            more = F.when(s["start"] >= at, F.array(_part(pieces, at, s["start"]), mark)).otherwise(none)
+            return F.greatest(at, s["stop"]), more
 
-    rest = lambda state: F.concat(
-        F.array_join(state["out"], ""), F.substr(F.col("text"), (state["at"] + 1).cast("int"))
-    )
-    spans = F.sort_array(F.concat(*named))
-    clean = F.when(F.size(spans) == 0, F.col("text")).otherwise(F.aggregate(spans, start, add, rest))
+        done = _folded(F.sort_array(F.concat(*named)), F.lit(0).cast("bigint"), "string", step)
+        rest = lambda d: F.concat(F.array_join(d["out"], ""), _part(pieces, d["carry"], F.length("text").cast("bigint")))
+        return _bound(done, rest)
+
+    spans = F.size(F.concat(*KINDS, CONTEXTUAL))
+    clean = F.when(spans == 0, F.col("text")).otherwise(_bound(_pieces(F.col("text")), cleaned))
     return found.withColumn("clean", clean).select(
         *[(F.col("clean") if c == text_col else F.col("kept")[c]).alias(c) for c in docs.columns]
     )
