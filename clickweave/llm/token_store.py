@@ -200,7 +200,9 @@ def read_tokens(manifest: DataFrame, wanted: set[int] | None = None) -> DataFram
     earlier = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("path", "file_no", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).alias("before"))
     ddl = "doc_id bigint, file_no int, place bigint, n_tokens bigint, ids_crc32 bigint, ids binary"
-    return files.repartition(F.col("file_no")).mapInArrow(_read_files(wanted), ddl)
+    # A row of the manifest is a whole file to read, so adaptive execution must not join them by size.
+    n_files = max(1, manifest.count())
+    return files.repartition(n_files, "file_no").mapInArrow(_read_files(wanted), ddl)
 
 
 def document_starts(manifest: DataFrame) -> DataFrame:
