@@ -12,7 +12,7 @@ fill. After each epoch the islands' best solutions are sent to the next island o
 A group that reaches its lower bound (total length, rounded up) is finished and costs no
 further generation. Sequences that a group leaves open (less than ``OPEN`` full) are opened
 and their pieces dealt and evolved again with those of the other groups, until one group
-is enough for what is open.
+is enough for what is open, or a round has left no fewer groups than it was given.
 
 Defined results: a null or empty text is the end id alone. Repeated rows and null ids are
 packed like others; an empty table gives no rows.
@@ -43,7 +43,6 @@ EPOCHS = 2
 GENERATIONS = 6
 POPULATION = 4
 OPEN = 0.97
-ROUNDS = 3
 
 PIECES = "item bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _PIECES = pa.schema(
@@ -217,11 +216,12 @@ def pack(
     pieces = materialise(rows.mapInArrow(_pieces(tokenizer, end_id, length), PIECES), "pieces")
     full = pieces.filter(F.col("length") == length)
     placed = full.select("item", (-F.col("item") - 1).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
-    left, round_no = pieces.filter(F.col("length") < length).select("item", "length"), 0
-    while (n := left.count()) and round_no < ROUNDS:
+    left, round_no, before = pieces.filter(F.col("length") < length).select("item", "length"), 0, None
+    while n := left.count():
         groups = max(1, -(-n // GROUP))
         found = materialise(_evolved(left, groups, length, round_no), f"packed-{round_no}")
-        last = groups == 1 or round_no + 1 == ROUNDS
+        last = groups == 1 or (before is not None and groups >= before)
+        before = groups
         closed = found if last else found.filter(F.col("fill") >= OPEN * length)
         # Numbers of rounds, groups and sequences side by side.
         number = F.lit(round_no << 60) + F.shiftleft(F.col("grp"), 20) + F.col("bin")
