@@ -44,7 +44,9 @@ from clickweave.llm.tokens import Encoder, Remembered, sure_parts
 #: Characters of a chunk; a longer document is a chunk of its own.
 CHUNK = 4_000_000
 #: Parts remembered with their alignment, in each of two generations.
-LIMIT = 100_000
+LIMIT = 60_000
+#: Rows of a batch that are Python texts at once.
+ROWS = 500
 #: Unknown parts that are aligned together.
 AT_A_TIME = 20_000
 #: Elements of the shorter list that gallop one after the other; blocks do so side by side.
@@ -411,7 +413,7 @@ def _chunks(byte_level: str, pieces: str, size: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, known = _tokenizers(byte_level, pieces)
         chunk, ids, texts, chars = TaskContext.get().partitionId() << 32, [], [], 0
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if ids and chars + len(text or "") > size:
                     yield _chunk_row(chunk, ids, texts, tok, known)
