@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from clickweave import schemas
 from clickweave.functions import scalars as S
-from clickweave.operators import asof, behavior, deploy, experiments, history, ingest, quota, site, textjobs
-from clickweave.operators.timeframe import ALL_TIME, Timeframe, deploy_windows
+from clickweave.functions import stats
+from clickweave.operators import asof, behavior, daily, deploy, experiments, history, ingest, quota, site, textjobs
+from clickweave.operators.timeframe import ALL_TIME, Timeframe, deploy_windows, preset_timeframe
 from clickweave.session import scratch_dir
 from clickweave.plans import jobs
 from clickweave.sources import tables
@@ -32,6 +33,7 @@ MIDWAY = 1_705_276_800_000 + 3_600_000  # where the log is cut in two, within a
 # The interaction views compress a week into two minutes, so chunks shrink as well.
 CHUNK = 1_000
 HOUR_MS = 3_600_000
+NOW = 1_705_363_200_000
 VITAL_FIELDS = ["ttfb", "fcp", "lcp", "cls", "fid"]
 
 
@@ -47,8 +49,29 @@ def _on(*names: str):
 SPE = ("fx_sessions", "fx_page_views", "fx_events")
 
 
+def _from_partials(tf: Timeframe) -> Query:
+    """The report from daily partials that were stored before."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = scratch_dir(spark, "daily")
+        daily.write_daily(daily.daily_partials(*[view(spark, sf_dir, n) for n in SPE]), root)
+        return daily.site_report_from_partials(daily.read_daily(spark, root), tf)
+
+    return run
+
+
 def _site() -> dict[str, Query]:
-    out: dict[str, Query] = {}
+    out: dict[str, Query] = {
+        "site_report_from_partials": _from_partials(WEEK),
+        "site_report_from_partials_all": _from_partials(ALL_TIME),
+        "site_total_visitors_7d": _on("fx_sessions")(lambda s: site.total_visitors(s, preset_timeframe("7d", NOW))),
+        "site_report_nested": _on(*SPE)(
+            lambda s, v, e: site.site_report_nested(site.site_report(s, v, e, WEEK)).select(
+                "total_visitors", "bounce_rate", "conversion_rate", F.size("country_breakdown").alias("n_countries"),
+                F.inline("top_pages"),
+            )
+        ),
+    }
     for suffix, tf in (("", ALL_TIME), ("_window", WEEK)):
         out |= {
             f"site_total_visitors{suffix}": _on("fx_sessions")(lambda s, tf=tf: site.total_visitors(s, tf)),
@@ -178,6 +201,7 @@ def _ingest() -> dict[str, Query]:
                 "ip_address", "country", "city", "latitude", "device_type", "ttfb", "cls",
             )
         ),
+        "event_time": _on("fx_requests")(_event_time),
         "ingest_explode_batch": raw(_explode_batch),
         "ingest_explode_batch_refused": raw(_explode_batch_refused),
         "ingest_rejects": raw(lambda r: ingest.rejects(r).select("session_id", "seq", "ts", "reason", "status")),
@@ -255,6 +279,29 @@ def _deployments_evolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _ensured_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that is created if absent, asked for twice, with rows appended to its folder."""
+    root = scratch_dir(spark, "ensured")
+    name = f"deployment_metrics_{root.rsplit('-', 1)[1]}"
+    for _ in range(2):
+        tables.ensure_table(spark, name, schemas.DEPLOYMENTS, f"{root}/deployment_metrics")
+    tables.append_deployments(view(spark, sf_dir, "fx_deploy_history"), root)
+    spark.catalog.refreshTable(name)
+    return spark.table(name).select("id", "deploy_time", "environment", "commit_sha", "total_visitors", "total_sessions")
+
+
+def _event_time(requests: DataFrame) -> DataFrame:
+    """The time of a record whose client may have stamped it."""
+    stamp = F.when(F.col("seq") % 3 == 0, F.lit(0)).when(F.col("seq") % 3 == 1, F.col("arrival") - 5).cast("bigint")
+    return requests.select("seq", S.event_time(stamp, F.col("arrival")).alias("event_time"))
+
+
+def _standard_errors(sessions: DataFrame) -> DataFrame:
+    rates = experiments.variant_counts(sessions).withColumn("rate", S.ratio(F.col("conversions"), F.col("visitors")))
+    se = stats.standard_error(F.col("rate"), F.col("visitors"))
+    return rates.select("segment", "variant", "visitors", S.fixed(se, 6).alias("standard_error"))
+
+
 def _deployment_record(deploys: DataFrame, s: DataFrame, v: DataFrame) -> DataFrame:
     one = deploys.filter(F.col("deploy_time") == DEPLOY_TIME)
     return deploy.deployment_record(one, deploy.window_comparison(s, v, DEPLOY_TIME))
@@ -273,6 +320,7 @@ def _deploy() -> dict[str, Query]:
         "stored_events": _stored("events"),
         "stored_window_metrics": _stored_window,
         "deployments_evolved": _deployments_evolved,
+        "ensured_table": _ensured_table,
         "page_window_metrics": v(lambda v: deploy.page_window_metrics(v, DAY)),
         "bounced_sessions": sv(lambda s, v: deploy.bounced_sessions(s, v, DAY)),
         "window_metrics": sv(lambda s, v: deploy.window_metrics(s, v, DAY)),
@@ -349,6 +397,7 @@ def _behavior() -> dict[str, Query]:
             )
         ),
         "ab_test": _on("fx_ab")(lambda a: experiments.ab_test(a, CONTROL)),
+        "standard_error": _on("fx_ab")(_standard_errors),
         "sample_size": _on("fx_ab")(lambda a: experiments.sample_sizes(a, SIZE_LEVELS)),
     }
 

@@ -110,6 +110,20 @@ def _site() -> dict[str, str]:
         out |= {f"site_{k}{suffix}": oracle(views, sql) for k, sql in parts.items()}
         out[f"site_report_long{suffix}"] = oracle(views, _report(parts))
     report = _report(_site_sql(C.WEEK))
+    out["site_report_from_partials"] = oracle(views, report)
+    out["site_report_from_partials_all"] = oracle(views, _report(_site_sql(ALL_TIME)))
+    out["site_total_visitors_7d"] = oracle(
+        ["fx_sessions"], f"""SELECT count(DISTINCT session_id) AS total_visitors FROM fx_sessions
+        WHERE start_time BETWEEN {C.NOW - 7 * DAY_MS} AND {C.NOW}"""
+    )
+    one = lambda section: f"(SELECT max(value) FROM r WHERE section = '{section}')"
+    out["site_report_nested"] = oracle(
+        views,
+        f"""r AS ({report}) SELECT CAST({one("total_visitors")} AS BIGINT) AS total_visitors, {one("bounce_rate")} AS bounce_rate,
+        {one("conversion_rate")} AS conversion_rate,
+        CAST((SELECT count(*) FROM r WHERE section = 'country_breakdown') AS INTEGER) AS n_countries,
+        key AS page, CAST(value AS BIGINT) AS views FROM r WHERE section = 'top_pages'""",
+    )
     out["display_kpis"] = oracle(
         views,
         f"""SELECT section, CASE WHEN section = 'device_breakdown' THEN concat(upper(key[1]), key[2:]) ELSE key END AS key,
@@ -223,6 +237,10 @@ def _ingest() -> dict[str, str]:
             {_device("user_agent", "device_hint")} AS device_type, {_float("ttfb")} AS ttfb, {_float("cls")} AS cls
             FROM fx_requests""",
         ),
+        "event_time": oracle(
+            ["fx_requests"],
+            "SELECT seq, CASE WHEN seq % 3 = 1 AND arrival <> 5 THEN arrival - 5 ELSE arrival END AS event_time FROM fx_requests",
+        ),
         "ingest_explode_batch": oracle(
             ["fx_raw"],
             f"""SELECT session_id, seq // {C.BATCH_SIZE} AS batch_no,
@@ -410,6 +428,11 @@ def _deploy() -> dict[str, str]:
         "stored_page_views": oracle(["fx_page_views"], "SELECT * FROM fx_page_views"),
         "stored_events": oracle(["fx_events"], "SELECT * FROM fx_events"),
         "stored_window_metrics": oracle(spv, _window(d)),
+        "ensured_table": oracle(
+            ["fx_deploy_history"],
+            """SELECT id, deploy_time, environment, commit_sha, total_visitors, CAST(NULL AS BIGINT) AS total_sessions
+            FROM fx_deploy_history""",
+        ),
         "deployments_evolved": oracle(
             ["fx_deploys", "fx_deploy_history"],
             """SELECT id, deploy_time, deploy_time - build_time AS deployment_duration, status, environment, commit_sha,
@@ -682,6 +705,12 @@ def _behavior() -> dict[str, str]:
             ms - ms % {C.QUOTA_INTERVAL_MS} AS window_start FROM fx_base) q""",
         ),
         "ab_test": _ab_test(),
+        "standard_error": oracle(
+            ["fx_ab"],
+            f"""SELECT segment, variant, visitors, {fixed("sqrt(rate * (1 - rate) / visitors)", 6)} AS standard_error FROM (
+            SELECT segment, variant, count(*) AS visitors, CAST(sum(converted) AS DOUBLE) / count(*) AS rate
+            FROM fx_ab GROUP BY segment, variant) q""",
+        ),
         "sample_size": _sizes(),
     }
 

@@ -97,3 +97,33 @@ def test_labels(tables):
     assert labels["avg_time_spent_seconds", None] == "3s"
     assert labels["click_through_rates", "x"] == "2 (50.0%)"
     assert labels["device_breakdown", "Mobile"] == "2"
+
+
+def test_report_from_partials_with_sessions_over_days(spark, table):
+    """Sessions that span days, views on the first instant of a day, and no read of views or events."""
+    from clickweave.operators import daily
+    from clickweave.operators.timeframe import DAY_MS, Timeframe
+    from clickweave.session import scratch_dir
+
+    day = DAY_MS
+    sessions = table(
+        "session_id string, start_time long, device_type string, country string",
+        ("a", 5, "mobile", None), ("b", day, None, "DE"), ("c", day + 9, "mobile", "DE"), ("d", 2 * day, "x", "FR"), ("e", 3 * day, "x", "FR"),
+    )
+    views = table(
+        "id long, session_id string, page string, timestamp long",
+        (1, "a", "/", 6), (2, "a", "/", day + 1), (3, "a", "/x", 2 * day), (4, "b", "/", day), (5, "c", "/x", day + 10),
+        (6, "c", None, day + 500), (7, "d", "/", 2 * day), (8, "d", "/", 2 * day + 3), (9, "z", "/q", day + 2), (10, "z", "/q", 3 * day),
+    )
+    events = table(
+        "session_id string, event_name string, element string, timestamp long",
+        ("a", "click", "e1", 7), ("b", "conversion", None, day), ("d", "click", None, 2 * day), ("d", "conversion", None, 9 * day),
+    )
+    root = scratch_dir(spark, "daily")
+    daily.write_daily(daily.daily_partials(sessions, views, events), root)
+    stored = daily.read_daily(spark, root)
+    for tf in (Timeframe(None, None), Timeframe(day, 2 * day), Timeframe(day, None), Timeframe(None, day), Timeframe(7 * day, 8 * day)):
+        got = daily.site_report_from_partials(stored, tf)
+        expected = site.site_report(sessions, views, events, tf)
+        assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect())), tf
+        assert all(root in f for f in got.inputFiles())
