@@ -5,8 +5,10 @@ streamed through it once: after every word it is known how long the longest run
 is that ends there and occurs in some template (the matching statistics). A base phrase is
 found wherever its own state is on the suffix path of that run; runs of at least
 ``LEAST_RUN`` words that cannot be extended are matches, and matches whose places in a
-template go in the same direction are chained into the span of the template they cover.
-A template of which at least ``LEAST_COVER`` is covered gives its label.
+template go in the same direction, at most ``GAP`` words apart, are chained so that as many words
+as possible of the template are covered. Every chain that covers ``LEAST_COVER`` of a template is a
+span and gives its label, so a text with two notices has two spans; where none does, the best one is
+a span without a label.
 
 Words that occur in no template reset the automaton, so they are skipped without a step;
 one pass over the corpus, no shuffle. The automaton has at most two states a template
@@ -18,7 +20,6 @@ Every row is judged by its own text, so repeated rows, ties and null ids are no
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -131,7 +132,7 @@ class Automaton:
             self.link[new] = q if self.size[q] == self.size[p] + 1 else self._clone(p, q, word)
         return new
 
-    def add(self, template: int, words: list[bytes]) -> None:
+    def add(self, words: list[bytes]) -> None:
         state = 0
         for word in words:
             state = self._extend(state, word)
@@ -153,6 +154,37 @@ class Automaton:
         return state
 
 
+def chains(found: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, int]]:
+    """(start, stop, words covered) of the best chains of matches (place in the text, place in the template,
+    length; in order) of a template of ``size`` words.
+
+    For every match the best chain that ends with it is found by dynamic programming: it goes on from a
+    match that begins earlier in both and ends at most ``GAP`` words before it; words that both have
+    count once. Chains are then taken by words covered, each match and place of the text once.
+    """
+    covered, before, first = [0] * len(found), [-1] * len(found), 0
+    for j, (start, at, length) in enumerate(found):
+        while found[first][0] + size + GAP < start:
+            first += 1
+        covered[j] = length
+        for i in range(first, j):
+            s, t, n = found[i]
+            if s < start and t < at and start <= s + n + GAP:
+                new = length - max(s + n - start, t + n - at, 0)
+                if new > 0 and covered[i] + new > covered[j]:
+                    covered[j], before[j] = covered[i] + new, i
+    out = []
+    for j in sorted(range(len(found)), key=lambda j: (-covered[j], found[j])):
+        if out and covered[j] < LEAST_COVER * size:
+            break
+        start, stop, i = found[j][0], found[j][0] + found[j][2], j
+        while i >= 0:
+            start, i = found[i][0], before[i]
+        if all(stop <= a or b <= start for a, b, _ in out):
+            out.append((start, stop, covered[j]))
+    return out
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], phrases: dict[str, str]) -> None:
         texts = [(label, plain_words(t.encode())) for label, t in templates.items()]
@@ -160,8 +192,8 @@ class Scanner:
         self.labels = [label for label, _ in texts]
         self.sizes = [len(words) for _, words in texts]
         self.automaton = a = Automaton()
-        for i, (_, words) in enumerate([*texts, *bases]):
-            a.add(i, words)
+        for _, words in [*texts, *bases]:
+            a.add(words)
         for i, (_, words) in enumerate(texts):
             a.locate(i, words)
         #: Per state the base phrases on its suffix path: (length, label).
@@ -172,9 +204,7 @@ class Scanner:
         for state in sorted(range(len(a.size)), key=a.size.__getitem__):
             if state:
                 self.phrases[state] = own.get(state, []) + self.phrases[a.link[state]]
-        vocabulary = sorted({w for step in a.next for w in step})
-        self.known = re.compile(rb"(?<![0-9a-z\x80-\xff])(?:" + b"|".join(vocabulary) + rb")(?![0-9a-z\x80-\xff])")
-        self.vocabulary = frozenset(vocabulary)
+        self.vocabulary = frozenset(w for step in a.next for w in step)
 
     def statistics(self, words: list[bytes]):
         """(end, state, length) after every word that goes on some run of a template."""
@@ -201,20 +231,9 @@ class Scanner:
                     by_template.setdefault(template, []).append((end - length, at - length, length))
         spans = []
         for template, found in by_template.items():
-            best: tuple[float, int, int] = (0.0, 0, 0)
-            chains: list[list[int]] = []  # [start, stop in the text, stop in the template, words covered]
-            for start, at, length in sorted(found):
-                fits = [c for c in chains[-8:] if c[2] <= at and c[1] <= start <= c[1] + GAP]
-                if fits:
-                    chain = max(fits, key=lambda c: c[3])
-                    chain[1:] = [start + length, at + length, chain[3] + length]
-                else:
-                    chain = [start, start + length, at + length, length]
-                    chains.append(chain)
-                cover = chain[3] / self.sizes[template]
-                best = max(best, (min(1.0, cover), -chain[0], chain[1]))
-            if best[0] > 0:
-                spans.append({"label": self.labels[template], "start": -best[1], "stop": best[2], "cover": best[0]})
+            for start, stop, words in chains(sorted(found), self.sizes[template]):
+                cover = min(1.0, words / self.sizes[template])
+                spans.append({"label": self.labels[template], "start": start, "stop": stop, "cover": cover})
         return sorted(spans, key=lambda s: (s["start"], s["label"]))
 
     def scan(self, text: bytes) -> dict:
