@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickweave.functions import scalars as S
-from clickweave.operators.running import CHUNK_MS, Running, running, time_chunk
+from clickweave.operators.running import CHUNK_MS, Running, Scan, running, running_steps, time_chunk
 from clickweave.operators.site import CONVERSION
 from clickweave.operators.timeframe import DAY_MS, Timeframe, deploy_windows, in_timeframe
 
@@ -349,7 +349,7 @@ def rollup_all_deployments(
     bounce, or has converted; the differences are the steps. The time between two
     successive views counts while both are in the window.
     """
-    moves = (
+    facts = (
         views.filter(F.col("session_id").isNotNull())
         .select("session_id", F.col("timestamp").alias("at"), F.lit(1).alias("v"), F.lit(0).alias("c"))
         .unionByName(
@@ -357,29 +357,30 @@ def rollup_all_deployments(
                 "session_id", F.col("timestamp").alias("at"), F.lit(0).alias("v"), F.lit(1).alias("c")
             )
         )
-        .groupBy("session_id", "at")
-        .agg(F.sum("v").alias("v"), F.sum("c").alias("c"))
-        .select("session_id", F.inline(_enter_leave(F.col("at"), width, v=F.col("v"), c=F.col("c"))))
-        .groupBy("session_id", "t")
-        .agg(
-            F.sum("v").alias("v"),
-            F.sum("c").alias("c"),
-            # A view at this very moment enters, even if another one leaves.
-            F.max(F.when(F.col("v") > 0, F.col("t"))).alias("opened"),
-        )
     )
     c = F.col
-    state = running(
-        moves,
-        ["session_id"],
-        ["t"],
-        [
-            Running("views", "sum", c("v")),
-            Running("conversions", "sum", c("c")),
-            Running("last_view", "last", c("opened"), inclusive=False),
-        ],
-        time_chunk(c("t"), chunk_ms),
-    )
+    values = [
+        Running("views", "sum", c("v")),
+        Running("conversions", "sum", c("c")),
+        Running("last_view", "last", c("opened"), inclusive=False),
+    ]
+
+    def counted(part: DataFrame, scan: Scan) -> DataFrame:
+        moves = (
+            part.groupBy("session_id", "at")
+            .agg(F.sum("v").alias("v"), F.sum("c").alias("c"))
+            .select("session_id", F.inline(_enter_leave(F.col("at"), width, v=F.col("v"), c=F.col("c"))))
+            .groupBy("session_id", "t")
+            .agg(
+                F.sum("v").alias("v"),
+                F.sum("c").alias("c"),
+                # A view at this very moment enters, even if another one leaves.
+                F.max(F.when(F.col("v") > 0, F.col("t"))).alias("opened"),
+            )
+        )
+        return scan(moves, values)
+
+    state = running_steps(facts, ["session_id"], ["t"], time_chunk(c("t"), chunk_ms), counted, gathered=True)
     was_views, was_conversions = c("views") - c("v"), c("conversions") - c("c")
 
     def step(now: Column, before: Column) -> Column:

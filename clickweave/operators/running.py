@@ -133,9 +133,12 @@ def running_steps(
     chunk: Column,
     steps: Callable[[DataFrame, Scan], DataFrame],
     initial: DataFrame | None = None,
+    gathered: bool = False,
 ) -> DataFrame:
     """Apply ``steps(part, scan)`` to ordinary and to hot keys. ``scan(df, values)`` adds
-    running values in the way that suits the part and may be used several times."""
+    running values in the way that suits the part and may be used several times. With ``gathered``
+    the rows of ordinary keys lie together from the start, so that aggregates by key and more,
+    before the first scan, stay where they are."""
     by_chunk = _by_chunk(keys, order, chunk, initial)
     if not keys:
         return steps(df, by_chunk)
@@ -143,6 +146,8 @@ def running_steps(
     hot = F.broadcast(hot_keys(df, keys).select(*[F.col(k).alias(f"__hot_{k}") for k in keys]))
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__hot_{k}")) for k in keys])
     ordinary, busy = df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
+    if gathered:
+        ordinary = ordinary.repartition(*keys)
     return steps(ordinary, _by_key(keys, order, initial)).unionByName(steps(busy, by_chunk))
 
 
