@@ -15,24 +15,11 @@ from clickweave.functions import texts as X
 from clickweave.operators.history import KPIS, deployment_deltas, last_deployments
 from clickweave.operators.running import Running, running
 
-# Number of recent commits, defaults of a reply, the change types, and the
-# headings of the page context.
+# Number of recent commits, defaults of a reply, and the headings of the page context.
 RECENT_K = 3
 DEFAULT_CONFIDENCE = 0.5
 DEFAULT_REASONING = "No reasoning provided"
 UNDEFINED = "undefined"
-CHANGE_TYPES = (
-    "TEXT_CHANGE",
-    "SPACING",
-    "PLACEMENT_CHANGE",
-    "COLOR_CHANGE",
-    "SIZE_CHANGE",
-    "VISIBILITY_CHANGE",
-    "ANIMATION_CHANGE",
-    "CTA_CHANGE",
-    "LAYOUT_CHANGE",
-    "RESPONSIVE_CHANGE",
-)
 HEADINGS = {
     "page": "Main File: ",
     "components": "Component Files: ",

@@ -6,14 +6,24 @@ operators use running values, pre-aggregation or step sums.
 
 from __future__ import annotations
 
-from clickweave.functions import scalars, stats, texts
-from clickweave.operators import ingest as ingest_ops
-from clickweave.operators.deploy import ENGAGED_THRESHOLD
 from clickweave.operators.timeframe import ALL_TIME, DAY_MS, Timeframe, deploy_windows
 from clickweave.plans import catalog as C
 from clickweave.sources.fixtures import oracle
 from clickweave.streaming import queries as streams
 
+# Fixed values, stated here apart from the code they test: leading numbers, refusals, when a view is
+# engaged, z values of confidence levels, the error function's coefficients, import lines, starts of code.
+INT_PREFIX = r"^\s*([+-]?[0-9]+)"
+FLOAT_PREFIX = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
+MISSING_SESSION, INVALID_SESSION = "Missing required session ID", "Invalid session"
+ENGAGED_ABOVE = 10
+Z = {0.80: 1.28, 0.85: 1.44, 0.90: 1.645, 0.95: 1.96, 0.99: 2.576, 0.999: 3.291}
+OTHER_Z = 1.96
+ERF = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+ERF_T = 0.3275911
+IMPORT_LINE = r"""import\s+(?:\{[^}]+\}|\w+)\s+from\s+['"]([^'"]+)['"]"""
+CODE_START = r"(?i)((?:import|export|class|function|const|let|var|/\*|//|<!DOCTYPE|<\?|<html)[\s\S]*)"
+
 
 def fixed(x: str, places: int) -> str:
     return f"CAST(round(CAST({x} AS DECIMAL(20,8)), {places}) AS DOUBLE)"
@@ -186,7 +196,7 @@ def _device(ua: str, hint: str = "NULL") -> str:
 
 
 def _float(x: str) -> str:
-    return f"TRY_CAST(nullif(regexp_extract({x}, '{scalars.FLOAT_PREFIX}', 1), '') AS DOUBLE)"
+    return f"TRY_CAST(nullif(regexp_extract({x}, '{FLOAT_PREFIX}', 1), '') AS DOUBLE)"
 
 
 def _mixed(select: str) -> str:
@@ -231,7 +241,7 @@ def _ingest() -> dict[str, str]:
             ["fx_requests"],
             f"""SELECT session_id, seq, arrival AS ts, nullif(event, '') AS event, nullif(page, '') AS page,
             nullif(scroll_depth, '') AS scroll_depth, nullif(element, '') AS element,
-            TRY_CAST(nullif(regexp_extract(time_spent, '{scalars.INT_PREFIX}', 1), '') AS BIGINT) AS time_spent,
+            TRY_CAST(nullif(regexp_extract(time_spent, '{INT_PREFIX}', 1), '') AS BIGINT) AS time_spent,
             coalesce(nullif(trim(split_part(forwarded_for, ',', 1)), ''), nullif(remote_ip, ''), 'unknown') AS ip_address,
             coalesce(nullif(country, ''), 'Unknown') AS country, 'Unknown' AS city, {_float("latitude")} AS latitude,
             {_device("user_agent", "device_hint")} AS device_type, {_float("ttfb")} AS ttfb, {_float("cls")} AS cls
@@ -250,12 +260,12 @@ def _ingest() -> dict[str, str]:
         ),
         "ingest_explode_batch_refused": oracle(
             ["fx_raw"],
-            f"""SELECT seq // {C.BATCH_SIZE} AS batch_no, max(ts) AS arrival, '{ingest_ops.MISSING_SESSION}' AS reason
+            f"""SELECT seq // {C.BATCH_SIZE} AS batch_no, max(ts) AS arrival, '{MISSING_SESSION}' AS reason
             FROM fx_raw WHERE session_id IS NULL GROUP BY seq // {C.BATCH_SIZE}""",
         ),
         "ingest_rejects": _fold(
-            f"""SELECT session_id, seq, ts, '{ingest_ops.MISSING_SESSION}' AS reason, 400 AS status FROM fx_raw WHERE {no_id}
-            UNION ALL SELECT session_id, seq, ts, '{ingest_ops.INVALID_SESSION}', 403 FROM g WHERE ok = 0"""
+            f"""SELECT session_id, seq, ts, '{MISSING_SESSION}' AS reason, 400 AS status FROM fx_raw WHERE {no_id}
+            UNION ALL SELECT session_id, seq, ts, '{INVALID_SESSION}', 403 FROM g WHERE ok = 0"""
         ),
         "ingest_gate_known": _fold(
             f"""SELECT session_id, seq, (event = 'session_start' OR session_id IN (SELECT session_id FROM starts)) AS passed
@@ -292,8 +302,8 @@ def _ingest() -> dict[str, str]:
             FROM a WHERE event NOT IN ('session_start', 'session_end')"""
         ),
         "ingest_two_logs_rejects": _fold(
-            f"""SELECT session_id, seq, ts, event, '{ingest_ops.MISSING_SESSION}' AS reason, 400 AS status FROM fx_raw WHERE {no_id}
-            UNION ALL SELECT session_id, seq, ts, event, '{ingest_ops.INVALID_SESSION}', 403 FROM g WHERE ok = 0"""
+            f"""SELECT session_id, seq, ts, event, '{MISSING_SESSION}' AS reason, 400 AS status FROM fx_raw WHERE {no_id}
+            UNION ALL SELECT session_id, seq, ts, event, '{INVALID_SESSION}', 403 FROM g WHERE ok = 0"""
         ),
         "fold_sessions": _fold("SELECT session_id, ts AS start_time, nullif(user_agent, '') AS user_agent FROM starts"),
         "fold_session_end": _fold(
@@ -329,7 +339,7 @@ def _ingest() -> dict[str, str]:
 
 def _page_metrics(tf: Timeframe) -> str:
     return f"""SELECT count(DISTINCT session_id) AS total_sessions, count(*) AS total_pageviews,
-        count(DISTINCT CASE WHEN time_spent > {ENGAGED_THRESHOLD} THEN session_id END) AS engaged_sessions,
+        count(DISTINCT CASE WHEN time_spent > {ENGAGED_ABOVE} THEN session_id END) AS engaged_sessions,
         {fixed("avg(time_spent)", 4)} AS avg_time_spent, {fixed("avg(fcp)", 4)} AS avg_fcp,
         {fixed("avg(lcp)", 4)} AS avg_lcp, {fixed("avg(cls)", 4)} AS avg_cls
         FROM fx_page_views WHERE timestamp BETWEEN {tf.lo} AND {tf.hi}"""
@@ -588,13 +598,13 @@ def _bursts(wait: int) -> str:
 
 
 def _z(level: str) -> str:
-    cases = " ".join(f"WHEN {k} THEN {v}" for k, v in stats.Z_SCORES.items())
-    return f"CASE CAST({level} AS DOUBLE) {cases} ELSE {stats.DEFAULT_Z} END"
+    cases = " ".join(f"WHEN {k} THEN {v}" for k, v in Z.items())
+    return f"CASE CAST({level} AS DOUBLE) {cases} ELSE {OTHER_Z} END"
 
 
 def _erf(x: str) -> str:
-    t = f"(1 / (1 + {stats.ERF_P}::DOUBLE * abs({x})))"
-    terms = " + ".join(f"({a}::DOUBLE) * pow({t}, {i + 1})" for i, a in enumerate(stats.ERF_COEFFICIENTS))
+    t = f"(1 / (1 + {ERF_T}::DOUBLE * abs({x})))"
+    terms = " + ".join(f"({a}::DOUBLE) * pow({t}, {i + 1})" for i, a in enumerate(ERF))
     return f"(CASE WHEN {x} < 0 THEN -1 ELSE 1 END * (1 - ({terms}) * exp(-({x}) * ({x}))))"
 
 
@@ -717,7 +727,7 @@ def _behavior() -> dict[str, str]:
 
 # --- text -----------------------------------------------------------------------
 
-IMPORTS = texts.IMPORT_LINE.replace("'", "''")
+IMPORTS = IMPORT_LINE.replace("'", "''")
 PAGE = """(path LIKE '%/pages/%' OR path LIKE '%/app/%' OR path LIKE '%/views/%' OR path LIKE '%/routes/%')
   AND path NOT LIKE '%/\\_%' ESCAPE '\\'"""
 # Import targets of every file. A resolved path drops the file name and one folder per
@@ -799,7 +809,7 @@ def _context() -> str:
 
 def _text() -> dict[str, str]:
     files, replies = ["fx_repo_files"], ["fx_replies"]
-    code = texts.CODE_START.replace("'", "''")
+    code = CODE_START.replace("'", "''")
     return {
         "page_files": oracle(files, f"SELECT path FROM fx_repo_files WHERE {PAGE}"),
         "page_files_suffix": oracle(files, f"SELECT path FROM fx_repo_files WHERE {PAGE} AND path LIKE '%page.tsx'"),
