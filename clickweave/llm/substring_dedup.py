@@ -1,20 +1,29 @@
-"""Substring deduplication by counted windows.
+"""Substring deduplication by a relative Lempel-Ziv parse in runs of windows.
 
 A *window* is ``WINDOW`` (35) consecutive words of a document; its words go if the same
-sequence also starts anywhere else. Windows are counted by hash; this stands in place of a
-relative Lempel-Ziv parse, which would extend longest matches in a reference text:
-
-1. *Anchors*: of every window the word 8-gram with the smallest hash is its anchor (the
-   rightmost among equals). Equal windows have equal anchors, so only windows whose anchor
-   occurs in two places can be duplicates. Anchors are counted by a shuffle.
-2. *Windows*: the remaining windows, a small part of the corpus, are counted by a 128-bit
-   hash of their words; those with two places or more are duplicates.
-3. *Spans*: the starts of duplicates come back to their documents, where overlapping and
-   adjoining windows are merged into spans.
-
-A passage that fills a third of the corpus is one key whose rows are pre-aggregated before
-the shuffle, and otherwise the larger side of sort-merge joins, which adaptive execution
-splits. A document's own hits are gathered as spans. Texts are moved twice, by row number.
+sequence also starts anywhere else. Documents are parsed against a reference made of the
+documents themselves:
+
+1. *Phrases*: of every window the word 8-gram with the smallest hash is its anchor (the
+   rightmost among equals). Consecutive windows with one anchor are a run; the words under a
+   run are a phrase. Equal windows have equal anchors, so runs whose anchor stands in one
+   place only are literals: nothing in them repeats. Anchors are counted by a shuffle.
+2. *Reference*: every distinct phrase once, with the number of its places, dealt to blocks by
+   anchor: whatever shares a window with a phrase lies in that phrase's block.
+3. *Factors*: a document is read phrase by phrase. A phrase that the reference has from
+   another place goes on with the factor, from whatever source; one that it has from this place
+   alone ends the factor.
+4. *Boundaries*: such a phrase may share some of its windows with others of its block, as where
+   a passage starts, ends or changes. Its windows are compared with those of all distinct phrases
+   of the block; those met add to the factors beside them.
+
+Factors are at least a window long by construction, and become the removed spans. Only a row
+for each phrase is moved, and windows of distinct phrases around boundaries alone. A passage that
+fills a third of the corpus is one phrase in the reference after partial aggregation, and otherwise
+the larger side of sort-merge joins, which adaptive execution splits.
+
+Words are compared by their 64-bit hashes, phrases by anchor and a second polynomial over these,
+windows by two polynomials; neither holds out against words made to collide.
 
 Defined results: a null or blank text has no words; texts shorter than a window lose
 nothing; repeated rows are duplicates of each other (all copies go); rows are told apart by
@@ -31,68 +40,96 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickweave.llm.common import BASE, WordHashes, gram_hashes, materialise, utf8, window_minima
+from clickweave.llm.common import BASE, WordHashes, gram_hashes, materialise, mixed, utf8, window_minima
 
 WINDOW = 35
 GRAM = 8
 SECOND_BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _anchors(window: int, gram: int) -> Callable:
-    """Anchor hashes of each document with the first and last window that each stands for."""
+#: Powers of ``SECOND_BASE`` and of its inverse mod 2**64, as long as the longest text met.
+_POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_POWERS["up"]) < n:
+        for name, base in (("up", int(SECOND_BASE)), ("down", pow(int(SECOND_BASE), -1, 1 << 64))):
+            factors = np.full(2 * n, base, np.uint64)
+            factors[0] = 1
+            _POWERS[name] = np.multiply.accumulate(factors)
+    return _POWERS["up"], _POWERS["down"]
+
+
+def phrase_hashes(words: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of the words ``first`` to ``stop`` (exclusive), whatever lies around them."""
+    up, down = _powers(len(words) + 1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(words * up[: len(words)], dtype=np.uint64)])
+    return mixed((sums[stop] - sums[first]) * down[first] ^ mixed((stop - first).astype(np.uint64)))
+
+
+def runs_of(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, first and last window, and phrase hash of the runs of a text's word hashes."""
+    grams = gram_hashes(words, gram)
+    at = window_minima(grams, window - gram + 1)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1]) if len(at) else np.empty(0, np.int64)
+    last = np.append(cuts[1:], len(at))[: len(cuts)] - 1
+    return grams[at[cuts]], cuts, last, phrase_hashes(words, cuts, last + window)
+
+
+def _phrases(window: int, gram: int) -> Callable:
+    """The runs of each document that has a window, as arrays."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            rows, firsts, lasts, keys = [], [], [], []
+            rows, parts = [], []
             for row, text in enumerate(utf8(batch.column(1))):
-                grams = gram_hashes(hashes(text.split()), gram)
-                at = window_minima(grams, window - gram + 1)
-                if len(at):
-                    cuts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
-                    keys.append(grams[at[cuts]].view(np.int64))
-                    firsts.append(cuts)
-                    lasts.append(np.concatenate([cuts[1:], [len(at)]]) - 1)
-                    rows.append(np.full(len(cuts), row, np.int64))
+                found = runs_of(hashes(text.split()), window, gram)
+                if len(found[0]):
+                    rows.append(row)
+                    parts.append(found)
             if rows:
-                columns = [np.concatenate(x) for x in (rows, keys, firsts, lasts)]
+                ends = pa.array(np.cumsum([0, *[len(p[0]) for p in parts]]), pa.int32())
+                anchor, first, last, phrase = (np.concatenate(x) for x in zip(*parts, strict=True))
+                columns = (anchor.view(np.int64), first.astype(np.int32), last.astype(np.int32), phrase.view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(columns[0])), pa.array(columns[1]), pa.array(columns[2].astype(np.int32)),
-                     pa.array(columns[3].astype(np.int32))],
-                    names=["row", "anchor", "first", "last"],
-                )
+                    [batch.column(0).take(pa.array(rows)), *[pa.ListArray.from_arrays(ends, pa.array(c)) for c in columns]],
+                    names=["row", "anchor", "first", "last", "phrase"],
+                )
 
     return run
 
 
 def _windows(window: int) -> Callable:
-    """Two hashes of every window of the given runs; (row, place, a, b)."""
+    """Two hashes of every window of the given runs; (row, place, alone, a, b)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            parts: list[list[np.ndarray]] = []
-            runs = batch.column(2).to_pylist()
-            for row, (text, own) in enumerate(zip(utf8(batch.column(1)), runs, strict=True)):
-                words = hashes(text.split())
-                places = np.unique(np.concatenate([np.arange(r["first"], r["last"] + 1) for r in own]))
+            parts: list[tuple[np.ndarray, ...]] = []
+            for row, (text, own) in enumerate(zip(utf8(batch.column(1)), batch.column(2), strict=True)):
+                words, runs = hashes(text.split()), own.values
+                first, last = (runs.field(n).to_numpy() for n in ("first", "last"))
+                alone = np.repeat(runs.field("alone").to_numpy(zero_copy_only=False), last - first + 1)
+                places = np.concatenate([np.arange(x, y + 1) for x, y in zip(first, last, strict=True)])
                 a, b = (gram_hashes(words, window, base)[places].view(np.int64) for base in (BASE, SECOND_BASE))
-                parts.append([np.full(len(places), row, np.int64), places.astype(np.int32), a, b])
+                parts.append((np.full(len(places), row, np.int64), places.astype(np.int32), alone, a, b))
             if parts:
                 columns = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
                 columns[0] = batch.column(0).take(columns[0])
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "place", "a", "b"])
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "place", "alone", "a", "b"])
 
     return run
 
 
-def factors(places: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Spans of words covered by windows that start at ``places``; each a run of factors without a gap."""
-    if not len(places):
+def factors(first: np.ndarray, last: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """Spans of words under the windows ``first`` to ``last`` of each run, joined where no word lies between."""
+    if not len(first):
         return []
-    places = np.unique(places)
-    cuts = np.flatnonzero(np.diff(places) > window) + 1
-    return [(int(p[0]), int(p[-1]) + window) for p in np.split(places, cuts)]
+    order = np.argsort(first, kind="stable")
+    first, stop = first[order], np.maximum.accumulate(last[order]) + window
+    cuts = np.flatnonzero(first[1:] > stop[:-1]) + 1
+    return list(zip(first[np.append(0, cuts)].tolist(), stop[np.append(cuts, len(stop)) - 1].tolist(), strict=True))
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -102,9 +139,10 @@ def _remove(window: int, digest: bool) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept, spans = [], [], [], []
-            for text, places in zip(utf8(batch.column(1)), batch.column(2), strict=True):
-                words = text.split()
-                found = factors(places.values.to_numpy(), window) if places.is_valid else []
+            for text, runs in zip(utf8(batch.column(1)), batch.column(2), strict=True):
+                words, found = text.split(), []
+                if runs.is_valid:
+                    found = factors(*(runs.values.field(n).to_numpy().astype(np.int64) for n in ("first", "last")), window)
                 rest, at = [], 0
                 for start, stop in found:
                     rest += words[at:start]
@@ -123,21 +161,32 @@ def _remove(window: int, digest: bool) -> Callable:
     return run
 
 
-def duplicate_places(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``row``, ``places``: starts of windows that occur elsewhere too. ``rows``: ``row``, ``text``."""
+def repeated_runs(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``row``, ``runs`` (``first``, ``last``): windows that occur elsewhere too. ``rows``: ``row``, ``text``."""
     key = rows.schema["row"].dataType.simpleString()
-    anchors = materialise(
-        rows.mapInArrow(_anchors(window, gram), f"row {key}, anchor bigint, first int, last int"), "anchors"
-    )
-    # A run of several windows is one place of its anchor.
-    repeated = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    runs = anchors.join(repeated, "anchor", "left_semi")
-    by_row = runs.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    candidates = rows.join(by_row, "row").select("row", "text", "runs")
-    places = materialise(candidates.mapInArrow(_windows(window), f"row {key}, place int, a bigint, b bigint"), "windows")
-    index = places.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
-    hits = places.join(index, ["a", "b"], "left_semi")
-    return hits.groupBy("row").agg(F.collect_list("place").alias("places"))
+    ddl = f"row {key}, anchor array<bigint>, first array<int>, last array<int>, phrase array<bigint>"
+    parsed = materialise(rows.mapInArrow(_phrases(window, gram), ddl), "phrases")
+    anchors = parsed.select(F.explode("anchor").alias("anchor"))
+    shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    every = parsed.select("row", F.inline(F.arrays_zip("anchor", "first", "last", "phrase")))
+    runs = materialise(every.join(shared, "anchor", "left_semi"), "shared-runs")
+    # The reference: distinct phrases, one place of each.
+    place = F.min(F.struct("row", "first", "last")).alias("at")
+    reference = materialise(runs.groupBy("anchor", "phrase").agg(F.count("*").alias("n"), place), "reference")
+    whole = runs.join(reference.filter("n > 1").select("anchor", "phrase"), ["anchor", "phrase"], "left_semi")
+    # Blocks with a phrase of one place and other phrases beside it.
+    mixed_blocks = reference.groupBy("anchor").agg(F.count("*").alias("phrases"), F.min("n").alias("least"))
+    mixed_blocks = mixed_blocks.filter("phrases > 1 and least = 1").select("anchor")
+    boundary = reference.join(mixed_blocks, "anchor", "left_semi").select("at.*", (F.col("n") == 1).alias("alone"))
+    by_row = boundary.groupBy("row").agg(F.collect_list(F.struct("first", "last", "alone")).alias("runs"))
+    texts = rows.join(by_row, "row").select("row", "text", "runs")
+    ddl = f"row {key}, place int, alone boolean, a bigint, b bigint"
+    windows = materialise(texts.mapInArrow(_windows(window), ddl), "boundary-windows")
+    # A phrase has a window once, and the reference a phrase once: two rows are two phrases.
+    met = windows.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
+    parts = windows.filter("alone").join(met, ["a", "b"], "left_semi")
+    found = whole.select("row", "first", "last").unionByName(parts.select("row", F.col("place").alias("first"), F.col("place").alias("last")))
+    return found.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
 
 def stored_row_key() -> Column:
@@ -162,7 +211,7 @@ def remove_duplicates(
     )
     if row_key is None:
         numbered = materialise(numbered, "numbered")
-    places = materialise(duplicate_places(numbered.select("row", "text"), window, gram), "places")
-    joined = numbered.join(places, "row", "left").select("doc_id", "text", "places")
+    runs = repeated_runs(numbered.select("row", "text"), window, gram)
+    joined = numbered.join(runs, "row", "left").select("doc_id", "text", "runs")
     ddl = "doc_id bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<start: bigint, stop: bigint>>"
     return joined.mapInArrow(_remove(window, digest), ddl)
