@@ -45,6 +45,8 @@ from clickweave.llm.common import BASE, WordHashes, gram_hashes, materialise, mi
 WINDOW = 35
 GRAM = 8
 SECOND_BASE = np.uint64(0xD6E8FEB86659FD93)
+#: Texts worked on at once, words whose hashes a task remembers, windows sent on at once.
+TEXTS, WORDS, ROWS = 256, 150_000, 200_000
 
 
 #: Powers of ``SECOND_BASE`` and of its inverse mod 2**64, as long as the longest text met.
@@ -76,12 +78,19 @@ def runs_of(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.n
     return grams[at[cuts]], cuts, last, phrase_hashes(words, cuts, last + window)
 
 
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few texts each."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 def _phrases(window: int, gram: int) -> Callable:
     """The runs of each document that has a window, as arrays."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
+        hashes = WordHashes(WORDS)
+        for batch in _parts(batches):
             rows, parts = [], []
             for row, text in enumerate(utf8(batch.column(1))):
                 found = runs_of(hashes(text.split()), window, gram)
@@ -104,20 +113,19 @@ def _windows(window: int) -> Callable:
     """Two hashes of every window of the given runs; (row, place, alone, a, b)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            parts: list[tuple[np.ndarray, ...]] = []
+        hashes = WordHashes(WORDS)
+        for batch in _parts(batches):
             for row, (text, own) in enumerate(zip(utf8(batch.column(1)), batch.column(2), strict=True)):
                 words, runs = hashes(text.split()), own.values
                 first, last = (runs.field(n).to_numpy() for n in ("first", "last"))
                 alone = np.repeat(runs.field("alone").to_numpy(zero_copy_only=False), last - first + 1)
                 places = np.concatenate([np.arange(x, y + 1) for x, y in zip(first, last, strict=True)])
                 a, b = (gram_hashes(words, window, base)[places].view(np.int64) for base in (BASE, SECOND_BASE))
-                parts.append((np.full(len(places), row, np.int64), places.astype(np.int32), alone, a, b))
-            if parts:
-                columns = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
-                columns[0] = batch.column(0).take(columns[0])
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "place", "alone", "a", "b"])
+                columns = [pa.array(c) for c in (places.astype(np.int32), alone, a, b)]
+                key = batch.column(0).take(pa.array(np.full(len(places), row)))
+                found = pa.RecordBatch.from_arrays([key, *columns], names=["row", "place", "alone", "a", "b"])
+                for at in range(0, len(places), ROWS):
+                    yield found.slice(at, ROWS)
 
     return run
 
@@ -137,7 +145,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 def _remove(window: int, digest: bool) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             n_words, n_removed, kept, spans = [], [], [], []
             for text, runs in zip(utf8(batch.column(1)), batch.column(2), strict=True):
                 words, found = text.split(), []
