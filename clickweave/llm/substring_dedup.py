@@ -47,6 +47,8 @@ GRAM = 8
 SECOND_BASE = np.uint64(0xD6E8FEB86659FD93)
 #: Texts worked on at once, words whose hashes a task remembers, windows sent on at once.
 TEXTS, WORDS, ROWS = 256, 150_000, 200_000
+#: Rows of a key that stay together: this many, or this part of all rows where that is more.
+TOGETHER, PARTS = 1_000, 10_000
 
 
 #: Powers of ``SECOND_BASE`` and of its inverse mod 2**64, as long as the longest text met.
@@ -169,30 +171,48 @@ def _remove(window: int, digest: bool) -> Callable:
     return run
 
 
+def _having(rows: DataFrame, counts: DataFrame, keys: list[str], by: list[str], total: int) -> DataFrame:
+    """The ``rows`` whose ``keys`` are among ``counts`` (``keys`` and ``n``, their rows of ``total`` counted).
+
+    Rows of a frequent key are dealt to slices by ``by``. At most ``PARTS`` keys are frequent, as
+    each holds more than that part of the rows counted, so their list may be broadcast.
+    """
+    together = max(TOGETHER, -(-total // PARTS))
+    sliced = counts.withColumn("slices", F.ceil(F.col("n") / together)).drop("n")
+    dealt = rows.join(F.broadcast(sliced.filter("slices > 1")), keys, "left")
+    dealt = dealt.withColumn("slice", F.pmod(F.xxhash64(*by), F.coalesce("slices", F.lit(1)))).drop("slices")
+    wanted = sliced.select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("slice"))
+    return dealt.join(wanted, [*keys, "slice"], "left_semi").drop("slice")
+
+
 def repeated_runs(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``row``, ``runs`` (``first``, ``last``): windows that occur elsewhere too. ``rows``: ``row``, ``text``."""
     key = rows.schema["row"].dataType.simpleString()
     ddl = f"row {key}, anchor array<bigint>, first array<int>, last array<int>, phrase array<bigint>"
     parsed = materialise(rows.mapInArrow(_phrases(window, gram), ddl), "phrases")
+    places = parsed.agg(F.sum(F.size("anchor"))).first()[0] or 0
     anchors = parsed.select(F.explode("anchor").alias("anchor"))
-    shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
     every = parsed.select("row", F.inline(F.arrays_zip("anchor", "first", "last", "phrase")))
-    runs = materialise(every.join(shared, "anchor", "left_semi"), "shared-runs")
+    runs = materialise(_having(every, shared, ["anchor"], ["row", "first"], places), "shared-runs")
     # The reference: distinct phrases, one place of each.
     place = F.min(F.struct("row", "first", "last")).alias("at")
     reference = materialise(runs.groupBy("anchor", "phrase").agg(F.count("*").alias("n"), place), "reference")
-    whole = runs.join(reference.filter("n > 1").select("anchor", "phrase"), ["anchor", "phrase"], "left_semi")
+    known = reference.filter("n > 1").select("anchor", "phrase", "n")
+    whole = _having(runs, known, ["anchor", "phrase"], ["row", "first"], runs.count())
     # Blocks with a phrase of one place and other phrases beside it.
     mixed_blocks = reference.groupBy("anchor").agg(F.count("*").alias("phrases"), F.min("n").alias("least"))
-    mixed_blocks = mixed_blocks.filter("phrases > 1 and least = 1").select("anchor")
-    boundary = reference.join(mixed_blocks, "anchor", "left_semi").select("at.*", (F.col("n") == 1).alias("alone"))
+    mixed_blocks = mixed_blocks.filter("phrases > 1 and least = 1").select("anchor", F.col("phrases").alias("n"))
+    boundary = _having(reference, mixed_blocks, ["anchor"], ["phrase"], reference.count()).select(
+        "at.*", (F.col("n") == 1).alias("alone")
+    )
     by_row = boundary.groupBy("row").agg(F.collect_list(F.struct("first", "last", "alone")).alias("runs"))
     texts = rows.join(by_row, "row").select("row", "text", "runs")
     ddl = f"row {key}, place int, alone boolean, a bigint, b bigint"
     windows = materialise(texts.mapInArrow(_windows(window), ddl), "boundary-windows")
     # A phrase has a window once, and the reference a phrase once: two rows are two phrases.
-    met = windows.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
-    parts = windows.filter("alone").join(met, ["a", "b"], "left_semi")
+    met = windows.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1")
+    parts = _having(windows.filter("alone"), met, ["a", "b"], ["row", "place"], windows.count())
     found = whole.select("row", "first", "last").unionByName(parts.select("row", F.col("place").alias("first"), F.col("place").alias("last")))
     return found.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
