@@ -138,12 +138,37 @@ def _keys_of_text(text: Column) -> Column:
     return F.array_distinct(F.concat(words, F.transform(F.concat(*grams), lambda g: F.concat(F.lit("g"), g))))
 
 
+#: Bits of a set of hashed keys, and those of one of its words.
+_SET_BITS, _WORD_BITS = 1 << 23, 64
+
+
+def _place(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(_SET_BITS))
+
+
+def _hashed_set(keys: DataFrame) -> Column:
+    """The hashes of column ``key`` as one value: an array of 64-bit words, a megabyte whatever the number of keys."""
+    place = _place(F.col("key"))
+    bit = F.expr(f"shiftleft(1L, CAST(place % {_WORD_BITS} AS INT))")
+    words = keys.select(place.alias("place")).groupBy(F.floor(F.col("place") / _WORD_BITS).alias("id")).agg(F.bit_or(bit).alias("bits"))
+    every = keys.sparkSession.range(_SET_BITS // _WORD_BITS).join(words, "id", "left")
+    listed = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))))
+    return every.agg(F.transform(listed, lambda w: w["bits"])).scalar()
+
+
+def _may_hold(hashed: Column, key: Column) -> Column:
+    """Whether ``key`` may be in the set; True for all that are."""
+    place = _place(key)
+    return F.getbit(F.get(hashed, F.floor(place / _WORD_BITS).cast("int")), place % _WORD_BITS) == 1
+
+
 def relevant_changes_all(pages: DataFrame, commits: DataFrame) -> DataFrame:
     """``relevant_changes`` over the whole history: ``main_file``, ``sha``, ``ts`` of every commit a line of
     which mentions a page or one of its import targets as written.
 
     Every needle is indexed by the rarest of its keys; a commit's keys fetch candidates by an equi-join, and
-    only those are searched. Texts are not shuffled with their keys.
+    only those are searched. Texts are not shuffled with their keys. Of a commit's keys, many to a text, nothing
+    but counts and those that the index may have are shuffled.
     """
     wanted = pages.select(F.col("path").alias("main_file"), F.explode(F.concat(F.array("path"), X.relative_imports(F.col("content")))).alias("needle"))
     # A line never holds a line feed.
@@ -151,13 +176,13 @@ def relevant_changes_all(pages: DataFrame, commits: DataFrame) -> DataFrame:
     needles = wanted.select("needle").distinct().select("needle", F.explode(F.array_distinct(_keys_of_needle(F.col("needle")))).alias("key"))
     numbered = commits.select("sha", "ts", "message")
     keys = numbered.select("sha", "ts", F.explode(_keys_of_text(F.col("message"))).alias("key"))
-    keys = keys.join(needles.select("key").distinct(), "key", "left_semi")
     counts = keys.groupBy("key").agg(F.count("*").alias("n"))
     # A needle with a key that no commit has is mentioned nowhere.
     known = needles.join(counts, "key", "left")
     rarest = known.groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("k"))
     index = rarest.filter("k.n > 0").select("needle", F.col("k.key").alias("key"))
-    candidates = keys.join(index, "key").select("needle", "sha", "ts").distinct()
+    fetching = keys.filter(_may_hold(_hashed_set(index), F.col("key")))
+    candidates = fetching.join(index, "key").select("needle", "sha", "ts").distinct()
     hits = candidates.join(numbered.select("sha", "ts", "message"), ["sha", "ts"]).filter(F.col("message").contains(F.col("needle")))
     return hits.join(wanted, "needle").select("main_file", "sha", "ts").distinct()
 

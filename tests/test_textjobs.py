@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from clickweave.operators import textjobs
 
 
@@ -71,3 +73,41 @@ def test_relevant_changes_of_all_history(table):
     assert got == sorted(expected)
     plan = textjobs.relevant_changes_all(pages, commits)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def _shuffled_rows(plan):
+    """Rows written by all shuffles of a plan that has run."""
+    name = plan.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return _shuffled_rows(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return _shuffled_rows(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" else 0
+    below = plan.children()
+    return own + sum(_shuffled_rows(below.apply(i)) for i in range(below.size()))
+
+
+def test_keys_of_commits_stay_where_they_are(spark, table):
+    """A commit has a hundred keys and more; those that no needle is indexed by are counted, not shuffled,
+    also where the needles have them."""
+    n = 2_000
+    pages = table("path string, content string", *[(f"src/app/d{i}/page.tsx", "import a from './view'") for i in range(50)])
+    texts = [f"Update the page and its view ./vie\ntouches src/app/d{i % 100}/page.tsx" for i in range(n)]
+    commits = table("sha string, ts long, message string", *[(f"c{i}", i, m) for i, m in enumerate(texts)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = textjobs.relevant_changes_all(pages, commits)
+        rows = {(r.main_file, r.sha) for r in got.collect()}
+        assert rows == {(f"src/app/d{i % 100}/page.tsx", f"c{i}") for i in range(n) if i % 100 < 50}
+        # One candidate for every second commit; each is shuffled a few times, each message once, and a hundred keys each before.
+        assert _shuffled_rows(got._jdf.queryExecution().executedPlan()) < 10 * n
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_set_of_hashed_keys(spark):
+    keys = spark.range(1000).selectExpr("CAST(id AS string) AS key")
+    asked = spark.range(50_000).selectExpr("CAST(id AS string) AS key")
+    held = asked.filter(textjobs._may_hold(textjobs._hashed_set(keys), F.col("key")))
+    assert held.join(keys, "key").count() == 1000 and held.count() < 1100
+    assert asked.filter(textjobs._may_hold(textjobs._hashed_set(keys.limit(0)), F.col("key"))).count() == 0
