@@ -13,7 +13,7 @@ from clickweave.sources.tables import read_page_views, read_tracking
 from clickweave.streaming import ingest, partials
 
 QUOTA_LIMIT, QUOTA_INTERVAL_MS = 2, 86_400_000
-#: Files a table is dealt to, a micro-batch each; rows of any time are in each of them.
+#: Parts a table is dealt to, about a micro-batch each; rows of any time are in each of them.
 FILES = 3
 #: Few buckets for small tables.
 BUCKETS = 4
@@ -22,12 +22,14 @@ CHUNK = 1_000
 
 
 def replayed(rows: DataFrame, kind: partials.Partials, key: str, files: int = FILES) -> DataFrame:
-    """Results of a stream of ``rows`` in ``files`` micro-batches, dealt by ``key`` and thus in no order."""
+    """Results of a stream of ``rows`` in ``files`` micro-batches or a few more, dealt by ``key`` and thus in no
+    order. A part of a large table is as many files as it takes tasks to write it."""
     spark = rows.sparkSession
     root = scratch_dir(spark, kind.name)
     dealt = rows.withColumn("file", F.pmod(F.xxhash64(key), F.lit(files)))
-    dealt.repartition(files, "file").write.partitionBy("file").parquet(f"{root}/rows")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/rows")
+    dealt.hint("rebalance", "file").write.partitionBy("file").parquet(f"{root}/rows")
+    written = len(spark.read.schema(rows.schema).parquet(f"{root}/rows").inputFiles())
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, written // files)).parquet(f"{root}/rows")
     query = partials.start(stream.select(*rows.columns), f"{root}/partials", f"{root}/checkpoint", kind, BUCKETS)
     query.awaitTermination()
     return partials.results(spark, f"{root}/partials", kind, partials.partial_schema(rows, kind))
