@@ -30,27 +30,31 @@ MISSING_SESSION, INVALID_SESSION, INVALID_EVENTS = (
 REJECT_STATUS = {MISSING_SESSION: 400, INVALID_EVENTS: 400, INVALID_SESSION: 403}
 
 
-def normalize(requests: DataFrame) -> DataFrame:
-    """Tracking requests (header texts) into typed tracking records. The server's
-    arrival time stamps the record."""
-    r = evolve_schema(requests, schemas.REQUEST)
+def _tracked() -> list[Column]:
+    """Columns of a tracking record, from those of a request."""
     c = F.col
-    return r.select(
-        "session_id",
-        "seq",
+    return [
+        c("session_id"),
+        c("seq"),
         c("arrival").alias("ts"),
         *[S.text_or_null(c(n)).alias(n) for n in ("event", "page", "scroll_depth", "element", "href", "section")],
         S.parse_int(c("time_spent")).alias("time_spent"),
-        "user_agent",
+        c("user_agent"),
         S.client_ip(c("forwarded_for"), c("remote_ip")).alias("ip_address"),
         S.place(c("country")).alias("country"),
         S.place(c("city")).alias("city"),
         S.parse_float(c("latitude")).alias("latitude"),
         S.parse_float(c("longitude")).alias("longitude"),
-        "referrer",
+        c("referrer"),
         S.device_type(c("user_agent"), c("device_hint")).alias("device_type"),
         *[S.parse_float(c(v)).alias(v) for v in schemas.VITALS],
-    )
+    ]
+
+
+def normalize(requests: DataFrame) -> DataFrame:
+    """Tracking requests (header texts) into typed tracking records. The server's
+    arrival time stamps the record."""
+    return evolve_schema(requests, schemas.REQUEST).select(*_tracked())
 
 
 #: Names of a batch record's values where they differ from a request's.
@@ -103,8 +107,9 @@ RECORDS = 1 << 20
 UNREADABLE = "Unreadable request"
 
 
-def split_requests(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lines of JSON (``value``), single and batch requests mixed, into tracking records and dead letters.
+def read_requests(lines: DataFrame) -> DataFrame:
+    """Lines of JSON (``value``), single and batch requests mixed: a row per tracking record, and one per dead
+    letter, with its ``value``, ``reason`` and ``status`` and the arrival time as ``ts``.
 
     A line with a ``body`` is a batch; its records share the header values and the arrival time. A record's
     number is that of the request times ``RECORDS`` plus its position. Dead letters
@@ -117,22 +122,35 @@ def split_requests(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     unreadable = F.col("seq").isNull() | F.col("arrival").isNull()
     batch = F.when(F.col("body").isNotNull(), _batch_reason(F.col("body")))
     rows = rows.withColumn("reason", F.when(unreadable, F.lit(UNREADABLE)).otherwise(batch))
-    status = F.when(F.col("reason") == UNREADABLE, 500).otherwise(400)
-    dead = rows.filter("reason IS NOT NULL").select("value", "arrival", "reason", status.alias("status"))
+    dead = F.col("reason").isNotNull()
+    status = F.when(dead, F.when(F.col("reason") == UNREADABLE, 500).otherwise(400))
 
     own = F.struct(*[F.col(n).alias(_RECORD_NAMES.get(n, n)) for n in ("session_id", *_OF_RECORD)])
-    records = F.when(F.col("body").isNull(), F.array(own)).otherwise(_batch_records(F.col("body")))
+    records = F.when(~dead, F.when(F.col("body").isNull(), F.array(own)).otherwise(_batch_records(F.col("body"))))
     header = [f.name for f in schemas.REQUEST.fields if f.name not in ("session_id", "seq", *_OF_RECORD)]
+    letter = [F.when(dead, F.col("value")).alias("value"), "reason", status.alias("status")]
     r = F.col("r")
     requests = (
-        rows.filter("reason IS NULL")
-        .select("session_id", "seq", *header, F.posexplode(records).alias("pos", "r"))
+        rows.select("session_id", "seq", *header, *letter, F.posexplode_outer(records).alias("pos", "r"))
+        # A batch may be empty.
+        .filter("reason IS NOT NULL OR pos IS NOT NULL")
         .select(
-            _record_session(r), (F.col("seq") * RECORDS + F.col("pos")).alias("seq"), *header,
-            *[_record_value(r, n) for n in _OF_RECORD],
+            _record_session(r), F.when(~dead, F.col("seq") * RECORDS + F.col("pos")).alias("seq"), *header,
+            *[_record_value(r, n) for n in _OF_RECORD], "value", "reason", "status",
         )
     )
-    return normalize(requests), dead
+    return requests.select(*_tracked(), "value", "reason", "status")
+
+
+def split_read(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tracking records and dead letters among rows of ``read_requests``."""
+    dead = rows.filter("reason IS NOT NULL").select("value", F.col("ts").alias("arrival"), "reason", "status")
+    return rows.filter("reason IS NULL").drop("value", "reason", "status"), dead
+
+
+def split_requests(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines of JSON into tracking records and dead letters, see ``read_requests``."""
+    return split_read(read_requests(lines))
 
 
 def _at() -> Column:

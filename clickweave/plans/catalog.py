@@ -183,7 +183,8 @@ def _requests_to(read: Callable[[SparkSession, str], DataFrame], *columns: str)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         root = scratch_dir(spark, "requests")
-        _request_lines(view(spark, sf_dir, "fx_sent")).write.text(f"{root}/lines")
+        view(spark, sf_dir, "fx_sent").write.parquet(f"{root}/sent")
+        _request_lines(spark.read.parquet(f"{root}/sent")).write.text(f"{root}/lines")
         lines = tables.read_request_lines(spark, f"{root}/lines", stream=True)
         query = stream_ingest.start_requests(lines, f"{root}/tables", f"{root}/checkpoint", buckets=streams.BUCKETS)
         query.awaitTermination()

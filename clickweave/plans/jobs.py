@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,14 +48,16 @@ def known_sessions(store: Store, log: DataFrame, buckets: int = BUCKETS) -> Data
 
 
 def ingest_requests(lines: DataFrame, root: str, run: str | None = None, fan_in: int = 1, buckets: int = BUCKETS) -> None:
-    """Fold lines of JSON, single and batch requests mixed, into the stored tables and dead letters."""
-    records, dead = ingest.split_requests(lines)
-    ingest_log(records, root, run, fan_in, buckets, dead)
+    """Fold lines of JSON, single and batch requests mixed, into the stored tables and dead letters. A line
+    is read once."""
+    _fold(lines, ingest.read_requests, ingest.split_read, root, run, fan_in, buckets)
 
 
-def ingest_log(
-    raw: DataFrame, root: str, run: str | None = None, fan_in: int = 1, buckets: int = BUCKETS, dead: DataFrame | None = None
-) -> None:
+def _log_read(raw: DataFrame) -> DataFrame:
+    return tables.evolve_schema(raw, schemas.TRACKING).select(*schemas.TRACKING.fieldNames())
+
+
+def ingest_log(raw: DataFrame, root: str, run: str | None = None, fan_in: int = 1, buckets: int = BUCKETS) -> None:
     """Fold a log into the stored sessions, page views, events and rejects below ``root``.
 
     Logs may come one after the other: a session goes on where earlier runs left it, and the
@@ -65,25 +68,44 @@ def ingest_log(
     corrected are written anew; a greater one (small runs) lets corrections wait in files of
     their own, see ``sources.store``.
 
-    The gated records are written once to the scratch folder, since all tables start from
-    them; a lost executor then costs no second pass over the log. ``dead`` are letters that
-    could not be read as records; they are stored in the same run.
+    The log as read and the gated records are written once each to the scratch folder, since several
+    passes and all tables start from them; however costly the log is to read, it is read once, and a lost
+    executor costs no second pass over it.
     """
-    spark = raw.sparkSession
-    store = Store(spark, root)
+    _fold(raw, _log_read, lambda log: (log, None), root, run, fan_in, buckets)
+
+
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    """The rows of ``df``, written to the scratch folder and read from there."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _fold(
+    source: DataFrame,
+    read: Callable[[DataFrame], DataFrame],
+    split: Callable[[DataFrame], tuple[DataFrame, DataFrame | None]],
+    root: str,
+    run: str | None,
+    fan_in: int,
+    buckets: int,
+) -> None:
+    """Fold ``source`` into the stored tables. ``read`` makes the rows that are kept, ``split`` the log and the dead
+    letters of these, which are stored in the same run."""
+    store = Store(source.sparkSession, root)
     change = store.begin(run or uuid.uuid4().hex)
     if change is None:
         return
-    log = tables.evolve_schema(raw, schemas.TRACKING).select(*schemas.TRACKING.fieldNames())
+    raw, dead = split(_kept(read(source), "log"))
+    log = _log_read(raw)
     known = known_sessions(store, log, buckets)
-    path = scratch_dir(spark, "gated")
-    ingest.session_gate(log, known=known).write.parquet(path)
-    gated = spark.read.parquet(path)
+    gated = _kept(ingest.session_gate(log, known=known), "gated")
     valid = gated.filter("started IS NOT NULL")
 
     sessions, ended_days = _session_rows(valid, known)
     change.merge(
-        tables.laid_out(sessions, schemas.SESSIONS, "start_time"), "sessions", DATE, tables.merged_sessions, ended_days, fan_in,
+        tables.dated(sessions, schemas.SESSIONS, "start_time"), "sessions", DATE, tables.merged_sessions, ended_days, fan_in,
         lambda rows: tables.laid_out(rows, schemas.SESSIONS, "start_time"),
     )
     views = ingest.merge_statements(ingest.view_statements(valid), keep_pos=True)
@@ -92,7 +114,7 @@ def ingest_log(
         latest = known.select("session_id", F.col("latest_view.ts").alias("timestamp"), F.col("latest_view.seq").alias("id"))
         stated_days = parts_of(views.join(latest, ["session_id", "timestamp", "id"], "left_semi").select(day_of("timestamp").alias(DATE)), DATE)
     change.merge(
-        tables.laid_out(views, tables.STORED_VIEWS, "timestamp"), "page_views", DATE, tables.merged_views, stated_days, fan_in,
+        tables.dated(views, tables.STORED_VIEWS, "timestamp"), "page_views", DATE, tables.merged_views, stated_days, fan_in,
         lambda rows: tables.laid_out(rows, tables.STORED_VIEWS, "timestamp"),
     )
     change.add(tables.laid_out(ingest.named_events(valid), schemas.EVENTS, "timestamp"), "events")

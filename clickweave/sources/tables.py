@@ -123,12 +123,15 @@ def day_of(time: str) -> Column:
     return F.date_from_unix_date(F.floor(F.col(time) / DAY_MS).cast("int"))
 
 
+def dated(df: DataFrame, schema: T.StructType, time: str) -> DataFrame:
+    """Columns of ``schema`` and the day."""
+    return evolve_schema(df, schema).select(*schema.fieldNames()).withColumn(DATE, day_of(time))
+
+
 def laid_out(df: DataFrame, schema: T.StructType, time: str) -> DataFrame:
     """Columns of ``schema`` and the day, in the order they are stored in."""
     return (
-        evolve_schema(df, schema)
-        .select(*schema.fieldNames())
-        .withColumn(DATE, day_of(time))
+        dated(df, schema, time)
         # Few files per folder; a busy day, and even a busy session within it, is still
         # written by many tasks, since the time is part of the range.
         .repartitionByRange(DATE, "session_id", time)
