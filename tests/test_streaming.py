@@ -11,7 +11,7 @@ from clickweave.sources.fixtures import view
 from clickweave.sources import tables
 from clickweave.sources.store import Run, Store
 from clickweave.sources.tables import read_tracking
-from clickweave.streaming import ingest, partials
+from clickweave.streaming import ingest, partials, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -203,3 +203,49 @@ def test_partials_of_many_batches_stay_in_few_files(spark):
     df = spark.createDataFrame([], "u string, ms long")
     got = partials.results(spark, root, kind, partials.partial_schema(df, kind)).collect()
     assert sorted((r.u, r.hits) for r in got) == [("a", 12), ("b", 12)]
+
+
+def test_large_parts_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """A replayed table is dealt to a few parts; how many tasks write them follows its size."""
+    rows = spark.range(20_000).selectExpr("CAST(id % 50 AS string) AS user", "id * 1000 AS ts", "id").repartition(8)
+    monkeypatch.setattr(queries, "scratch_dir", lambda spark, label: f"{tmp_path}/{label}-0")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16KB")
+    try:
+        got = queries.replayed(rows.select("user", "ts", "id"), partials.over_quota("user", "ts", 2, 10_000_000), "id").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert sum(r.hits for r in got) == 20_000
+    assert len(list(tmp_path.glob("quota-*/rows/file=*/*.parquet"))) > 2 * queries.FILES
+
+
+def test_log_is_read_once(spark, raw, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    day = 86_400_000
+    log = raw(("a", 1, 5, "session_start"), ("a", 2, 6, "pageview", {"page": "/x"}), ("b", 3, 7, "click"), (None, 4, 8, "click"))
+    later = raw(("a", 5, day, "click"), ("a", 6, day + 1, "session_end", {"time_spent": 9}))
+    for n, part in enumerate((log, later)):
+        jobs.ingest_log(part.mapInArrow(count, part.schema), str(tmp_path / "log"), str(n))
+    assert seen.value == 6
+    assert [(r.id, r.time_spent) for r in tables.read_page_views(spark, str(tmp_path / "log")).collect()] == [(2, 9)]
+
+    seen.value = 0
+    head = '{"seq": 1, "arrival": 10, "session_id": "s", '
+    lines = spark.createDataFrame(
+        [
+            (head + '"event": "session_start"}',), ('{"seq": 2, "arrival": 11, "session_id": "s", "body": "{\\"events\\":[]}"}',),
+            (head[:20],), ('{"seq": 9000000000000000000, "arrival": 12, "session_id": "s", "body": "{}"}',),
+        ],
+        "value string",
+    )
+    jobs.ingest_requests(lines.mapInArrow(count, lines.schema), str(tmp_path / "lines"))
+    assert seen.value == 4
+    dead = tables.read_dead_letters(spark, str(tmp_path / "lines")).collect()
+    assert sorted((r.arrival or 0, r.status) for r in dead) == [(0, 500), (12, 400)]
+    assert all(r.value in {head[:20], lines.collect()[3].value} for r in dead)
+    assert tables.read_sessions(spark, str(tmp_path / "lines")).count() == 1 and tables.read_rejects(spark, str(tmp_path / "lines")).count() == 0
