@@ -39,10 +39,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickweave.llm.common import materialise
-from clickweave.llm.tokens import Encoder, Remembered, sure_parts
+from clickweave.llm.tokens import Encoder, Remembered, numbered_parts, sure_parts
 
 #: Characters of a chunk; a longer document is a chunk of its own.
-CHUNK = 4_000_000
+CHUNK = 2_500_000
 #: Parts remembered with their alignment, in each of two generations.
 LIMIT = 60_000
 #: Rows of a batch that are Python texts at once.
@@ -366,9 +366,8 @@ def _held(doc: np.ndarray, part: np.ndarray, n_pairs: np.ndarray, at: np.ndarray
 
 
 def _chunk_row(chunk: int, ids: list, texts: list[str | None], tok: Tokenizers, known: Remembered) -> pa.RecordBatch:
-    cut = [sure_parts(t) if t and _SPACE_MARK not in t else [] for t in texts]
-    parts = [p for c in cut for p in c]
-    local = {p: i for i, p in enumerate(dict.fromkeys(parts))}
+    here = [k for k, t in enumerate(texts) if t and _SPACE_MARK not in t]
+    local, at, begins = numbered_parts([texts[k] for k in here])
     fresh = list(known.missing(set(local)))
     for start in range(0, len(fresh), AT_A_TIME):
         some = fresh[start : start + AT_A_TIME]
@@ -376,22 +375,24 @@ def _chunk_row(chunk: int, ids: list, texts: list[str | None], tok: Tokenizers,
     records = [known.now[p] for p in local]
     broken = np.array([r is None for r in records], bool)
     records = [r or _NONE for r in records]
+    # Words that marks or line feeds tie together seldom occur again.
+    for p in fresh:
+        if len(p) > 2 and not p[:-1].isalpha():
+            del known.now[p]
     known.rest()
 
-    at = np.fromiter(map(local.__getitem__, parts), np.int64, len(parts))
-    stops = np.cumsum([len(c) for c in cut])
+    cut = dict(zip(here, np.split(at, begins[1:]), strict=True)) if here else {}
     counts = np.frombuffer(b"".join([r[1] for r in records]), np.int64).reshape(-1, 4)
     printed = [r[0] for r in records]
     docs, doc_keys = [], []
-    for k, (doc_id, c, stop) in enumerate(zip(ids, cut, stops.tolist(), strict=True)):
-        here = at[stop - len(c) : stop]
-        if not len(here) or broken[here].any():
+    for k, doc_id in enumerate(ids):
+        if k not in cut or broken[cut[k]].any():
             docs.append((doc_id, 0, 0, 0, 0, ""))
             continue
-        sums = counts[here].sum(axis=0).tolist()
-        groups = b";".join(map(printed.__getitem__, here.tolist()))
+        sums = counts[cut[k]].sum(axis=0).tolist()
+        groups = b";".join(map(printed.__getitem__, cut[k].tolist()))
         docs.append((doc_id, *sums, hashlib.sha256(groups).hexdigest()))
-        doc_keys.append(k * len(local) + here)
+        doc_keys.append(k * len(local) + cut[k])
     # Distinct parts of each document with how often it has them.
     keys, times = np.unique(np.concatenate(doc_keys), return_counts=True) if doc_keys else (np.empty(0, np.int64),) * 2
     doc, part = np.divmod(keys, max(1, len(local)))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickweave.llm.common import materialise
-from clickweave.llm.tokens import encoder
+from clickweave.llm.tokens import ROWS, encoder
 
 LENGTH = 1024
 GROUP = 4_000
@@ -55,10 +55,11 @@ def _pieces(tokenizer: str, end_id: int, length: int) -> Callable:
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer), struct.pack("<I", end_id)
         item = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text or "") + end
+            texts = encode.encode_all(batch.column(1).to_pylist())
+            for doc_id, ids in zip(batch.column(0).to_pylist(), texts, strict=True):
+                ids += end
                 n = len(ids) // 4
                 stops = list(range(n, 0, -length))[::-1]
                 for k, (a, b) in enumerate(zip([0, *stops[:-1]], stops, strict=True)):

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clickweave.llm.common import materialise
-from clickweave.llm.tokens import encoder
+from clickweave.llm.tokens import ROWS, encoder
 
 FRAME_BYTES = 1 << 18
 SKIPPABLE_INDEX = 0x184D2A50
@@ -132,13 +132,14 @@ def _write_files(folder: str, tokenizer: str, end_id: int) -> Callable:
         files, base = _filesystem(folder)
         path, temporary = f"{base}/tokens-{number:06d}.zst", f"{base}/.{uuid.uuid4().hex}"
         writer, n_docs, n_tokens, first = None, 0, 0, None
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+            texts = encode.encode_all(batch.column(1).to_pylist())
+            for doc_id, ids in zip(batch.column(0).to_pylist(), texts, strict=True):
                 if writer is None:
                     files.create_dir(base, recursive=True)
                     stream = files.open_output_stream(temporary)
                     writer, first = Writer(stream), doc_id
-                ids = encode(text or "") + end
+                ids += end
                 writer.add(doc_id, ids)
                 n_docs, n_tokens = n_docs + 1, n_tokens + len(ids) // 4
         if writer is not None:

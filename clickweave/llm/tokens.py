@@ -4,26 +4,34 @@ A byte-level BPE tokenizer cuts a text into pieces by a pattern and encodes ever
 its own, so a text may be encoded in parts wherever the pattern is sure to cut. It always
 cuts before a single space between two characters that are no white space; and in a part
 of ASCII and Latin-1 letters, digits and punctuation the cuts are those of ``_PIECES``. So
-parts and pieces are encoded once and remembered; unknown pieces are sent to the tokenizer
-many at a time. What doesn't fit is encoded as a whole, as are texts that hold an added token
+pieces are encoded once and remembered. Unknown ones go to the tokenizer's model, their bytes
+spelt in the model's alphabet. Texts are encoded many at once: Arrow numbers their distinct words, of
+which each is looked up once, and the ids are put together by number.
+What doesn't fit is encoded as a whole, as are texts that hold an added token
 (such as ``<|endoftext|>``), which the tokenizer finds before it cuts. Memory is bounded by
-``LIMIT`` remembered parts in two generations.
+``LIMIT`` remembered pieces in two generations, and by ``AT_ONCE`` characters (or one text) cut into parts.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
+from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Remembered parts and pieces in each of two generations.
-LIMIT = 150_000
-#: Longer parts are not remembered (bytes).
+#: Remembered pieces in each of two generations.
+LIMIT = 250_000
+#: Longer parts are encoded as a whole (characters).
 LONGEST = 64
-#: Text sent to the tokenizer at once (characters).
-JOINED = 2_000
+#: Text cut into parts at once (characters).
+AT_ONCE = 4_000_000
+#: Rows of a batch that callers hand over at once.
+ROWS = 1_500
 
 # The cuts of the tokenizer's pattern, for the letters named here.
 _PIECES = re.compile(
@@ -31,15 +39,48 @@ _PIECES = re.compile(
 )
 _PLAIN = re.compile(r"[ -~\nÀ-ÖØ-öø-ÿ]+")
 #: White space at an end or in a run; then spaces are no sure cuts.
-_ODD_SPACE = re.compile(r"\s\s|^\s|\s\Z|[᠎​﻿]")
+_ODD_SPACE = re.compile(r"\s\s|^\s|\s\Z|[\u180e\u200b\ufeff]")
 _SURE_CUT = re.compile(r"(?<=[^\s᠎​﻿]) (?=[^\s᠎​﻿])")
 
 
 def sure_parts(text: str) -> list[str]:
-    """A text cut at the single spaces where the pattern is sure to cut; the spaces are left out."""
+    """A text, not empty, cut at the single spaces where the pattern is sure to cut; the spaces are left out."""
     return _SURE_CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
 
 
+def numbered_parts(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct ``sure_parts`` of texts, none of which is empty; the numbers of the parts that the texts
+    are made of, one text after the other; and where each text begins in them."""
+    cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    starts = cut.offsets.to_numpy()[:-1]
+    encoded = cut.values.dictionary_encode()
+    at, parts = encoded.indices.to_numpy().astype(np.int64), encoded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    # A text has white space at an end or in a run, or a strange one, if one of its words has.
+    odd = np.fromiter((not p.isalnum() and (not p or _ODD_SPACE.search(p) is not None) for p in parts), bool, len(parts))
+    again = np.logical_or.reduceat(odd[at], starts) if texts else odd
+    if again.any():
+        number = {p: k for k, p in enumerate(parts)}
+        pieces = np.split(at, starts[1:])
+        for k in np.flatnonzero(again).tolist():
+            pieces[k] = np.array([number.setdefault(p, len(number)) for p in _SURE_CUT.split(texts[k])], np.int64)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        starts, parts = np.cumsum(sizes) - sizes, list(number)
+        used, at = np.unique(np.concatenate(pieces), return_inverse=True)
+        parts = [parts[k] for k in used.tolist()]
+    return parts, at, starts
+
+
+def _byte_alphabet() -> np.ndarray:
+    """The code point that a byte-level vocabulary writes for each byte: its own if it prints, else the
+    next from 256 on."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return np.array([b if b in prints else next(others) for b in range(256)], "<u4")
+
+
+_ALPHABET = _byte_alphabet()
+
+
 class Remembered:
     """Encoded strings of two generations: what was used lately survives."""
 
@@ -69,89 +110,98 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         # With ``plain``, strings of special tokens are text like any other.
         self.tokenizer.encode_special_tokens = plain
-        added = [
+        self.added = [
             t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content and not (plain and t.special)
         ]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        # Parts and pieces are strings with their ids alike.
-        self.parts = Remembered(limit)
-        sizes = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
-            sizes[i] = len(token)  # one character of a token stands for one byte
-        self.sizes = sizes
+        self.pieces = Remembered(limit)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _encode_joined(self, pieces: list[str], between: str, known: dict[str, bytes]) -> None:
-        """Writes to ``known`` pieces that the pattern parts when they stand one after the other, with
-        ``between`` (nothing, or a line feed, which then is a token of its own)."""
-        groups, size = [[]], 0
-        for p in pieces:
-            if size > JOINED:
-                groups.append([])
-                size = 0
-            groups[-1].append(p)
-            size += len(p)
-        joined = self.tokenizer.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False)
-        skip = len(between)
-        for group, encoded in zip(groups, joined, strict=True):
-            ids = np.array(encoded.ids, "<u4")
-            ends = np.cumsum(self.sizes[ids])
-            stops = np.cumsum([len(p.encode()) + skip for p in group]) - skip
-            cuts = np.searchsorted(ends, stops) + 1
-            data, start = ids.tobytes(), 0
-            for p, stop in zip(group, (4 * cuts).tolist(), strict=True):
-                known[p] = data[start:stop]
-                start = stop + 4 * skip
-
-    def _learn(self, parts: set[str]) -> None:
-        known = self.parts.now
-        # A space and plain letters are one piece.
-        words = {p for p in parts if p.isascii() and p[1:].isalpha() and p[0] == " " and len(p) <= LONGEST}
-        if words:
-            self._encode_joined(list(words), "", known)
-        rest = parts - words
-        plain = {p: _PIECES.findall(p) for p in rest if len(p) <= LONGEST and _PLAIN.fullmatch(p)}
-        unknown = self.parts.missing({x for found in plain.values() for x in found})
-        spaced = [x for x in unknown if len(x) > 1 and x[0] == " " and x[1] != " "]
-        dense = [x for x in unknown if not x[0].isspace()]
-        if spaced:
-            self._encode_joined(spaced, "", known)
-        if dense:
-            self._encode_joined(dense, "\n", known)
-        for x in unknown.difference(known):
-            known[x] = self.whole(x)
-        for p, found in plain.items():
-            known[p] = b"".join([known[x] for x in found])
-        for p in rest.difference(plain):
-            known[p] = self.whole(p)
+    def _encode_pieces(self, pieces: list[str], known: dict[str, bytes]) -> None:
+        """Writes to ``known`` pieces that the pattern doesn't cut, none of which holds a zero byte."""
+        raw = np.frombuffer("\0".join(pieces).encode(), np.uint8)
+        spelt = _ALPHABET[raw].tobytes().decode("utf-32-le").split(chr(_ALPHABET[0]))
+        tokenize, pack = self.tokenizer.model.tokenize, struct.pack
+        for piece, letters in zip(pieces, spelt, strict=True):
+            ids = [t.id for t in tokenize(letters)]
+            known[piece] = pack(f"<{len(ids)}I", *ids)
+
+    def _distinct(self, parts: Iterable[str]) -> dict[str, bytes]:
+        """Ids of distinct parts, each of which the pattern cuts from its neighbours."""
+        pieces, cut, others = [], {}, []
+        for p in parts:
+            if len(p) > LONGEST:
+                others.append(p)
+            elif p[1:].isalpha() and p[0] == " " and p.isascii():
+                pieces.append(p)  # a space and plain letters are one piece
+            elif _PLAIN.fullmatch(p):
+                found = _PIECES.findall(p)
+                if len(found) == 1:
+                    pieces.append(p)
+                else:
+                    cut[p] = found
+            else:
+                others.append(p)
+        # Only pieces are remembered: what they are put together to seldom occurs again.
+        wanted = set(pieces).union(*cut.values())
+        if unknown := self.pieces.missing(wanted):
+            self._encode_pieces(list(unknown), self.pieces.now)
+        known = self.pieces.now
+        out = {p: known[p] for p in pieces}
+        for p, found in cut.items():
+            out[p] = b"".join([known[x] for x in found])
+        for start in range(0, len(others), 1_000):
+            some = others[start : start + 1_000]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                out[p] = np.array(e.ids, "<u4").tobytes()
+        self.pieces.rest()
+        return out
 
     def encode_parts(self, parts: list[str]) -> list[bytes]:
         """Ids of parts, each of which the pattern cuts from its neighbours."""
-        if absent := self.parts.missing(set(parts)):
-            self._learn(absent)
-        out = [self.parts.now[p] for p in parts]
-        self.parts.rest()
+        known = self._distinct(set(parts))
+        return [known[p] for p in parts]
+
+    def _encode_group(self, texts: list[str]) -> list[bytes]:
+        out = [b""] * len(texts)
+        here = []
+        for k, text in enumerate(texts):
+            if any(a in text for a in self.added):
+                out[k] = self.whole(text)
+            elif text:
+                here.append(k)
+        if not here:
+            return out
+        words, at, starts = numbered_parts([texts[k] for k in here])
+        # No space stands before the first part of a text.
+        firsts = [words[k] for k in at[starts].tolist()]
+        parts = [" " + w for w in words] + firsts
+        at = at.copy()
+        at[starts] = len(words) + np.arange(len(firsts))
+        ids = self.encode_parts(parts)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        n = sizes[at]
+        begins = (np.cumsum(sizes) - sizes)[at] - (np.cumsum(n) - n)
+        data = np.frombuffer(b"".join(ids), "<u4")[np.repeat(begins, n) + np.arange(int(n.sum()))].tobytes()
+        stops = (4 * np.cumsum(np.add.reduceat(n, starts))).tolist()
+        for k, start, stop in zip(here, [0, *stops[:-1]], stops, strict=True):
+            out[k] = data[start:stop]
         return out
 
+    def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
+        """Ids of each text (null: none)."""
+        out, group, size = [], [], 0
+        for text in texts:
+            if group and size + len(text or "") > AT_ONCE:
+                out += self._encode_group(group)
+                group, size = [], 0
+            group.append(text or "")
+            size += len(group[-1])
+        return out + self._encode_group(group)
+
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.added and self.added.search(text):
-            return self.whole(text)
-        first, *others = sure_parts(text)
-        parts = [first, *[" " + c for c in others]]
-        distinct = set(parts)
-        if absent := self.parts.missing(distinct):
-            self._learn(absent)
-        known = self.parts.now
-        out = b"".join([known[p] for p in parts])
-        for p in absent:
-            if len(p) > LONGEST:
-                del known[p]
-        self.parts.rest()
-        return out
+        return self._encode_group([text])[0]
 
 
 _ENCODERS: dict[str, Encoder] = {}
