@@ -1,8 +1,9 @@
 """Phrases of words that stand together more often than their parts would by chance.
 
 Words get ids by shuffle, no task needs all of them: a task writes a row per chunk and
-language with its distinct words and its text as a stream of their places; words with
-enough occurrences are numbered, and the numbers return to the chunks by a join. A rarer
+language with its distinct words and its text as a stream of their places. The words are dealt to
+buckets by a hash, a row per chunk and bucket; a bucket's words are summed up and those with
+enough occurrences numbered in one place, which gives each chunk its numbers back in a row. A rarer
 word cannot be part of a phrase that is frequent enough, so it becomes a gap, like the end of a piece.
 
 N-grams of 2 to ``longest`` words are then counted level by level. An n-gram is looked at
@@ -33,6 +34,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -48,8 +50,8 @@ RANGE_WORDS = 2_000_000
 ROWS_PER_TASK = 4
 #: Parts of a language that are ranked side by side.
 SALTS = 64
-#: Buckets in which words are numbered.
-BUCKETS = 4_096
+#: Distinct words of chunks that a bucket is expected to hold, in which they are numbered.
+BUCKET_WORDS = 1_000_000
 
 # Where pieces end, what parts words, and the letters that are lower-cased.
 _ENDS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d", b"\n" * 10)
@@ -241,28 +243,98 @@ def _together(streams: DataFrame, more: DataFrame, rows: int) -> DataFrame:
     return streams.repartition(tasks, "chunk", "lang").join(more.repartition(tasks, "chunk", "lang"), ["chunk", "lang"])
 
 
+_DEALT = pa.schema(
+    [("chunk", pa.int64()), ("lang", pa.string()), ("bucket", pa.int32()), ("words", pa.list_(pa.binary())),
+     ("times", pa.list_(pa.int64())), ("places", pa.list_(pa.int64()))]
+)
+DEALT = "chunk bigint, lang string, bucket int, words array<binary>, times array<bigint>, places array<bigint>"
+
+
+def _dealt(buckets: int) -> Callable:
+    """The distinct words of a chunk in buckets, each with its place in the chunk, from 1 on."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                chunk, lang, words, times = [batch.column(k)[row] for k in range(4)]
+                words, times = words.values, times.values
+                hashes = np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), np.uint64, len(words))
+                bucket = (hashes % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                full = np.flatnonzero(np.diff(cuts))
+                ends = pa.array(np.append(cuts[full], len(order)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, x) for x in (words.take(pa.array(order)), times.take(pa.array(order)), pa.array(order + 1))]
+                columns = [pa.array([x.as_py()] * len(full), t) for x, t in ((chunk, pa.int64()), (lang, pa.string()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(full, pa.int32()), *lists], schema=_DEALT)
+
+    return run
+
+
+_KNOWN = pa.schema(
+    [("chunk", pa.int64()), ("lang", pa.string()), ("places", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())),
+     ("word", pa.binary()), ("id", pa.int64()), ("count", pa.int64())]
+)
+KNOWN = "chunk bigint, lang string, places array<bigint>, ids array<bigint>, word binary, id bigint, count bigint"
+
+
+def _known(least: int, buckets: int) -> Callable:
+    """A bucket's words of all chunks as one: a row per chunk with the places and ids of its words that
+    are frequent, and a row per such word with its id and count."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lang, bucket = table.column("lang")[0].as_py(), table.column("bucket")[0].as_py()
+        flat = lambda name: pa.chunked_array([c.flatten() for c in table.column(name).chunks]).combine_chunks()
+        encoded = flat("words").dictionary_encode()
+        at, words = encoded.indices.to_numpy(), encoded.dictionary
+        times, places = flat("times").to_numpy(), flat("places").to_numpy()
+        counts = np.zeros(len(words), np.int64)
+        np.add.at(counts, at, times)
+        often = np.flatnonzero(counts >= least)
+        # In the order of the words, so that a retried task numbers them alike. From 1 on, 0 is a gap.
+        found = words.take(pa.array(often)).to_pylist()
+        order = sorted(range(len(found)), key=found.__getitem__)
+        ids = np.zeros(len(words), np.int64)
+        ids[often[order]] = np.arange(len(order)) * buckets + bucket + 1
+        here = ids[at]
+        kept = np.concatenate([[0], np.cumsum(here > 0)])
+        sizes = np.array([len(w) for c in table.column("words").chunks for w in c], np.int64)
+        ends = kept[np.concatenate([[0], np.cumsum(sizes)])]
+        rows = np.flatnonzero(np.diff(ends))
+        cuts = pa.array(np.append(ends[rows], ends[-1]), pa.int32())
+        n, k = len(rows), len(found)
+        chunks = table.column("chunk").to_numpy()[rows]
+        of_chunks = [
+            pa.array(chunks, pa.int64()), pa.array([lang] * n, pa.string()),
+            *(pa.ListArray.from_arrays(cuts, pa.array(x[here > 0])) for x in (places, here)),
+            *(pa.nulls(n, _KNOWN.field(c).type) for c in ("word", "id", "count")),
+        ]
+        of_words = [
+            pa.nulls(k, pa.int64()), pa.array([lang] * k, pa.string()), *(pa.nulls(k, _KNOWN.field(c).type) for c in ("places", "ids")),
+            pa.array(found, pa.binary()), pa.array(ids[often]), pa.array(counts[often]),
+        ]
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays(x, schema=_KNOWN) for x in (of_chunks, of_words)])
+
+    return run
+
+
 def word_streams(docs: DataFrame, least: int, chunk: int, lang_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Streams of frequent words' ids per chunk and language, those words (``lang``, ``word``, ``id``,
-    ``count``), and the number of all words per language."""
+    ``count``; ids are a language's own), and the number of all words per language."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     streams = materialise(rows.mapInArrow(_streams(chunk), STREAMS), "streams")
-    words = streams.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "times")).alias("place", "w")).select(
-        "chunk", "lang", (F.col("place") + 1).alias("place"), F.col("w.words").alias("word"), F.col("w.times").alias("times")
-    )
     of_chunk = F.aggregate("times", F.lit(0).cast("bigint"), lambda s, x: s + x)
     totals = streams.groupBy("lang").agg(F.sum(of_chunk).alias("n")).filter("n > 0")
-    frequent = words.groupBy("lang", "word").agg(F.sum("times").alias("count")).filter(F.col("count") >= least)
-    bucket = F.pmod(F.xxhash64("word", "lang"), F.lit(BUCKETS))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("word", "lang"))
-    # From 1 on, 0 is a gap.
-    numbered = frequent.withColumn("bucket", bucket).withColumn("id", (rank - 1) * F.lit(BUCKETS).cast("bigint") + F.col("bucket") + 1)
-    known = materialise(numbered.drop("bucket"), "words")
+    n_rows, n_words = streams.agg(F.count("*"), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+    buckets = max(8, -(-n_words // BUCKET_WORDS))
+    dealt = streams.select("chunk", "lang", "words", "times").mapInArrow(_dealt(buckets), DEALT).repartition(2 * buckets, "lang", "bucket")
+    level = materialise(dealt.groupBy("lang", "bucket").applyInArrow(_known(least, buckets), KNOWN), "words")
+    known = level.filter("word IS NOT NULL").select("lang", "word", "id", "count")
     back = (
-        words.select("chunk", "lang", "place", "word").join(known.select("lang", "word", "id"), ["lang", "word"])
-        .groupBy("chunk", "lang").agg(F.collect_list(F.struct("place", "id")).alias("v"))
-        .select("chunk", "lang", F.col("v.place").alias("places"), F.col("v.id").alias("ids"))
+        level.filter("chunk IS NOT NULL").groupBy("chunk", "lang").agg(F.collect_list(F.struct("places", "ids")).alias("v"))
+        .select("chunk", "lang", F.flatten("v.places").alias("places"), F.flatten("v.ids").alias("ids"))
     )
-    both = _together(streams.select("chunk", "lang", "stream"), back, streams.count())
+    both = _together(streams.select("chunk", "lang", "stream"), back, n_rows)
     both = both.select("chunk", "lang", "stream", "places", "ids")
     ids = both.mapInArrow(_numbered, "chunk bigint, lang string, stream binary")
     return materialise(ids, "word-ids"), known, totals

@@ -6,6 +6,8 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +127,26 @@ def test_query_against_sql(spark):
     expected = con.execute(queries.all_oracles()["op12_phrase_collocations"]).fetchall()
     got = [tuple(r) for r in queries.op12_phrase_collocations(spark, sf).collect()]
     assert sorted(got) == sorted(expected) and got
+
+
+def test_a_chunk_gets_its_numbers_back_in_a_row_per_bucket():
+    chunks = {1: ["a", "b", "rare"], 2: ["b", "a", "c"], 3: ["c", "once"]}
+    times = {1: [3, 1, 1], 2: [4, 2, 7], 3: [1, 1]}
+    dealt = []
+    for k, words in chunks.items():
+        values = [[k], ["en"], [[w.encode() for w in words]], [times[k]]]
+        batch = pa.RecordBatch.from_arrays([pa.array(v, phrases._STREAM.field(i).type) for i, v in enumerate(values)], names=["chunk", "lang", "words", "times"])
+        dealt += phrases._dealt(2)(iter([batch]))
+    assert sum(b.num_rows for b in dealt) <= 2 * len(chunks)
+    ids, back = {}, {}
+    for bucket in (0, 1):
+        table = pa.Table.from_batches(dealt).filter(pc.field("bucket") == bucket)
+        if table.num_rows:
+            level = phrases._known(3, 2)(table).to_pylist()
+            assert sum(r["word"] is None for r in level) <= len(chunks)
+            ids |= {r["id"]: (r["word"].decode(), r["count"]) for r in level if r["word"] is not None}
+            for r in level:
+                if r["word"] is None:
+                    back.setdefault(r["chunk"], {}).update(zip(r["places"], r["ids"], strict=True))
+    assert sorted(ids.values()) == [("a", 5), ("b", 5), ("c", 8)] and 0 not in ids
+    assert {k: {p: ids[i][0] for p, i in v.items()} for k, v in back.items()} == {1: {1: "a", 2: "b"}, 2: {1: "b", 2: "a", 3: "c"}, 3: {1: "c"}}
