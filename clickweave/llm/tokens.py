@@ -5,8 +5,9 @@ its own, so a text may be encoded in parts wherever the pattern is sure to cut.
 cuts before a single space between two characters that are no white space; and in a part
 of ASCII and Latin-1 letters, digits and punctuation the cuts are those of ``_PIECES``. So
 pieces are encoded once and remembered. Unknown ones go to the tokenizer's model, their bytes
-spelt in the model's alphabet. Texts are encoded many at once: Arrow numbers their distinct words, of
-which each is looked up once, and the ids are put together by number.
+spelt in the model's alphabet. Texts are encoded many at once: those of plain characters are cut to pieces
+by classes of bytes, Arrow numbers the distinct ones, of which each is looked up once, and the ids are put together by
+number. Of other texts, the words between sure cuts are numbered, and the plain ones among them cut.
 What doesn't fit is encoded as a whole, as are texts that hold an added token
 (such as ``<|endoftext|>``), which the tokenizer finds before it cuts. Memory is bounded by
 ``LIMIT`` remembered pieces in two generations, and by ``AT_ONCE`` characters (or one text) cut into parts.
@@ -29,15 +30,20 @@ LIMIT = 250_000
 #: Longer parts are encoded as a whole (characters).
 LONGEST = 64
 #: Text cut into parts at once (characters).
-AT_ONCE = 4_000_000
+AT_ONCE = 8_000_000
 #: Rows of a batch that callers hand over at once.
-ROWS = 1_500
+ROWS = 2_500
 
 # The cuts of the tokenizer's pattern, for the letters named here.
 _PIECES = re.compile(
     r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+"
 )
-_PLAIN = re.compile(r"[ -~\nÀ-ÖØ-öø-ÿ]+")
+_PLAIN = re.compile(r"[ -~\nÀ-ÖØ-öø-ÿ¡§«»¿–—‘’“”„…•€]+")
+# Classes of the bytes of plain texts in UTF-8; a later byte of a character has that of the one before it.
+_LETTER, _DIGIT, _OTHER, _SPACE, _LINE, _LATER = range(6)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3]] = _LETTER
+_CLASS[0x30:0x3A], _CLASS[0x20], _CLASS[0x0A], _CLASS[0x80:0xC0] = _DIGIT, _SPACE, _LINE, _LATER
 #: White space at an end or in a run; then spaces are no sure cuts.
 _ODD_SPACE = re.compile(r"\s\s|^\s|\s\Z|[\u180e\u200b\ufeff]")
 _SURE_CUT = re.compile(r"(?<=[^\s᠎​﻿]) (?=[^\s᠎​﻿])")
@@ -70,6 +76,53 @@ def numbered_parts(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]
     return parts, at, starts
 
 
+def plain_pieces(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct pieces of plain texts, none of which is empty; the numbers of the pieces that the texts are
+    made of, one text after the other; and where each text begins in them."""
+    held = pa.array(texts, pa.large_string())
+    _, ends, data = held.buffers()
+    ends = np.frombuffer(ends, np.int64)[: len(texts) + 1]
+    size = int(ends[-1])
+    raw = np.frombuffer(data, np.uint8)[:size]
+    kind = _CLASS[raw]
+    later = np.flatnonzero(kind == _LATER)
+    while len(later):
+        kind[later] = kind[later - 1]
+        later = later[kind[later] == _LATER]
+    text_start = np.zeros(size + 4, bool)
+    text_start[ends] = True
+    # A piece starts where the class changes; a space belongs to what follows it. A run of white space leaves
+    # its last character to what follows, too, unless the text ends.
+    before, white = np.concatenate([[_LINE], kind[:-1]]), kind >= _SPACE
+    white_next = np.concatenate([white[1:], [True]]) | text_start[1 : size + 1]
+    cuts = np.zeros(size + 4, bool)
+    cuts[:size] = np.where(white, (before < _SPACE) | ~white_next, (kind != before) & (before != _SPACE)) | text_start[:size]
+    # 's, 'd, 'm, 't, 'll, 've and 're are pieces where no space or sign stands before them.
+    at = np.flatnonzero((raw == ord("'")) & cuts[:size])
+    one, two = (np.concatenate([raw, np.zeros(4, np.uint8)])[at + k] for k in (1, 2))
+    at, one, two = (x[~text_start[at + 1]] for x in (at, one, two))
+    short = np.isin(one, list(b"sdmt"))
+    pair = np.isin(one * np.uint16(256) + two, [int.from_bytes(x) for x in (b"ll", b"ve", b"re")]) & ~text_start[at + 2]
+    cuts[at[short | pair] + 1] = False
+    cuts[at[short] + 2] = True
+    cuts[at[pair] + 3] = True
+    begins = np.flatnonzero(cuts[:size])
+    bounds = pa.py_buffer(np.append(begins, size).astype(np.int64))
+    encoded = pa.LargeStringArray.from_buffers(len(begins), bounds, data).dictionary_encode()
+    numbers = encoded.indices.to_numpy().astype(np.int64)
+    return encoded.dictionary.to_pylist(), numbers, np.searchsorted(begins, ends[:-1])
+
+
+def _joined(ids: list[bytes], at: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """Ids of texts that begin at ``starts`` in ``at``, numbers of parts with these ``ids``."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    n = sizes[at]
+    begins = (np.cumsum(sizes) - sizes)[at] - (np.cumsum(n) - n)
+    data = np.frombuffer(b"".join(ids), "<u4")[np.repeat(begins, n) + np.arange(int(n.sum()))].tobytes()
+    stops = (4 * np.cumsum(np.add.reduceat(n, starts))).tolist()
+    return [data[start:stop] for start, stop in zip([0, *stops[:-1]], stops, strict=True)]
+
+
 def _byte_alphabet() -> np.ndarray:
     """The code point that a byte-level vocabulary writes for each byte: its own if it prints, else the
     next from 256 on."""
@@ -165,29 +218,38 @@ class Encoder:
 
     def _encode_group(self, texts: list[str]) -> list[bytes]:
         out = [b""] * len(texts)
-        here = []
+        plain, others = [], []
         for k, text in enumerate(texts):
             if any(a in text for a in self.added):
                 out[k] = self.whole(text)
             elif text:
-                here.append(k)
-        if not here:
-            return out
-        words, at, starts = numbered_parts([texts[k] for k in here])
+                (plain if _PLAIN.fullmatch(text) else others).append(k)
+        for here, encode in ((plain, self._encode_plain), (others, self._encode_words)):
+            if here:
+                for k, ids in zip(here, encode([texts[k] for k in here]), strict=True):
+                    out[k] = ids
+        return out
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        pieces, at, starts = plain_pieces(texts)
+        once: dict[str, bytes] = {}
+        if long := [p for p in pieces if len(p) > LONGEST]:
+            self._encode_pieces(long, once)
+        if unknown := self.pieces.missing({p for p in pieces if len(p) <= LONGEST}):
+            self._encode_pieces(list(unknown), self.pieces.now)
+        known = self.pieces.now
+        ids = [once[p] if p in once else known[p] for p in pieces]
+        self.pieces.rest()
+        return _joined(ids, at, starts)
+
+    def _encode_words(self, texts: list[str]) -> list[bytes]:
+        words, at, starts = numbered_parts(texts)
         # No space stands before the first part of a text.
         firsts = [words[k] for k in at[starts].tolist()]
         parts = [" " + w for w in words] + firsts
         at = at.copy()
         at[starts] = len(words) + np.arange(len(firsts))
-        ids = self.encode_parts(parts)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        n = sizes[at]
-        begins = (np.cumsum(sizes) - sizes)[at] - (np.cumsum(n) - n)
-        data = np.frombuffer(b"".join(ids), "<u4")[np.repeat(begins, n) + np.arange(int(n.sum()))].tobytes()
-        stops = (4 * np.cumsum(np.add.reduceat(n, starts))).tolist()
-        for k, start, stop in zip(here, [0, *stops[:-1]], stops, strict=True):
-            out[k] = data[start:stop]
-        return out
+        return _joined(self.encode_parts(parts), at, starts)
 
     def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text (null: none)."""

@@ -71,3 +71,17 @@ def test_rows_are_handed_over_many_at_once(module, monkeypatch):
 
         list(token_store._write_files(tempfile.mkdtemp(prefix="tokens-"), PATH, 0)(iter([batch])))
     assert calls == [2, 1]
+
+
+def test_plain_texts_are_cut_many_at_once_as_the_tokenizer_does(monkeypatch):
+    def refuse(*_):
+        raise AssertionError("a plain text needs no numbered words")
+
+    monkeypatch.setattr("clickweave.llm.tokens.numbered_parts", refuse)
+    rng = random.Random(5)
+    letters = "  \n\n''aäZsdtmlrve09.,-$’—«é€"
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(4_000)]
+    texts += ["a" * 200, "é" * 70 + "  x", "\n", " ", "x\n \n", "\n\ny", "'s're", "'l", "'", "l", "v'", "e", "We'll 'mend it'd", None]
+    encode = Encoder(PATH, limit=500)
+    assert encode.encode_all(texts) == [encode.whole(t) if t else b"" for t in texts]
+    assert not any(len(p) > 64 for p in [*encode.pieces.now, *encode.pieces.old])
