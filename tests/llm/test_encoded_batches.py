@@ -85,3 +85,25 @@ def test_plain_texts_are_cut_many_at_once_as_the_tokenizer_does(monkeypatch):
     encode = Encoder(PATH, limit=500)
     assert encode.encode_all(texts) == [encode.whole(t) if t else b"" for t in texts]
     assert not any(len(p) > 64 for p in [*encode.pieces.now, *encode.pieces.old])
+
+
+def test_pieces_of_plain_texts_are_packed_without_words(monkeypatch):
+    import zlib
+
+    import pyarrow as pa
+
+    def refuse(*_):
+        raise AssertionError("a plain text needs no numbered words")
+
+    monkeypatch.setattr("clickweave.llm.tokens.numbered_parts", refuse)
+    monkeypatch.setattr(packing, "encoder", Encoder)
+    monkeypatch.setattr(packing, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda s: 0})())}))
+    texts = ["Übung  macht\n\nden Meister, it's said.", None, "of words " * 12]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3], pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    got = [r for b in packing._pieces(PATH, 2, 16)(iter([batch])) for r in b.to_pylist()]
+    whole = Encoder(PATH).whole
+    for doc_id, text in enumerate(texts, 1):
+        ids = (whole(text) if text else b"") + (2).to_bytes(4, "little")
+        rows = [r for r in got if r["doc_id"] == doc_id]
+        assert sum(r["length"] for r in rows) == len(ids) // 4 and all(r["length"] <= 16 for r in rows)
+        assert [r["ids_crc32"] for r in rows] == [zlib.crc32(ids[4 * r["start"] :][: 4 * r["length"]]) for r in rows]
