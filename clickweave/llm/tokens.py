@@ -10,7 +10,8 @@ by classes of bytes, Arrow numbers the distinct ones, of which each is looked up
 number. Of other texts, the words between sure cuts are numbered, and the plain ones among them cut.
 What doesn't fit is encoded as a whole, as are texts that hold an added token
 (such as ``<|endoftext|>``), which the tokenizer finds before it cuts. Memory is bounded by
-``LIMIT`` remembered pieces in two generations, and by ``AT_ONCE`` characters (or one text) cut into parts.
+``LIMIT`` remembered pieces in two generations, and by ``AT_ONCE`` characters and one text cut into parts; what Arrow
+needed for these is given back.
 """
 
 from __future__ import annotations
@@ -26,13 +27,15 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Remembered pieces in each of two generations.
-LIMIT = 250_000
+LIMIT = 150_000
 #: Longer parts are encoded as a whole (characters).
 LONGEST = 64
-#: Text cut into parts at once (characters).
-AT_ONCE = 8_000_000
+#: Text cut into parts at once (characters); an executor holds a process for each of its cores.
+AT_ONCE = 2_000_000
+#: Pieces whose ids are put together at once.
+JOINED = 100_000
 #: Rows of a batch that callers hand over at once.
-ROWS = 2_500
+ROWS = 1_000
 
 # The cuts of the tokenizer's pattern, for the letters named here.
 _PIECES = re.compile(
@@ -93,7 +96,7 @@ def plain_pieces(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     text_start[ends] = True
     # A piece starts where the class changes; a space belongs to what follows it. A run of white space leaves
     # its last character to what follows, too, unless the text ends.
-    before, white = np.concatenate([[_LINE], kind[:-1]]), kind >= _SPACE
+    before, white = np.concatenate([np.array([_LINE], np.uint8), kind[:-1]]), kind >= _SPACE
     white_next = np.concatenate([white[1:], [True]]) | text_start[1 : size + 1]
     cuts = np.zeros(size + 4, bool)
     cuts[:size] = np.where(white, (before < _SPACE) | ~white_next, (kind != before) & (before != _SPACE)) | text_start[:size]
@@ -109,18 +112,22 @@ def plain_pieces(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     begins = np.flatnonzero(cuts[:size])
     bounds = pa.py_buffer(np.append(begins, size).astype(np.int64))
     encoded = pa.LargeStringArray.from_buffers(len(begins), bounds, data).dictionary_encode()
-    numbers = encoded.indices.to_numpy().astype(np.int64)
-    return encoded.dictionary.to_pylist(), numbers, np.searchsorted(begins, ends[:-1])
+    pieces = encoded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    return pieces, encoded.indices.to_numpy(), np.searchsorted(begins, ends[:-1])
 
 
 def _joined(ids: list[bytes], at: np.ndarray, starts: np.ndarray) -> list[bytes]:
     """Ids of texts that begin at ``starts`` in ``at``, numbers of parts with these ``ids``."""
     sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    n = sizes[at]
-    begins = (np.cumsum(sizes) - sizes)[at] - (np.cumsum(n) - n)
-    data = np.frombuffer(b"".join(ids), "<u4")[np.repeat(begins, n) + np.arange(int(n.sum()))].tobytes()
-    stops = (4 * np.cumsum(np.add.reduceat(n, starts))).tolist()
-    return [data[start:stop] for start, stop in zip([0, *stops[:-1]], stops, strict=True)]
+    data, begins, stops = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes, np.cumsum(sizes[at])
+    out = np.empty(stops[-1], "<u4")
+    for k in range(0, len(at), JOINED):
+        here, to = at[k : k + JOINED], stops[k : k + JOINED]
+        n = sizes[here]
+        first, last = to[0] - n[0], to[-1]
+        out[first:last] = data[np.repeat(begins[here] - (to - n), n) + np.arange(first, last)]
+    ends = stops[np.append(starts[1:], len(at)) - 1].tolist()
+    return [out[start:stop].tobytes() for start, stop in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def _byte_alphabet() -> np.ndarray:
@@ -235,10 +242,10 @@ class Encoder:
         once: dict[str, bytes] = {}
         if long := [p for p in pieces if len(p) > LONGEST]:
             self._encode_pieces(long, once)
-        if unknown := self.pieces.missing({p for p in pieces if len(p) <= LONGEST}):
+        if unknown := self.pieces.missing(set(pieces).difference(long)):
             self._encode_pieces(list(unknown), self.pieces.now)
         known = self.pieces.now
-        ids = [once[p] if p in once else known[p] for p in pieces]
+        ids = [once[p] if p in once else known[p] for p in pieces] if once else [known[p] for p in pieces]
         self.pieces.rest()
         return _joined(ids, at, starts)
 
@@ -253,14 +260,20 @@ class Encoder:
 
     def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text (null: none)."""
+        texts = [text or "" for text in texts]
+        left = sum(map(len, texts))
+        # Groups of equal size: a small last one would know few pieces to share.
+        most = left // max(1, -(-left // AT_ONCE))
         out, group, size = [], [], 0
         for text in texts:
-            if group and size + len(text or "") > AT_ONCE:
+            if size > most:
                 out += self._encode_group(group)
                 group, size = [], 0
-            group.append(text or "")
-            size += len(group[-1])
-        return out + self._encode_group(group)
+            group.append(text)
+            size += len(text)
+        out += self._encode_group(group)
+        pa.default_memory_pool().release_unused()
+        return out
 
     def __call__(self, text: str) -> bytes:
         return self._encode_group([text])[0]

@@ -107,3 +107,35 @@ def test_pieces_of_plain_texts_are_packed_without_words(monkeypatch):
         rows = [r for r in got if r["doc_id"] == doc_id]
         assert sum(r["length"] for r in rows) == len(ids) // 4 and all(r["length"] <= 16 for r in rows)
         assert [r["ids_crc32"] for r in rows] == [zlib.crc32(ids[4 * r["start"] :][: 4 * r["length"]]) for r in rows]
+
+
+def test_many_texts_are_encoded_in_little_memory():
+    """A process per core holds this beside the executor's heap: 8 million characters took over 200 MB."""
+    import tracemalloc
+
+    encode = Encoder(PATH)
+    texts = ["plain words, in a row. " * 140] * 2_500
+    encode.encode_all(texts[:1])
+    tracemalloc.start()
+    ids = encode.encode_all(texts)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert ids == [encode.whole(texts[0])] * len(texts)
+    assert peak - held < 80_000_000
+
+
+def test_groups_and_joined_slices_change_no_ids(monkeypatch):
+    from clickweave.llm import tokens
+
+    texts = [*_texts(), *(["some plain text, it's said.\n"] * 50), "lone", "a b " * 300]
+    encode = Encoder(PATH, limit=20)
+    alone = [encode.whole(t) if t else b"" for t in texts]
+    groups = []
+    group = Encoder._encode_group
+    monkeypatch.setattr(Encoder, "_encode_group", lambda self, some: groups.append(sum(map(len, some))) or group(self, some))
+    monkeypatch.setattr(tokens, "JOINED", 7)
+    for at_once in (1, 100, 5_000, 10**9):
+        groups.clear()
+        monkeypatch.setattr(tokens, "AT_ONCE", at_once)
+        assert encode.encode_all(texts) == alone
+        assert max(groups) <= at_once + max(len(t or "") for t in texts)
