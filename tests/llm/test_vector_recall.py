@@ -113,3 +113,59 @@ def test_the_gap_finds_the_links_of_audited_queries():
     to = np.array([[0.9, 0.8, 0.1], [0.5, 0.6, 0.2]])
     gaps = vector_dedup.gaps_of_links(to, to, np.array([0, 0]), np.array([1, 0]))
     assert np.allclose(gaps, [0.1, 0.0])
+
+
+def test_links_to_cells_that_are_not_asked_are_found(spark, monkeypatch):
+    # Vectors all over a low sphere: many cells have links across their borders, farther off than the gap.
+    x = unit(np.random.default_rng(11).normal(size=(2000, 5)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = []
+    asking = vector_dedup._asking
+    monkeypatch.setattr(vector_dedup, "_asking", lambda *a: asked.append(asking(*a)) or asked[-1])
+    got = {r.vec_id: r for r in vector_dedup.near_duplicates(df, 0.9, 300).collect()}
+    linked = unit(x) @ unit(x).T >= 0.9
+    np.fill_diagonal(linked, False)
+    # Before, links across borders were missing.
+    assert [got[i].n_links for i in range(len(x))] == linked.sum(axis=1).tolist()
+    component = np.arange(len(x))
+    while (component != (least := np.minimum(component, np.where(linked, component, len(x)).min(axis=1)))).any():
+        component = least
+    assert [got[i].component_id for i in range(len(x))] == component.tolist()
+    rows = asked[0].collect()
+    cells = len({r.home for r in rows})
+    assert cells > 20 and any(r.far for r in rows) and all(not set(r.far) & set(r.asked) for r in rows)
+
+
+def test_cells_that_are_ruled_out_hold_no_links():
+    rng = np.random.default_rng(12)
+    for x, most in ((islands(rng, 40, 25)[1], 0.5), (unit(rng.normal(size=(1000, 4))), 0.9), (unit(rng.normal(size=(1000, 64))), 1.0)):
+        centres = vector_dedup.centres_of(x, 30)
+        s = x @ centres.T
+        may = vector_dedup.may_link(s, centres, 0.9)
+        # Vectors at the very border of a link, too.
+        beside = unit(0.9 * x + np.sqrt(1 - 0.81) * unit((side := rng.normal(size=x.shape)) - (side * x).sum(axis=1)[:, None] * x))
+        home = s.argmax(axis=1)
+        a, b = np.nonzero(x @ x.T >= 0.9)
+        assert may[a, home[b]].all() and may[np.arange(len(x)), (beside @ centres.T).argmax(axis=1)].all()
+        assert may.mean() <= most
+    assert vector_dedup.may_link(s, centres, -0.1).all()
+
+
+def test_blocks_are_compared_whole():
+    rng = np.random.default_rng(13)
+    x = np.concatenate([islands(rng, 60, 30)[1], unit(rng.normal(size=(1000, 24)))])[rng.permutation(2800)]
+    for q, other in ((x, x), (x[:700], x[700:])):
+        truth = q @ other.T >= 0.9
+        pairs = [p for a, b in vector_dedup.pairs_within(q, other, 0.9) for p in zip(a.tolist(), b.tolist(), strict=True)]
+        expected = np.argwhere(np.triu(truth, 1) if q is other else truth)
+        assert sorted(pairs) == [tuple(p) for p in expected.tolist()]
+    # Cosines that single precision can't tell from the least one.
+    least = 0.9
+    x = np.array([[1.0, 0.0], [least, np.sqrt(1 - least**2)], [least - 1e-9, np.sqrt(1 - (least - 1e-9) ** 2)]])
+    assert [(a.tolist(), b.tolist()) for a, b in vector_dedup.pairs_within(x[:1], x[1:], least)] == [([0], [0])]
+
+
+def test_components_of_links():
+    label = vector_dedup.joined(np.arange(8), np.array([5, 3, 7, 7]), np.array([3, 1, 6, 7]))
+    assert label.tolist() == [0, 1, 2, 1, 4, 1, 6, 6]
+    assert vector_dedup.joined(label, np.array([6, 4]), np.array([5, 0])).tolist() == [0, 1, 2, 1, 0, 1, 1, 1]
